@@ -204,8 +204,8 @@ def test_simhash_equals_brute_force(spark):
     assert {i: r.component_id for i, r in got.items()} == brute_components([i for i, _ in rows], prints)
 
 
-@pytest.mark.parametrize("dense", [1, 4, 32])
-def test_links_of_crowded_fingerprints(spark, dense):
+@pytest.mark.parametrize(("dense", "few_more"), [(1, 256), (2, 3), (4, 0), (32, 256)])
+def test_links_of_crowded_fingerprints(spark, dense, few_more):
     rng = random.Random(3)
     prints = set()
     for _ in range(12):
@@ -218,7 +218,7 @@ def test_links_of_crowded_fingerprints(spark, dense):
     frame = spark.createDataFrame(signed, "node long, fp long")
     from tidemark.llm.components import components
 
-    got = {r.node: r.component for r in components(simhash.links(frame, dense)).collect()}
+    got = {r.node: r.component for r in components(simhash.links(frame, dense, few_more)).collect()}
     want = brute_components([i for i, _ in signed], [p & (1 << 64) - 1 for _, p in signed])
     assert {i: got.get(i, i) for i, _ in signed} == want
 

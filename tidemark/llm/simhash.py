@@ -5,9 +5,10 @@ Whole 64-bit balls of radius 2 hold 2,081 variants, too many to shuffle for ever
 corpus, so the radius is first split over the two 32-bit halves: in one half the two differ in at most
 two bits, so they share one of its 33 variants within one bit. Every distinct fingerprint emits these
 66 keys; they are shuffled, and colliding pairs are deduplicated and verified on all 64 bits. A key that
-more than `dense` fingerprints share would give too many pairs; its members emit their whole balls, and
-as members of one 64-bit variant are all linked, each of them needs one edge, to the smallest. No link
-is lost either way, and no group is expanded into all its pairs.
+more than `dense` fingerprints share would give too many pairs. Its members first emit their 64-bit
+variants within one bit: members of one variant are all linked, so each of them needs one edge, to the
+smallest. Only what a key holds outside its largest cluster is then compared with the key's members; a
+key with much of that emits whole balls. No link is lost, and no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -65,7 +66,7 @@ def _longs(values: list[int]):
     return F.expr("array(" + ",".join(f"{v}L" if v != -(1 << 63) else "cast(-9223372036854775808 as bigint)" for v in values) + ")")
 
 
-def links(prints: DataFrame, dense: int = 32) -> DataFrame:
+def links(prints: DataFrame, dense: int = 32, few_more: int = 256) -> DataFrame:
     """Distinct (node, fp) -> edges (u, v) whose components are those of all links within RADIUS bits."""
     sides = F.explode(
         F.concat(
@@ -80,10 +81,33 @@ def links(prints: DataFrame, dense: int = 32) -> DataFrame:
     pairs = F.expr(f"""filter(flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)),
         y -> struct(x.node as u, y.node as v, bit_count(x.fp ^ y.fp) as d)))), e -> e.d <= {RADIUS})""")
     light = few.select(F.explode(pairs).alias("e")).select("e.u", "e.v")
-    many = hits.where(F.col("c") > dense).select("node", "fp").distinct()
-    balls = many.select("node", F.explode(F.transform(_longs(_ball_masks()), lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
-    heavy = balls.select(F.col("node").alias("u"), F.min("node").over(Window.partitionBy("variant")).alias("v")).where("u <> v")
-    return light.union(heavy).distinct()
+    return light.union(_crowded(hits.where(F.col("c") > dense), few_more)).distinct()
+
+
+def _star(prints: DataFrame, masks: list[int]) -> DataFrame:
+    """An edge from every fingerprint to the smallest that shares one of its variants."""
+    balls = prints.select("node", F.explode(F.transform(_longs(masks), lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
+    return balls.select(F.col("node").alias("u"), F.min("node").over(Window.partitionBy("variant")).alias("v")).where("u <> v")
+
+
+def _crowded(hits: DataFrame, few_more: int) -> DataFrame:
+    """Edges for keys with many members. Variants within one bit link most of them into clusters; what a
+    key holds beyond its largest cluster is compared with all its members, and if that is more than
+    few_more, the key's members emit their whole balls."""
+    hits = save(hits, "crowded")
+    if hits.isEmpty():
+        return hits.select(F.col("node").alias("u"), F.col("node").alias("v"))
+    near = save(_star(hits.select("node", "fp").distinct(), _ball_masks()[:65]).distinct(), "near_edges")
+    clusters = components(near).withColumnRenamed("component", "cluster")
+    inside = save(hits.join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node")), "clusters")
+    sizes = inside.groupBy("key", "cluster").agg(F.count("*").alias("n"))
+    keys = sizes.groupBy("key").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("main"), (F.sum("n") - F.max("n")).alias("rest"))
+    mixed = save(inside.join(keys.where("rest > 0"), "key"), "mixed")
+    rest = mixed.where(f"cluster <> main and rest <= {few_more}").select("key", F.col("node").alias("u"), F.col("fp").alias("fu"))
+    pairs = rest.join(mixed.select("key", F.col("node").alias("v"), F.col("fp").alias("fv")), "key")
+    across = pairs.where(f"u <> v and bit_count(fu ^ fv) <= {RADIUS}").select("u", "v")
+    whole = _star(mixed.where(f"rest > {few_more}").select("node", "fp").distinct(), _ball_masks())
+    return near.union(across).union(whole)
 
 
 def near_duplicates(docs: DataFrame, dense: int = 32) -> DataFrame:
