@@ -27,6 +27,7 @@ from .common import encoded, hashes, save, slices
 #: Words of a text: a space with what follows it, what stands before the first space, and line ends.
 CUT = " ?[^ \n]+| |\n"
 SHARED_WORDS = 8_000_000
+WORDS_A_TASK = 40_000
 #: No id is below minus this: -1 - the last code point.
 LOWEST = 0x110000
 
@@ -104,8 +105,11 @@ def encode(docs: DataFrame, model: str | None = None, shared_words: int = SHARED
     """
     model = model or P.default_model()
     spark = docs.sparkSession
-    words = save(encode_words(distinct_words(docs), model), "dictionary")
-    if words.count() > shared_words:
+    words = save(distinct_words(docs), "words")
+    n = words.count()
+    # a task folds a bounded number of words, so that its lattice stays in memory
+    words = save(encode_words(words.repartition(max(1, -(-n // WORDS_A_TASK)), "word"), model), "dictionary")
+    if n > shared_words:
         return _encode_by_join(docs, words)
     told = words.select(word_hash("word").alias("h"), "ids").toArrow()
     h = told["h"].to_numpy().view(np.uint64)
