@@ -44,6 +44,13 @@ def fresh(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def long_rows(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches hold fewer rows than the default, as rows here are whole documents."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def encoded(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and len+1 offsets of a string column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from . import pieces as P
-from .common import encoded, hashes, save, slices
+from .common import encoded, hashes, long_rows, save, slices
 
 #: Words of a text: a space with what follows it, what stands before the first space, and line ends.
 CUT = " ?[^ \n]+| |\n"
@@ -117,10 +117,11 @@ def encode(docs: DataFrame, model: str | None = None, shared_words: int = SHARED
     if len(h) > 1 and (h[order][1:] == h[order][:-1]).any():
         return _encode_by_join(docs, words)  # two words with one hash: never seen, but not excluded
     ids = told["ids"].combine_chunks()
-    ends = np.asarray(ids.offsets, np.int64)
-    flat = np.asarray(ids.values, np.int32)
-    del told
-    shared = spark.sparkContext.broadcast((h[order], ends[:-1][order], np.diff(ends)[order].astype(np.int32), flat))
+    ends, flat = np.asarray(ids.offsets), np.asarray(ids.values)
+    flat = flat.astype(np.uint16 if flat.max(initial=0) < 1 << 16 else np.int32)
+    shared = spark.sparkContext.broadcast((h[order], ends[:-1][order], np.diff(ends)[order].astype(np.uint32), flat))
+    del told, ids, h, order, ends, flat
+    long_rows(spark)
 
     @F.pandas_udf("array<int>")
     def look_up(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -128,7 +129,7 @@ def encode(docs: DataFrame, model: str | None = None, shared_words: int = SHARED
         for text in texts:
             data, offsets = encoded(pa.array(text.tolist(), pa.large_string()))
             out = []
-            for i, j in slices(offsets, 4_000_000):
+            for i, j in slices(offsets, 500_000):
                 own, cut = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 starts, ends = _word_bounds(own, cut)
                 at = np.searchsorted(keys, hashes(own, starts, ends))
@@ -136,6 +137,7 @@ def encode(docs: DataFrame, model: str | None = None, shared_words: int = SHARED
                 total = np.r_[0, np.cumsum(n)]
                 tokens = flat[np.arange(total[-1]) - np.repeat(total[:-1] - of, n)]
                 edge = total[np.searchsorted(starts, cut)]
+                tokens = tokens.astype(np.int32)
                 out += [tokens[a:b] for a, b in zip(edge[:-1], edge[1:])]
             yield pd.Series(out, dtype=object)
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pieces as P
+from .common import long_rows
 
 PRETOKEN = re.compile(r" ?[^ \n]+| |\n")
 
@@ -75,6 +76,7 @@ def token_counts(docs: DataFrame, model: str | None = None) -> DataFrame:
     Null and empty texts have no tokens. Null doc_ids and repeated rows each keep their row.
     """
     pieces, _, unknown = P.load(model or P.default_model())
+    long_rows(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((pieces, unknown))  # one entry per piece of the vocabulary
 
     @F.pandas_udf("struct<n_pretokens: long, n_tokens: long>")

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, labelled
+from .common import fresh, labelled, long_rows
 
 SIZES = (3, 4, 5)
 BITS = 20
@@ -128,6 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 4000) -> dict:
 
 def with_score(docs: DataFrame, model: dict, name: str) -> DataFrame:
     """docs with the column `name`: probability that a whole text is toxic. Null and empty texts are scored."""
+    long_rows(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
