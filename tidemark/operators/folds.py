@@ -1,0 +1,85 @@
+"""Recursive indicators: one fold per symbol over its bars in order.
+
+A series of daily bars is short, so a group's array is small; the fold stays inside the JVM as a
+higher-order aggregate whose accumulator carries the state and the outputs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def fold(df: DataFrame, key: str, order: str, columns: list[str], start: Column, step) -> DataFrame:
+    """One row per row of df: key, order and `out`, what step(state, row) adds to the state's `out` array."""
+    rows = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, *columns))).alias("rows"))
+    done = rows.withColumn("state", F.aggregate("rows", start, step))
+    at = F.arrays_zip(F.col(f"rows.{order}").alias(order), F.col("state.out").alias("out"))
+    return done.select(key, F.explode(at).alias("x")).select(key, F.col(f"x.{order}").alias(order), F.col("x.out").alias("out"))
+
+
+def _none() -> Column:
+    return F.expr("cast(array() as array<double>)")
+
+
+def ema(bars: DataFrame, n: int = 12, column: str = "close") -> DataFrame:
+    """T2 exponential moving average seeded with the mean of the first n; null before."""
+    k = 2.0 / (n + 1)
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("i"), F.lit(None).cast("double").alias("last"), _none().alias("out"))
+
+    def step(a, x):
+        i, total = a["i"] + 1, a["sum"] + x[column]
+        now = F.when(i < n, F.lit(None).cast("double")).when(i == n, total / n).otherwise(a["last"] + k * (x[column] - a["last"]))
+        return F.struct(total.alias("sum"), i.alias("i"), now.alias("last"), F.array_append(a["out"], now).alias("out"))
+
+    return fold(bars, "symbol", "ts", [column], start, step).withColumnRenamed("out", "ema")
+
+
+def wilder_rsi(bars: DataFrame, n: int = 14) -> DataFrame:
+    """T3 relative strength index with Wilder's smoothing; the first value is at change n + 1."""
+    start = F.struct(*[F.lit(None).cast("double").alias("last"), F.lit(-1).alias("i"), F.lit(0.0).alias("up"), F.lit(0.0).alias("down"), _none().alias("out")])
+
+    def step(a, x):
+        i = a["i"] + 1
+        change = F.coalesce(x["close"] - a["last"], F.lit(0.0))
+        gain, loss = F.greatest(change, F.lit(0.0)), F.greatest(-change, F.lit(0.0))
+        up = F.when(i <= n, a["up"] + gain / n).otherwise((a["up"] * (n - 1) + gain) / n)
+        down = F.when(i <= n, a["down"] + loss / n).otherwise((a["down"] * (n - 1) + loss) / n)
+        rs = F.when(down == 0, F.lit(100.0)).otherwise(up / down)
+        now = F.when(i > n, 100 - 100 / (1 + rs))
+        return F.struct(x["close"].alias("last"), i.alias("i"), up.alias("up"), down.alias("down"), F.array_append(a["out"], now).alias("out"))
+
+    return fold(bars, "symbol", "ts", ["close"], start, step).withColumnRenamed("out", "rsi")
+
+
+def garch(bars: DataFrame, omega: float = 0.000001, alpha: float = 0.1, beta: float = 0.85) -> DataFrame:
+    """R13 GARCH(1,1) with fixed parameters: one-step variance forecast after every bar."""
+    start = F.struct(F.lit(None).cast("double").alias("last"), F.lit(None).cast("double").alias("v"), _none().alias("out"))
+
+    def step(a, x):
+        r = x["close"] / a["last"] - 1
+        v = F.when(a["last"].isNull(), F.lit(None).cast("double")).otherwise(omega + alpha * r * r + beta * F.coalesce(a["v"], r * r))
+        return F.struct(x["close"].alias("last"), v.alias("v"), F.array_append(a["out"], v).alias("out"))
+
+    return fold(bars, "symbol", "ts", ["close"], start, step).withColumnRenamed("out", "variance")
+
+
+def cusum(bars: DataFrame, slack: float = 0.5, threshold: float = 4.0) -> DataFrame:
+    """C6 two-sided CUSUM of standardised returns, reset at each change point; 1 or -1 where one is seen."""
+    r = bars.selectExpr("symbol", "ts", "close / lag(close) over (partition by symbol order by ts) - 1 as r").where("r is not null")
+    z = r.selectExpr("symbol", "ts", "(r - avg(r) over (partition by symbol)) / nullif(stddev_samp(r) over (partition by symbol), 0) as z").where("z is not null")
+    start = F.struct(F.lit(0.0).alias("up"), F.lit(0.0).alias("down"), _none().alias("out"))
+
+    def step(a, x):
+        up, down = F.greatest(F.lit(0.0), a["up"] + x["z"] - slack), F.greatest(F.lit(0.0), a["down"] - x["z"] - slack)
+        hit = F.when(up > threshold, F.lit(1.0)).when(down > threshold, F.lit(-1.0)).otherwise(F.lit(0.0))
+        return F.struct(F.when(hit != 0, 0.0).otherwise(up).alias("up"), F.when(hit != 0, 0.0).otherwise(down).alias("down"), F.array_append(a["out"], hit).alias("out"))
+
+    return fold(z, "symbol", "ts", ["z"], start, step).withColumnRenamed("out", "change")
+
+
+def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+    """T4 MACD line, its signal and histogram, the averages aligned by bar."""
+    a, b = ema(bars, fast).withColumnRenamed("ema", "fast"), ema(bars, slow).withColumnRenamed("ema", "slow")
+    line = a.join(b.hint("merge"), ["symbol", "ts"]).where("slow is not null").selectExpr("symbol", "ts", "fast - slow as line")
+    return line.join(ema(line, signal, "line").hint("merge"), ["symbol", "ts"]).selectExpr("symbol", "ts", "line", "ema as signal", "line - ema as histogram")

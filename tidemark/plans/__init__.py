@@ -1,5 +1,31 @@
 """Registered queries: each applies operators to the driver's tables."""
 
+from __future__ import annotations
+
+import re
+
+from ..functions.operator import Operator
+from ..operators import performance, risk, technical
+from ..registry import query
+from ..sources.views import VIEWS, view
+
+_DONE: list[str] = []
+
+
+def _put(op: Operator) -> None:
+    # in the other engine views of views stand inline
+    @query(op.name, op.portable({n: re.sub(r"\s+", " ", VIEWS[n]).strip() for n in op.inputs if n in VIEWS}))
+    def run(spark, sf_dir):
+        return op(*(view(spark, sf_dir, n) for n in op.inputs))
+
 
 def load() -> None:
-    """Import every module that registers queries."""
+    """Register every operator once."""
+    if not _DONE:
+        for module in (technical, risk, performance):
+            for op in module.OPERATORS:
+                _put(op)
+        from . import extra
+
+        extra.register()
+        _DONE.append("done")
