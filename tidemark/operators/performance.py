@@ -69,11 +69,11 @@ g as (select symbol, island, min(ts) as peak, max(ts) as last_ts, max(1 - equity
 select symbol, peak, last_ts, round(depth, 6) as depth, cast(bars as bigint) as bars from g where depth > 0.000001"""),
     operator("equity_risk", "trades", "K5 ulcer index, mean squared drawdown and gain to pain of each equity curve", f"""
 with {DAILY}, h as (select symbol, ts, equity, 100 * (1 - equity / max(equity) over (partition by symbol order by ts)) as dd, equity / lag(equity) over (partition by symbol order by ts) - 1 as r from q)
-select symbol, round(sqrt(avg(dd * dd)), 5) as ulcer, round(avg(dd * dd), 5) as pain, round(sum(r) / sum(case when r < 0 then -r end), 5) as gain_to_pain from h group by symbol"""),
+select symbol, round(sqrt(avg(dd * dd)), 4) as ulcer, round(avg(dd * dd), 3) as pain, round(sum(r) / sum(case when r < 0 then -r end), 5) as gain_to_pain from h group by symbol"""),
     operator("monthly_returns", "trades", "R25, K4 return of each month from its last equity to the one before", f"""
 with {DAILY}, m as (select symbol, date_trunc('month', ts) as month, ts, equity, row_number() over (partition by symbol, date_trunc('month', ts) order by ts desc) as k from q),
 l as (select symbol, month, equity, lag(equity) over (partition by symbol order by month) as before from m where k = 1)
-select symbol, cast(year(month) * 100 + month(month) as integer) as month, round(equity / coalesce(before, 100000) - 1, 7) as month_return from l"""),
+select symbol, cast(year(month) * 100 + month(month) as integer) as month, round(equity / coalesce(before, 100000) - 1, 5) as month_return from l"""),
     operator("trailing_stop", "bars", "X3, W5 first breach of a 10 % trailing stop below the running high", f"""
 with x as (select symbol, ts, low, max(high) {S} * .9 as stop from bars)
 select symbol, min(ts) as breached, round(max(stop), 4) as highest_stop from x where low < stop group by symbol"""),

@@ -32,8 +32,8 @@ select symbol, ts, round(case when sum(volume) {S} > 0 then sum((high + low + cl
     operator("ichimoku", "bars", "T14 Ichimoku 9/26/52 with spans shifted by 25 and chikou by 26", f"""
 with x as (select symbol, ts, seq, close, (max(high) {W9} + min(low) {W9}) / 2 as tenkan, (max(high) {W26} + min(low) {W26}) / 2 as kijun,
     (max(high) {W52} + min(low) {W52}) / 2 as wide from bars)
-select symbol, ts, round(tenkan, 9) as tenkan, round(kijun, 9) as kijun, round(lag((tenkan + kijun) / 2, 25) {S}, 9) as span_a,
-    round(lag(case when seq >= 51 then wide end, 25) {S}, 9) as span_b, round(lead(close, 26) {S}, 9) as chikou from x"""),
+select symbol, ts, tenkan as tenkan, kijun as kijun, lag((tenkan + kijun) / 2, 25) {S} as span_a,
+    lag(case when seq >= 51 then wide end, 25) {S} as span_b, lead(close, 26) {S} as chikou from x"""),
     operator("support_resistance", "bars", "T16 nearest five-bar swing above and below the last close", f"""
 with x as (select *, lag(high) {S} as h1, lag(high, 2) {S} as h2, lead(high) {S} as h3, lead(high, 2) {S} as h4,
     lag(low) {S} as l1, lag(low, 2) {S} as l2, lead(low) {S} as l3, lead(low, 2) {S} as l4, count(*) {ALL} as n from bars),
