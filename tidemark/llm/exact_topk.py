@@ -2,7 +2,7 @@
 
 Every vector is cut into `lists` runs of dimensions; a list holds each candidate's partial score. A
 candidate that a list has not named scores there at least the list's minimum. Phase 1 gathers each
-list's local k best; their sums, with minima for what is missing, bound the k-th best score from below.
+list's local k best with their whole scores, whose k-th best bounds the answer's from below.
 Phase 2 broadcasts that cutoff to the blocks, shared out evenly over the lists: a candidate that reaches
 it must exceed its list's share in some list, so every list sends its entries from that share on, unless
 their upper bound stays below the cutoff. Phase 3 resolves the whole scores of what is left exactly.
@@ -60,30 +60,29 @@ def exact_topk(embeddings: DataFrame, k: int = K, every: int = EVERY, lists: int
 
     def first(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "list": [], "vec_id": [], "part": [], "low": []})
+            return pd.DataFrame({"query_id": [], "list": [], "vec_id": [], "part": [], "low": [], "total": []})
         names, ids, parts, own = _block(left, right, dims, lists, k)
-        rows = []
+        rows, total = [], sum(p.astype(np.float64) for p in parts)
         for j, p in enumerate(parts):
             p = p.astype(np.float64)
             low = p.min(axis=1)
             p = np.where(own, -np.inf, p)
             top = np.argpartition(-p, min(k, p.shape[1]) - 1, axis=1)[:, :k]
             i = np.repeat(np.arange(len(names)), top.shape[1])
-            rows.append(pd.DataFrame({"query_id": names[i], "list": j, "vec_id": ids[top.ravel()], "part": p[i, top.ravel()], "low": low[i]}))
+            rows.append(pd.DataFrame({"query_id": names[i], "list": j, "vec_id": ids[top.ravel()], "part": p[i, top.ravel()], "low": low[i], "total": total[i, top.ravel()]}))
         out = pd.concat(rows)
         return out[np.isfinite(out["part"])]
 
-    local = save(groups().applyInPandas(first, "query_id long, list int, vec_id long, part double, low double"), "local_lists")
+    local = save(groups().applyInPandas(first, "query_id long, list int, vec_id long, part double, low double, total double"), "local_lists")
     lows = local.groupBy("query_id", "list").agg(F.min("low").alias("low"))
     best = Window.partitionBy("query_id", "list").orderBy(F.desc("part"), "vec_id")
     heads = local.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
     floor_sum = lows.groupBy("query_id").agg(F.sum("low").alias("lows"))
-    seen = heads.join(lows.withColumnRenamed("low", "least").hint("merge"), ["query_id", "list"])
-    seen = seen.groupBy("query_id", "vec_id").agg(F.sum(F.col("part") - F.col("least")).alias("above"))
-    nth = Window.partitionBy("query_id").orderBy(F.desc("above"), "vec_id")
-    kth = seen.withColumn("n", F.row_number().over(nth)).where(F.col("n") <= k).groupBy("query_id").agg(F.min("above").alias("kth"), F.count("*").alias("held"))
+    seen = heads.groupBy("query_id", "vec_id").agg(F.max("total").alias("total"))
+    nth = Window.partitionBy("query_id").orderBy(F.desc("total"), "vec_id")
+    kth = seen.withColumn("n", F.row_number().over(nth)).where(F.col("n") <= k).groupBy("query_id").agg(F.min("total").alias("kth"), F.count("*").alias("held"))
     # with fewer than k candidates seen no cutoff is safe
-    cut = kth.join(floor_sum.hint("merge"), "query_id").select("query_id", F.when(F.col("held") < k, 0.0).otherwise(F.col("kth")).alias("kth"), "lows")
+    cut = kth.join(floor_sum.hint("merge"), "query_id").select("query_id", F.when(F.col("held") < k, 0.0).otherwise(F.greatest(F.lit(0.0), F.col("kth") - F.col("lows"))).alias("kth"))
     floors = lows.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("list", "low"))).alias("floors"))
     cutoffs = save(cut.join(floors.hint("merge"), "query_id"), "cutoffs")
     told = q.join(cutoffs.withColumnRenamed("query_id", "vec_id").hint("merge"), "vec_id")
