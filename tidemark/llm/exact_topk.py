@@ -5,7 +5,8 @@ candidate that a list has not named scores there at least the list's minimum. Ph
 list's local k best with their whole scores, whose k-th best bounds the answer's from below.
 Phase 2 broadcasts that cutoff to the blocks, shared out evenly over the lists: a candidate that reaches
 it must exceed its list's share in some list, so every list sends its entries from that share on, unless
-their upper bound stays below the cutoff. Phase 3 resolves the whole scores of what is left exactly.
+their upper bound stays below the cutoff. Phase 3 resolves the whole scores of what is left exactly, in the
+block that holds the vectors, so that only entries which reach the cutoff are shuffled.
 
 Scores are integers; sums of products that could leave the exact range of a double are done in Python
 integers. Work is dealt in blocks of queries and candidates; equal vectors count as one, with as many of
@@ -31,10 +32,18 @@ LISTS = 2
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Exact integer inner products: doubles where they are exact, else Python integers."""
     if q.size and c.size and float(np.abs(q).sum(1).max()) * float(np.abs(c).max()) >= 2.0**53:
-        return q.astype(object) @ c.astype(object).T
+        whole = np.frompyfunc(int, 1, 1)
+        return whole(q) @ whole(c).T
     return q @ c.T
 
 
+def _longs(scores: np.ndarray) -> np.ndarray:
+    """Scores beyond the range of a long count as its bound."""
+    if scores.dtype == object:
+        return np.array([max(-(2**63), min(s, 2**63 - 1)) for s in scores], np.int64)
+    return scores.astype(np.int64)
+
+
 def _block(left: pd.DataFrame, right: pd.DataFrame, dims: int, lists: int, k: int):
     q, c = (np.floor(SCALE * matrix(f["v"], dims)) for f in (left, right))
     ids = right["vec_id"].to_numpy()
@@ -49,7 +58,8 @@ def exact_topk(embeddings: DataFrame, k: int = K, every: int = EVERY, lists: int
     """Rows query_id, rank, vec_id, score: the k best of every row whose vec_id is divisible by `every`.
 
     Vectors that are null or hold null or non-finite components take no part. Repeated vec_ids count
-    once. Fewer candidates than k: all of them. Empty table: empty result.
+    once. Fewer candidates than k: all of them. Scores beyond the range of a long count as its bound.
+    Empty table: empty result.
     """
     vectors = stored(embeddings, True)
     q, c, dims = blocks(vectors, every, queries, candidates)
@@ -75,10 +85,8 @@ def exact_topk(embeddings: DataFrame, k: int = K, every: int = EVERY, lists: int
 
     local = save(groups().applyInPandas(first, "query_id long, list int, vec_id long, part double, low double, total double"), "local_lists")
     lows = local.groupBy("query_id", "list").agg(F.min("low").alias("low"))
-    best = Window.partitionBy("query_id", "list").orderBy(F.desc("part"), "vec_id")
-    heads = local.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
     floor_sum = lows.groupBy("query_id").agg(F.sum("low").alias("lows"))
-    seen = heads.groupBy("query_id", "vec_id").agg(F.max("total").alias("total"))
+    seen = local.groupBy("query_id", "vec_id").agg(F.max("total").alias("total"))
     nth = Window.partitionBy("query_id").orderBy(F.desc("total"), "vec_id")
     kth = seen.withColumn("n", F.row_number().over(nth)).where(F.col("n") <= k).groupBy("query_id").agg(F.min("total").alias("kth"), F.count("*").alias("held"))
     # with fewer than k candidates seen no cutoff is safe
@@ -89,24 +97,21 @@ def exact_topk(embeddings: DataFrame, k: int = K, every: int = EVERY, lists: int
 
     def second(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": []})
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         names, ids, parts, own = _block(left, right, dims, lists, k)
         kth = left["kth"].to_numpy()[:, None]
         above = [p.astype(np.float64) - np.array([dict(f)[j] for f in left["floors"]])[:, None] for j, p in enumerate(parts)]
         # a relative slack keeps the comparison safe where doubles are not exact
-        share = kth / lists - 1e-9 * np.abs(kth)
+        share, safe = kth / lists - 1e-9 * np.abs(kth), kth - 1e-6 * np.abs(kth)
         sent = [a >= share for a in above]
         bound = sum(np.where(s, a, share) for s, a in zip(sent, above))
-        found = np.logical_or.reduce(sent) & (bound >= kth - 1e-6 * np.abs(kth)) & ~own
-        i, x = np.nonzero(found)
-        return pd.DataFrame({"query_id": names[i], "vec_id": ids[x]})
-
-    entries = told.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(second, "query_id long, vec_id long")
-    entries = save(entries, "entries")
-    whole = vectors.select("vec_id", F.transform("v", lambda x: F.floor(x * SCALE)).alias("w"))
-    asked = whole.select(F.col("vec_id").alias("query_id"), F.col("w").alias("qw"))
-    pairs = entries.join(whole.hint("merge"), "vec_id").join(asked.hint("merge"), "query_id")
-    product = F.aggregate(F.zip_with("w", "qw", lambda a, b: F.coalesce(a * b, F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)
+        i, x = np.nonzero(np.logical_or.reduce(sent) & (bound >= safe) & ~own)
+        # phase 3
+        reach = sum(a[i, x] for a in above) >= safe[i, 0]
+        i, x = i[reach], x[reach]
+        return pd.DataFrame({"query_id": names[i], "vec_id": ids[x], "score": _longs(sum(p[i, x] for p in parts))})
+
+    entries = told.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(second, "query_id long, vec_id long, score long")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    scored = pairs.select("query_id", "vec_id", product.alias("score")).withColumn("rank", F.row_number().over(rank))
+    scored = entries.withColumn("rank", F.row_number().over(rank))
     return scored.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
