@@ -17,6 +17,7 @@ from .common import fresh, labelled, long_rows
 SIZES = (3, 4, 5)
 BITS = 20
 SEGMENT = 2_000_000
+BLOCK = 500_000
 GAP = "\0" * (max(SIZES) - 1)
 
 
@@ -29,7 +30,7 @@ def _grams(texts: list[str]):
             piece = text[i : i + SEGMENT + len(GAP)]
             block.append((d, piece))
             held += len(piece)
-            if held >= SEGMENT:
+            if held >= BLOCK:
                 yield from _hashed(block)
                 block, held = [], 0
     yield from _hashed(block)
