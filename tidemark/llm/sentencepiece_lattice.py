@@ -1,9 +1,11 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Texts are cut into words, a space with the run of other characters after it, and line ends; together they
-are the text again, and no piece reaches over such a cut. For every distinct word, its substrings of bounded length are exploded and joined with the piece
-table; the edges that match are grouped by word, and a Spark higher-order aggregate folds Viterbi over
-them. Equal scores go to the earliest start. A character without a piece is written as its UTF-8 bytes.
+Texts are cut before every space and around line ends, as pre-tokens; these are cut further wherever two
+kinds of characters meet that stand side by side in no piece of the vocabulary, which changes no best way
+and leaves fewer distinct words. Together the words are the text again. For every distinct word, its
+substrings of bounded length are exploded and joined with the piece table; the edges that match are grouped
+by word, and a Spark higher-order aggregate folds Viterbi over them. Equal scores go to the earliest start.
+A character without a piece is written as its UTF-8 bytes.
 
 Documents then take their words' ids. While the dictionary of distinct words has at most `shared_words`
 rows it is broadcast as hashes and ids, after that count has been checked; a larger one is joined with
@@ -24,10 +26,14 @@ from pyspark.sql.types import LongType
 from . import pieces as P
 from .common import encoded, hashes, long_rows, save, slices
 
-#: Words of a text: a space with what follows it, what stands before the first space, and line ends.
-CUT = " ?[^ \n]+| |\n"
+#: Kinds of bytes: 0 space, 1 line end, 2 digits, 3 ASCII letters, 4 other ASCII, 5 beyond ASCII.
+KIND = np.full(256, 4, np.uint8)
+KIND[32], KIND[10], KIND[48:58], KIND[65:91], KIND[97:123], KIND[128:] = 0, 1, 2, 3, 3, 5
+BLOCK = 250_000
+STEP = 20_000
+HELD_WORDS = 50_000
 SHARED_WORDS = 8_000_000
-WORDS_A_TASK = 40_000
+WORDS_A_TASK = 20_000
 #: No id is below minus this: -1 - the last code point.
 LOWEST = 0x110000
 
@@ -39,8 +45,81 @@ def piece_table(spark, pieces) -> DataFrame:
     return table.withColumn("h", F.xxhash64("of_piece"))
 
 
-def distinct_words(docs: DataFrame) -> DataFrame:
-    return docs.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(CUT), F.lit(0))).alias("word")).distinct()
+def adjoining(pieces) -> np.ndarray:
+    """[kind, kind]: whether two such bytes side by side may share a word."""
+    pairs = np.zeros((6, 6), bool)
+    for piece in pieces:
+        kinds = KIND[np.frombuffer(piece.encode("utf-8", "surrogatepass"), np.uint8)]
+        pairs[kinds[:-1], kinds[1:]] = True
+    pairs[:, :2] = pairs[1] = False  # pre-tokens start at spaces and line ends, and end with the latter
+    pairs[5, 5] = True  # the bytes of one character
+    return pairs
+
+
+def _word_bounds(data: np.ndarray, offsets: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in the bytes of several documents."""
+    kinds = KIND[data]
+    start = np.ones(len(data), bool)
+    start[1:] = ~pairs[kinds[:-1], kinds[1:]]
+    start[offsets[:-1][offsets[:-1] < len(data)]] = True
+    at = np.flatnonzero(start)
+    return at, np.append(at[1:], len(data))
+
+
+def _blocks(texts: pa.Array, pairs: np.ndarray):
+    """(first document, its own offsets, bytes, starts, ends) of the words, in blocks of whole documents."""
+    data, offsets = encoded(texts)
+    for i, j in slices(offsets, BLOCK):
+        own, cut = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        yield i, cut, own, *_word_bounds(own, cut, pairs)
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words, worked out some thousand words at a time, as a document may be very long."""
+    parts = [np.zeros(0, np.uint64)]
+    for k in range(0, len(starts), STEP):
+        low, high = starts[k], ends[min(k + STEP, len(ends)) - 1]
+        parts.append(hashes(data[low:high], starts[k : k + STEP] - low, ends[k : k + STEP] - low))
+    return np.concatenate(parts)
+
+
+def _strings(words) -> pa.Array:
+    return pa.array(words, pa.binary()).view(pa.string())
+
+
+def distinct_words(docs: DataFrame, pairs: np.ndarray) -> DataFrame:
+    """(word): every word once. Tasks hold a bounded set of words, so that few repeats are shuffled."""
+
+    def words(batches):
+        held = set()
+        for batch in batches:
+            for _, _, own, starts, ends in _blocks(batch.column(0), pairs):
+                raw = own.tobytes()
+                for k in range(0, len(starts), STEP):
+                    held.update([raw[a:b] for a, b in zip(starts[k : k + STEP].tolist(), ends[k : k + STEP].tolist())])
+                    if len(held) > HELD_WORDS:
+                        yield pa.record_batch([_strings(list(held))], ["word"])
+                        held = set()
+        yield pa.record_batch([_strings(list(held))], ["word"])
+
+    return docs.select("text").mapInArrow(words, "word string").distinct()
+
+
+def placed_words(rows: DataFrame, pairs: np.ndarray) -> DataFrame:
+    """(row, text) -> (row, pos, word): every word of every row with its place."""
+
+    def words(batches):
+        for batch in batches:
+            for i, cut, own, starts, ends in _blocks(batch.column(1), pairs):
+                raw, first = own.tobytes(), np.searchsorted(starts, cut)
+                for k in range(0, len(starts), STEP):
+                    a, b = starts[k : k + STEP], ends[k : k + STEP]
+                    of = np.searchsorted(cut, a, "right") - 1
+                    word = _strings([raw[x:y] for x, y in zip(a.tolist(), b.tolist())])
+                    pos = np.arange(k, k + len(a)) - first[of]
+                    yield pa.record_batch([batch.column(0).take(pa.array(i + of)), pa.array(pos), word], ["row", "pos", "word"])
+
+    return rows.select("row", "text").mapInArrow(words, "row string, pos long, word string")
 
 
 def encode_words(words: DataFrame, model: str) -> DataFrame:
@@ -56,22 +135,22 @@ def encode_words(words: DataFrame, model: str) -> DataFrame:
     # the id of a character without a piece is -1 - code point; its bytes are written at the end
     edge = F.struct("e", "s", F.coalesce("score", F.lit(float(unknown))).alias("score"), F.coalesce("id", -1 - F.ascii("piece")).alias("id"))
     lattice = edges.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    # fold: f[i] is the best score to position i and w[i] its last edge, start and id in one long, as
-    # edges come by end and then by start; at last the ways are followed back from the end of the word
+    # fold: f[i] is the best score to position i and w[i] its last edge, start and id in one long. Edges come
+    # by end and then by start; the best to the current end stays apart in b and v until the next end comes.
+    # At last the ways are followed back from the end of the word
     way = f"x.s * 4294967296L + x.id + {LOWEST}"
     fold = f"""aggregate(edges,
-        struct(array(0D) as f, array(0L) as w),
+        struct(array(0D) as f, array(0L) as w, double('-Infinity') as b, 0L as v),
         (a, x) -> if(size(a.f) = x.e,
-            struct(array_append(a.f, a.f[x.s] + x.score) as f, array_append(a.w, {way}) as w),
-            if(a.f[x.s] + x.score > a.f[x.e],
-                struct(array_append(slice(a.f, 1, x.e), a.f[x.s] + x.score) as f, array_append(slice(a.w, 1, x.e), {way}) as w),
-                a)),
-        a -> aggregate(sequence(1, size(a.w)),
-            struct(size(a.w) - 1 as at, cast(array() as array<int>) as ids),
+            if(a.f[x.s] + x.score > a.b, struct(a.f as f, a.w as w, a.f[x.s] + x.score as b, {way} as v), a),
+            struct(array_append(a.f, a.b) as f, array_append(a.w, a.v) as w,
+                if(x.s = size(a.f), a.b, a.f[x.s]) + x.score as b, {way} as v)),
+        a -> transform(array(array_append(a.w, a.v)), w -> aggregate(sequence(1, size(w)),
+            struct(size(w) - 1 as at, cast(array() as array<int>) as ids),
             (b, i) -> if(b.at = 0, b, struct(
-                cast(shiftright(a.w[b.at], 32) as int) as at,
-                array_prepend(b.ids, cast((a.w[b.at] & 4294967295L) - {LOWEST} as int)) as ids)),
-            b -> b.ids))"""
+                cast(shiftright(w[b.at], 32) as int) as at,
+                array_prepend(b.ids, cast((w[b.at] & 4294967295L) - {LOWEST} as int)) as ids)),
+            b -> b.ids))[0])"""
     # UTF-8 of a code point, a byte each
     spelled = """transform(
         case when (-1 - i) < 128 then array(-1 - i)
@@ -88,16 +167,6 @@ def word_hash(word: pd.Series) -> pd.Series:
     return pd.Series(hashes(data, offsets[:-1], offsets[1:]).view(np.int64))
 
 
-def _word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words in the bytes of several documents, as CUT makes them."""
-    line = data == 10
-    start = (data == 32) | line
-    start[1:] |= line[:-1]
-    start[offsets[:-1][offsets[:-1] < len(data)]] = True
-    at = np.flatnonzero(start)
-    return at, np.append(at[1:], len(data))
-
-
 def encode(docs: DataFrame, model: str | None = None, shared_words: int = SHARED_WORDS) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids (array of int) of the whole text.
 
@@ -105,35 +174,42 @@ def encode(docs: DataFrame, model: str | None = None, shared_words: int = SHARED
     """
     model = model or P.default_model()
     spark = docs.sparkSession
-    words = save(distinct_words(docs), "words")
+    long_rows(spark, 250)
+    pairs = adjoining(P.load(model)[0])
+    words = save(distinct_words(docs, pairs), "words")
     n = words.count()
     # a task folds a bounded number of words, so that its lattice stays in memory
     words = save(encode_words(words.repartition(max(1, -(-n // WORDS_A_TASK)), "word"), model), "dictionary")
     if n > shared_words:
-        return _encode_by_join(docs, words)
+        return _encode_by_join(docs, words, pairs)
     told = words.select(word_hash("word").alias("h"), "ids").toArrow()
     h = told["h"].to_numpy().view(np.uint64)
     order = np.argsort(h)
     if len(h) > 1 and (h[order][1:] == h[order][:-1]).any():
-        return _encode_by_join(docs, words)  # two words with one hash: never seen, but not excluded
+        return _encode_by_join(docs, words, pairs)  # two words with one hash: never seen, but not excluded
     ids = told["ids"].combine_chunks()
     ends, flat = np.asarray(ids.offsets), np.asarray(ids.values)
     flat = flat.astype(np.uint16 if flat.max(initial=0) < 1 << 16 else np.int32)
-    shared = spark.sparkContext.broadcast((h[order], ends[:-1][order], np.diff(ends)[order].astype(np.uint32), flat))
-    del told, ids, h, order, ends, flat
-    long_rows(spark)
+    # ids in the order of the hashes, so that one array of ends tells where each word's ids are
+    sizes = np.diff(ends)[order]
+    edges = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+    sorted_ids = np.empty(edges[-1], flat.dtype)
+    for k in range(0, len(order), STEP):
+        part, size = edges[k : k + STEP + 1], sizes[k : k + STEP]
+        place = np.arange(part[0], part[-1]) - np.repeat(part[:-1] - ends[:-1][order[k : k + STEP]], size)
+        sorted_ids[part[0] : part[-1]] = flat[place]
+    shared = spark.sparkContext.broadcast((h[order], edges.astype(np.uint32), sorted_ids))
+    del told, ids, h, order, ends, flat, sizes, edges, sorted_ids
 
     @F.pandas_udf("array<int>")
     def look_up(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        keys, first, count, flat = shared.value
+        keys, edges, flat = shared.value
         for text in texts:
-            data, offsets = encoded(pa.array(text.tolist(), pa.large_string()))
             out = []
-            for i, j in slices(offsets, 500_000):
-                own, cut = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                starts, ends = _word_bounds(own, cut)
-                at = np.searchsorted(keys, hashes(own, starts, ends))
-                n, of = count[at].astype(np.int64), first[at]
+            for _, cut, own, starts, ends in _blocks(pa.array(text.tolist(), pa.large_string()), pairs):
+                at = np.searchsorted(keys, _hashes(own, starts, ends))
+                of = edges[at].astype(np.int64)
+                n = edges[at + 1] - of
                 total = np.r_[0, np.cumsum(n)]
                 tokens = flat[np.arange(total[-1]) - np.repeat(total[:-1] - of, n)]
                 edge = total[np.searchsorted(starts, cut)]
@@ -144,11 +220,10 @@ def encode(docs: DataFrame, model: str | None = None, shared_words: int = SHARED
     return docs.select("doc_id", look_up(F.col("text")).alias("ids")).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
-def _encode_by_join(docs: DataFrame, words: DataFrame) -> DataFrame:
+def _encode_by_join(docs: DataFrame, words: DataFrame, pairs: np.ndarray) -> DataFrame:
     """The way for a dictionary beyond any broadcast: words and their places meet the dictionary by shuffle."""
     rows = save(docs.select("doc_id", "text", F.expr("uuid()").alias("row")), "rows")
-    cut = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(CUT), F.lit(0))
-    at = rows.select("row", F.posexplode(cut).alias("pos", "word"))
+    at = placed_words(rows, pairs)
     ids = at.join(words.hint("merge"), "word").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("w"))
     ids = ids.select("row", F.flatten("w.ids").alias("ids"))
     out = rows.select("row", "doc_id").join(ids.hint("merge"), "row", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
