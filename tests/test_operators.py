@@ -7,12 +7,12 @@ import duckdb
 import pytest
 
 from tidemark import registry
-from tidemark.operators import folds, performance, risk, technical
+from tidemark.operators import desk, folds, performance, risk, technical
 from tidemark.sources.views import view
 from tidemark.streaming import bars as live
 
 SF = "/root/testdata/sf0.001"
-OPS = {op.name: op for m in (technical, risk, performance) for op in m.OPERATORS}
+OPS = {op.name: op for m in (technical, risk, performance, desk) for op in m.OPERATORS}
 TABLES = "customer nation region supplier part orders lineitem events documents labels embeddings pages benchmark conversations".split()
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from ..functions.operator import Operator
-from ..operators import performance, risk, technical
+from ..operators import desk, performance, risk, technical
 from ..registry import query
 from ..sources.views import VIEWS, view
 
@@ -22,7 +22,7 @@ def _put(op: Operator) -> None:
 def load() -> None:
     """Register every operator once."""
     if not _DONE:
-        for module in (technical, risk, performance):
+        for module in (technical, risk, performance, desk):
             for op in module.OPERATORS:
                 _put(op)
         from . import extra
