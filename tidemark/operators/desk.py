@@ -74,7 +74,7 @@ select symbol, round(max(latest) * sqrt(252), 6) as volatility, round(avg(case w
     operator("clean_bars", "bars", "Q2 positive bars of symbols with 100 or more, within ten deviations of their 50-bar mean, with a mean price", f"""
 with x as (select symbol, ts, high, low, close, avg(close) {last(50)} as m, stddev_samp(close) {last(50)} as sd, count(*) {last(50)} as held, count(*) over (partition by symbol) as n
     from bars where open > 0 and high > 0 and low > 0 and close > 0 and volume > 0)
-select symbol, ts, round(close, 6) as close, round((high + low + close) / 3, 6) as vwap from x where n >= 100 and (held < 10 or abs(close - m) <= 10 * sd)"""),
+select symbol, ts, close, (high + low + close) / 3 as vwap from x where n >= 100 and (held < 10 or abs(close - m) <= 10 * sd)"""),
     operator("winsorised", "bars", "Q5 volume cut at its 1st and 99th percentile and normalised, by symbol", """
 with p as (select symbol, percentile_cont(0.01) within group (order by volume) as lo, percentile_cont(0.99) within group (order by volume) as hi from bars group by symbol),
 w as (select bars.symbol, bars.ts, greatest(p.lo, least(p.hi, bars.volume)) as v from bars join p on bars.symbol = p.symbol)
@@ -110,7 +110,7 @@ select symbol, round(mean, 6) as win_rate, round(greatest(0.0, mean - 1.96 * sd)
 with m as (select symbol, date_trunc('month', ts) as month, avg(pnl) as v from trades group by symbol, date_trunc('month', ts)),
 k as (select symbol, v, row_number() over (partition by symbol order by month) as i, first_value(v) over (partition by symbol order by month desc) as latest from m),
 s as (select symbol, max(latest) as latest, max(v) as peak, avg(v) as mean, regr_slope(v, i) as slope from k group by symbol having count(*) >= 3)
-select symbol, round(latest, 4) as latest, round(peak, 4) as peak, round(mean, 4) as mean, round(slope, 5) as slope, round(case when slope < 0 and latest > 0 then -latest / slope end, 3) as months_left from s"""),
+select symbol, round(latest, 8) as latest, round(peak, 8) as peak, round(mean, 8) as mean, round(slope, 5) as slope, round(case when slope < 0 and latest > 0 then -latest / slope end, 3) as months_left from s"""),
     operator("pnl_report", "trades", "D1 trades, wins and profit by side, by symbol and overall in one pass", """
 select side, symbol, cast(count(*) as bigint) as trades, cast(sum(case when pnl > 0 then 1 else 0 end) as bigint) as wins, round(sum(pnl), 2) as pnl from trades group by grouping sets ((side), (symbol), ())"""),
     operator("false_discovery", "trades", "K14 p-value of each symbol's mean profit with Bonferroni and Benjamini-Hochberg correction", """
