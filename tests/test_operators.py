@@ -105,6 +105,23 @@ def test_fifo_equals_a_plain_loop(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_wash_sales_equal_a_plain_loop(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), rng.randrange(900), rng.choice(["buy", "sell"]), rng.choice([-900.0, -200.0, -199.5, -0.25, 0.0, 40.0])) for _ in range(150)]
+    day = dt.datetime(2024, 1, 1)
+    frame = spark.createDataFrame(
+        [(s, day + dt.timedelta(days=d), side, 1.0, 1.0, pnl, i, 1, 1) for i, (s, d, side, pnl) in enumerate(rows)],
+        "symbol string, ts timestamp_ntz, side string, shares double, price double, pnl double, id long, line int, part long",
+    )
+    want = []
+    for i, (s, d, side, pnl) in enumerate(rows):
+        near = [b for t, b, what, _ in rows if t == s and what == "buy" and abs(b - d) <= 30]
+        if side == "sell" and pnl < 0 and near:
+            want.append((s, i, pnl, day + dt.timedelta(days=min(near))))
+    got = OPS["wash_sales"](frame).select("symbol", "id", "loss", "purchase").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and any(-200 < w[2] < 0 for w in want)
+
+
 def test_stream_of_bars_equals_the_batch(spark, tmp_path):
     ticks = view(spark, SF, "events").selectExpr("event_type as symbol", "cast(ts as timestamp) as ts", "value as price", "1.0D as size")
     ticks.coalesce(1).write.parquet(str(tmp_path / "in"))

@@ -60,7 +60,7 @@ select distinct bg.symbol, cast(bg.k as bigint) as buy_no, cast(sg.k as bigint)
     round((least(b1, s1) - greatest(b0, s0)) * (sg.price - bg.price), 8) as realised, DAYS(sg.ts, bg.ts) as days_held
 from sg join bg on sg.symbol = bg.symbol and sg.g = bg.g and least(b1, s1) > greatest(b0, s0)"""),
     operator("wash_sales", "trades", "X9 losses with a purchase within 30 days either side; each triggers once, by the first", """
-with l as (select symbol, id, line, ts, pnl from trades where side = 'sell' and pnl < -200), b as (select symbol, ts, count(*) as n from trades where side = 'buy' group by symbol, ts)
+with l as (select symbol, id, line, ts, pnl from trades where side = 'sell' and pnl < 0), b as (select symbol, ts, count(*) as n from trades where side = 'buy' group by symbol, ts)
 select l.symbol, l.id, l.line, round(l.pnl, 4) as loss, min(b.ts) as purchase from l join b on l.symbol = b.symbol and abs(DAYS(b.ts, l.ts)) <= 30 group by l.symbol, l.id, l.line, l.ts, l.pnl"""),
     operator("drawdown_events", "trades", "K3 drawdowns of each equity curve: peak, trough, depth and length", f"""
 with {DAILY}, h as (select symbol, ts, equity, max(equity) over (partition by symbol order by ts) as top from q),
