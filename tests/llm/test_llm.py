@@ -231,6 +231,35 @@ def test_near_duplicates_odd_rows(spark, odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def brute_similar(texts):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for t in texts)]
+    links = {i: [j for j in range(len(sets)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(len(sets))}
+    label = list(range(len(sets)))
+    for _ in sets:
+        before = list(label)
+        label = [min(label[j] for j in links[i]) for i in range(len(sets))]
+        if label == before:
+            return label
+
+
+@pytest.mark.parametrize("dense", [4])
+def test_stage_keeps_one_of_texts_similar_in_five_words(spark, dense):
+    rng = random.Random(6)
+    texts = list(ODD)
+    for edits in [1, 2, 3, 4, 5, 6, 8] * 6:
+        words = [f"w{rng.randrange(500)}" for _ in range(rng.choice([40, 150, 250]))]
+        texts.append(" ".join(words))
+        for _ in range(edits):
+            words[rng.randrange(len(words))] = "edited"
+        texts.append(" ".join(words))
+    crowd = [f"c{i}" for i in range(200)]
+    texts += [" ".join(crowd[:i] + [f"own{i}"] + crowd[i + 1 :]) for i in range(0, 200, 3)]
+    want = brute_similar(texts)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs_of(spark, texts), dense).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert sorted(r.doc_id for r in simhash.keep_one(docs_of(spark, texts), dense).collect()) == sorted(set(want))
+
+
 # 8 mixing
 
 

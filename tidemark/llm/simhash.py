@@ -9,6 +9,11 @@ more than `dense` fingerprints share would give too many pairs. Its members firs
 variants within one bit: members of one variant are all linked, so each of them needs one edge, to the
 smallest. Only what a key holds outside its largest cluster is then compared with the key's members; a
 key with much of that emits whole balls. No link is lost, and no group is expanded into all its pairs.
+
+The pipeline removes by another rule: texts whose sets of five-word shingles have a Jaccard similarity of
+0.8 or more. Two such texts differ in some 10 of 64 bits, which no ball covers, so the links above only
+find the closest. Keys of 24 bands of four minimum hashes find the others: a pair at 0.8 shares none of
+them with a probability of 3e-6. Every link, of either kind, is verified on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -19,33 +24,93 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructType
 
-from .common import fresh, save
+from .common import fresh, long_rows, save
 from .components import components
 
+#: The digest of op7_simhash.
 WORDS = 4
 RADIUS = 4
+#: The pipeline's rule, and the bands of minimum hashes that find what the digest does not.
+STAGE_WORDS = 5
+SIMILAR = 0.8
+BANDS, ROWS = 24, 4
+_SEEDS = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
 
 
-def fingerprint_of(text: str | None, words: int = WORDS) -> int:
-    """Fingerprint of one text as a signed 64-bit integer; zero without words."""
+def shingles(text: str | None, words: int):
+    """Hashes of the runs of words in a text, in blocks; a shorter text is one run."""
     import xxhash
 
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return
     whole = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     if len(parts) <= words:
         starts, ends = [0], [len(whole)]
     else:
         starts, ends = np.r_[0, ends[: -words] + 1].tolist(), ends[words - 1 :].tolist()
-    digest, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     for i in range(0, len(starts), 65536):
-        h = np.array([digest(whole[a:b], 42) for a, b in zip(starts[i : i + 65536], ends[i : i + 65536])], np.uint64)
+        yield np.array([digest(whole[a:b], 42) for a, b in zip(starts[i : i + 65536], ends[i : i + 65536])], np.uint64)
+
+
+def _folded(blocks) -> int:
+    total, n = np.zeros(64, np.int64), 0
+    for h in blocks:
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(total * 2 > len(starts), bitorder="little").view(np.int64)[0])
+        n += len(h)
+    return int(np.packbits(total * 2 > n, bitorder="little").view(np.int64)[0])
+
+
+def fingerprint_of(text: str | None, words: int = WORDS) -> int:
+    """Fingerprint of one text as a signed 64-bit integer; zero without words."""
+    return _folded(shingles(text, words))
+
+
+def shingle_set(text: str | None, words: int = STAGE_WORDS) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingles(text, words)]))
+
+
+def bands_of(of_text: np.ndarray) -> list[int]:
+    """One key for each band of minimum hashes of a text's shingles; none without shingles."""
+    if not len(of_text):
+        return []
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for i in range(0, len(of_text), 4096):
+        np.minimum(least, ((of_text[i : i + 4096, None] ^ _SEEDS[0]) * (_SEEDS[1] | np.uint64(1))).min(0), out=least)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(32)
+    return key.view(np.int64).tolist()
+
+
+@F.pandas_udf(StructType().add("node", LongType()).add("fp", LongType()).add("size", IntegerType()).add("bands", ArrayType(LongType())))
+def sketch(text: pd.Series) -> pd.DataFrame:
+    """What the pipeline's stage needs of a text; node is a hash of its words."""
+    import xxhash
+
+    rows = []
+    for t in text:
+        blocks = list(shingles(t, STAGE_WORDS))
+        of_text = np.unique(np.concatenate([np.zeros(0, np.uint64), *blocks]))
+        node = xxhash.xxh64_intdigest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()), 7)
+        rows.append((node - (1 << 63), _folded(blocks), len(of_text), bands_of(of_text)))
+    return pd.DataFrame(rows, columns=["node", "fp", "size", "bands"])
+
+
+@F.pandas_udf(DoubleType())
+def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Jaccard similarity of the shingle sets; 1 for two texts without words."""
+    out = []
+    for x, y in zip(a, b):
+        x, y = shingle_set(x), shingle_set(y)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        out.append(both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0)
+    return pd.Series(out, dtype="float64")
 
 
 @F.pandas_udf(LongType())
@@ -126,13 +191,64 @@ def near_duplicates(docs: DataFrame, dense: int = 32) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _verified(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose texts are similar."""
+    pairs = save(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    texts = save(marks.select("node", "text").join(ends.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "texts")
+    one, two = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "uv")
+    both = pairs.join(one.hint("merge"), "u").join(two.hint("merge"), "v")
+    return save(both.where(similarity("text_u", "text_v") >= SIMILAR).select("u", "v"), "similar")
+
+
+def _between(hits: DataFrame, dense: int) -> DataFrame:
+    """Pairs of one key and different clusters whose sizes allow the similarity. A crowded key compares
+    what it holds beyond its largest cluster with all its members."""
+    fits = f"least(x.size, y.size) >= {SIMILAR}D * greatest(x.size, y.size) and x.cluster <> y.cluster"
+    light = hits.where(F.col("c") <= dense).groupBy("key").agg(F.collect_list(F.struct("node", "size", "cluster")).alias("m"))
+    pairs = F.expr(f"""flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> {fits}),
+        y -> struct(x.node as u, y.node as v))))""")
+    few = light.select(F.explode(pairs).alias("e")).select("e.u", "e.v")
+    crowded = hits.where(F.col("c") > dense)
+    counts = crowded.groupBy("key", "cluster").agg(F.count("*").alias("n"))
+    keys = counts.groupBy("key").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("main"), (F.sum("n") - F.max("n")).alias("rest"))
+    mixed = save(crowded.join(keys.where("rest > 0").hint("merge"), "key"), "mixed_bands")
+    x, y = mixed.where("cluster <> main").alias("x"), mixed.alias("y")
+    across = x.join(y, F.col("x.key") == F.col("y.key")).where(fits).select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
+    return few.union(across)
+
+
+def similar_documents(docs: DataFrame, dense: int = 32) -> DataFrame:
+    """(doc_id, component_id) of every row with a doc_id: documents that are linked, directly or through
+    others, by a Jaccard similarity of SIMILAR or more get the smallest doc_id among them."""
+    long_rows(docs.sparkSession)
+    named = docs.where("doc_id is not null").select("doc_id", "text", sketch(F.col("text")).alias("s"))
+    marks = save(named.select("doc_id", "text", "s.*"), "sketches")
+    prints = save(marks.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "size", "bands"))), "prints")
+    keys = save(prints.select("node", "size", F.explode("bands").alias("key")), "bands")
+    shared = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("hub")).where("c > 1")
+    hits = save(keys.join(shared.hint("merge"), "key"), "band_hits")
+    # the closest first, so that crowds are single clusters when the other pairs are made
+    of_print = save(prints.groupBy("fp").agg(F.min("node").alias("node")), "of_print")
+    same = prints.join(of_print.withColumnRenamed("node", "v").hint("merge"), "fp").select(F.col("node").alias("u"), "v")
+    stars = hits.where(F.col("c") > dense).select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    near = _verified(links(of_print, dense).union(same).union(stars), marks)
+    clusters = components(near).withColumnRenamed("component", "cluster")
+    inside = save(hits.join(clusters.hint("merge"), "node", "left").withColumn("cluster", F.coalesce("cluster", "node")), "band_clusters")
+    found = components(near.union(_verified(_between(inside, dense), marks)))
+    rows = marks.select("doc_id", "node").join(found.hint("merge"), "node", "left").select("doc_id", F.coalesce("component", "node").alias("group"))
+    rows = save(rows, "groups")
+    names = rows.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(names.hint("merge"), "group").select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame, dense: int = 32) -> DataFrame:
-    """One document of each group: the row of its smallest doc_id, all columns as they came.
+    """One document of each group of similar_documents: the row of its smallest doc_id, all columns as they came.
 
     Of rows that repeat that doc_id one stays; rows without a doc_id stay.
     """
     again = fresh(docs, "again")
-    ids = near_duplicates(docs, dense).where("doc_id = component_id").groupBy("doc_id").agg((F.count("*") > 1).alias(again))
+    ids = similar_documents(docs, dense).where("doc_id = component_id").groupBy("doc_id").agg((F.count("*") > 1).alias(again))
     stay = docs.join(ids.hint("merge"), "doc_id")
     once = stay.where(~F.col(again)).unionByName(stay.where(F.col(again)).dropDuplicates(["doc_id"]))
     return once.select(docs.columns).unionByName(docs.where("doc_id is null"))
