@@ -59,6 +59,18 @@ def test_html_copied_articles_stay(spark):
     assert {r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"A copied text"}
 
 
+def test_html_repeated_line_beside_unique_text(spark):
+    rows = [(i, f"http://h.example/{i}", f"<body><div class=wrap><p>Same on every page</p><div class=post><p>Unique article {i}</p></div><div class=side><p>Same links</p></div></div>") for i in range(20)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Unique article {i}" for i in range(20)}
+
+
+def test_html_presentation_is_the_sequence_of_child_tags():
+    children = {}
+    html_text.parse("<body><div><h1>a</h1><p>b</p><ul><li>c</ul></div>", children)
+    assert children["/body/div"] == ["h1", "p", "ul"] and children["/body/div/ul"] == ["li"]
+
+
 # 2 and 6 classifiers
 
 

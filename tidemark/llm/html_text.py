@@ -2,10 +2,12 @@
 
 The DOMs of a host's pages are merged: a node of the tree is a host and a path of containers (tag and
 first class). A page's presentation of the node is the sequence of its child tags; its content features
-are the text blocks in it. Over the m pages that hold a node, the presentation importance is the entropy
+are the text blocks that stand in it and in no container below it. Over the m pages that hold a node, the presentation importance is the entropy
 of the presentations to the base m, and the content importance is 1 minus the mean entropy, to the base
-m, of the features' spread over the pages: blocks that every page repeats make it 0. Nodes whose composite
-importance is low are branches of the site, not of the page, and are cut from each page.
+m, of the features' spread over the pages: blocks that every page repeats make it 0. Nodes of low
+importance are the site's, not the page's, and their own blocks are cut from each page. Each node below is
+judged by itself: a whole branch goes only if all of its nodes are low, and a repeated line takes none of
+the text in containers beside it along.
 
 The tree cannot judge a host with few pages, so branches whose tag or name states their role (menus,
 footers, forms, adverts and so on) are cut everywhere, and the branch that a page marks as its article is
@@ -61,8 +63,10 @@ def _furniture(tag: str, attrs: str, inside_main: bool) -> tuple[bool, str]:
     return cut and tag not in ("body", "html"), first
 
 
-def parse(page: str | None) -> list[tuple[str, str, bool, bool]]:
-    """Text blocks in page order: (path of containers, text, furniture, in the marked article)."""
+def parse(page: str | None, children: dict[str, list[str]] | None = None) -> list[tuple[str, str, bool, bool]]:
+    """Text blocks in page order: (path of containers, text, furniture, in the marked article).
+
+    children gets the tags that stand in each path."""
     page = page or ""
     out: list[tuple[str, str, bool, bool]] = []
     text: list[str] = []
@@ -133,6 +137,8 @@ def parse(page: str | None) -> list[tuple[str, str, bool, bool]]:
             furniture, name = _furniture(tag, m["attrs"], main)
             main = main or tag in MAIN_TAGS
             cut = cut or furniture
+            if children is not None:
+                children.setdefault(path, []).append(tag)
             if tag in CONTAINERS:
                 path = f"{path}/{tag}.{name}" if name else f"{path}/{tag}"
             stack.append((tag, path, cut, main))
@@ -152,10 +158,11 @@ def style_tree(pages: DataFrame) -> DataFrame:
             rows = []
             for host, page in zip(batch["host"], batch["html"]):
                 seen: dict[str, list[str]] = {}
-                for path, text, _, _ in parse(page):
+                tags: dict[str, list[str]] = {}
+                for path, text, _, _ in parse(page, tags):
                     seen.setdefault(path, []).append(text)
                 for path, texts in seen.items():
-                    rows.append((host, path, -1, hash_text(str(len(texts)))))
+                    rows.append((host, path, -1, hash_text(" ".join(tags.get(path, ())))))
                     rows += [(host, path, 1, h) for h in {hash_text(t) for t in texts}]
             yield pd.DataFrame(rows, columns=["host", "path", "kind", "feature"])
 
@@ -170,7 +177,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
     m = F.log(F.col("m").cast("double"))
     style = F.when(F.col("m") > 1, 1 - F.col("c_log_c") / (F.col("m") * m)).otherwise(1.0)
     content = F.when(F.col("m") > 1, 1 - F.col("log_c") / m).otherwise(1.0)
-    # the share of content grows with the number of features, as in the tree's composite of children
+    # the share of content grows with the number of features
     weight = F.pow(F.lit(0.9), F.col("features").cast("double"))
     return spread.select("host", "path", "m", ((1 - weight) * content + weight * F.least(style, content)).alias("importance"))
 
@@ -182,8 +189,8 @@ def hash_text(text: str) -> int:
 
 
 def main_text(page: str | None, low: frozenset[str] | set[str] = frozenset()) -> str:
-    """Kept blocks joined by a line end; the marked article if the page has one."""
-    kept = [(text, main) for path, text, cut, main in parse(page) if not cut and (main or not any(path == p or path.startswith(f"{p}/") for p in low))]
+    """Kept blocks joined by a line end; the marked article if the page has one. low: paths whose own blocks go."""
+    kept = [(text, main) for path, text, cut, main in parse(page) if not cut and (main or path not in low)]
     if any(main for _, main in kept):
         kept = [x for x in kept if x[1]]
     return "\n".join(text for text, _ in kept)
@@ -192,7 +199,7 @@ def main_text(page: str | None, low: frozenset[str] | set[str] = frozenset()) ->
 def extract(pages: DataFrame, low: float = 0.25, least_pages: int = 8, shared_hosts: int = 100_000, salts: int = 32) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
-    low: nodes under this importance are cut, on hosts with least_pages pages or more that hold them.
+    low: the blocks of nodes under this importance are cut, on hosts with least_pages pages or more that hold them.
     shared_hosts: up to so many hosts with such nodes, their paths are broadcast (after a count); beyond,
     they are joined by host, salted. Null html: empty text. Null url: a host of its own. Repeated rows and
     page_ids each keep a row. Empty table: empty result.
