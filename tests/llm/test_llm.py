@@ -71,6 +71,15 @@ def test_html_presentation_is_the_sequence_of_child_tags():
     assert children["/body/div"] == ["h1", "p", "ul"] and children["/body/div/ul"] == ["li"]
 
 
+@pytest.mark.parametrize("wrapper", ["class='layout has-sidebar'", "id=page class=no-header", "class='content share-enabled'", "class='site with-banner'", "class='page header'"])
+def test_html_names_of_wrappers(wrapper):
+    page = f"<body><div class=site-header>Top</div><div class='share-buttons'>Share</div><div {wrapper}><article><div class=article-header><h1>Head</h1></div><p class=notice-period>One</p><section id=related-work><p>Two</p></section><div class=comments>Hi</div></article></div>"
+    assert html_text.main_text(page) == "Head\nOne\nTwo"
+    assert html_text.main_text(page.replace("<article>", "").replace("</article>", "")) == "Head\nOne\nTwo" or wrapper == "class='page header'"
+    teaser = "<body><div class=post><p>The long text of the page itself</p></div><div class=related><article>Teaser</article></div>"
+    assert html_text.main_text(teaser) == "The long text of the page itself" and html_text.main_text("<body><div hidden><article>No</article></div>") == ""
+
+
 # 2 and 6 classifiers
 
 

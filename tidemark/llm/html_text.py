@@ -11,7 +11,9 @@ the text in containers beside it along.
 
 The tree cannot judge a host with few pages, so branches whose tag or name states their role (menus,
 footers, forms, adverts and so on) are cut everywhere, and the branch that a page marks as its article is
-never cut for being repeated: a copied page keeps its text.
+never cut for being repeated: a copied page keeps its text. A name is a whole class, id or role, or a
+compound of such names and of words that only place them. A branch cut by its name stays if the page's
+marked article is in it, or all the text that is left.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import fresh, save
 
 # Tag names of HTML and usual names of page furniture.
+NAME, FIRM = 1, 2  # furniture by the name of a wrapper outside the article; furniture by anything else
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "canvas", "math")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("body div section article main header footer nav aside form ul ol dl table figure details dialog fieldset menu".split())
@@ -35,6 +39,8 @@ FURNITURE_TAGS = frozenset("head nav footer aside form select button menu dialog
 FURNITURE_NAMES = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie consent disclaimer disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice overlay pager pagination popup promo promoted related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split()
 )
+#: Words that may stand beside a name of FURNITURE_NAMES in a compound: site-header, share-buttons.
+BESIDE = frozenset("area bar block bottom box button buttons container global icons inner item items left links list panel posts primary right secondary section site top wrap wrapper".split())
 MAIN_TAGS = frozenset(("article", "main"))
 
 TOKEN = re.compile(
@@ -46,32 +52,41 @@ NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(?:
 END_OF_RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW}
 
 
-def _furniture(tag: str, attrs: str, inside_main: bool) -> tuple[bool, str]:
-    """Whether a branch's tag or names tell that it is no main text; its first class."""
+@lru_cache(4096)
+def _named_furniture(value: str) -> bool:
+    for name in value.split():
+        parts = {p for p in re.split(r"[^a-z]+", name) if p}
+        if name in FURNITURE_NAMES or parts & FURNITURE_NAMES and parts <= FURNITURE_NAMES | BESIDE:
+            return True
+    return False
+
+
+def _furniture(tag: str, attrs: str, inside_main: bool) -> tuple[int, str]:
+    """FIRM or NAME if a branch's tag or names tell that it is no main text, else 0; its first class."""
     if tag in FURNITURE_TAGS or tag == "header" and not inside_main:
-        return True, ""
-    first, cut = "", False
+        return FIRM, ""
+    first, cut = "", 0
     if "=" in attrs or "hidden" in attrs:
         for name, *values in NAMED.findall(attrs):
             value, name = "".join(values).lower(), name.lower()
             if name == "class":
                 first = value.split()[0] if value.split() else ""
             if name == "hidden" or name == "aria-hidden" and value == "true":
-                cut = True
-            elif any(w in FURNITURE_NAMES for w in re.split(r"[^a-z]+", value)):
-                cut = True
-    return cut and tag not in ("body", "html"), first
+                cut = FIRM
+            elif _named_furniture(value):
+                cut = max(cut, FIRM if inside_main else NAME)
+    return 0 if tag in ("body", "html") else cut, first
 
 
-def parse(page: str | None, children: dict[str, list[str]] | None = None) -> list[tuple[str, str, bool, bool]]:
+def parse(page: str | None, children: dict[str, list[str]] | None = None) -> list[tuple[str, str, int, bool]]:
     """Text blocks in page order: (path of containers, text, furniture, in the marked article).
 
     children gets the tags that stand in each path."""
     page = page or ""
-    out: list[tuple[str, str, bool, bool]] = []
+    out: list[tuple[str, str, int, bool]] = []
     text: list[str] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, furniture, in the article
-    path, cut, main = "", False, False
+    stack: list[tuple[str, str, int, bool]] = []  # tag, path, furniture, in the article
+    path, cut, main = "", 0, False
 
     def flush():
         if text:
@@ -84,7 +99,7 @@ def parse(page: str | None, children: dict[str, list[str]] | None = None) -> lis
         nonlocal path, cut, main
         flush()
         del stack[depth:]
-        _, path, cut, main = stack[-1] if stack else ("", "", False, False)
+        _, path, cut, main = stack[-1] if stack else ("", "", 0, False)
 
     at, n = 0, len(page)
     while at < n:
@@ -136,7 +151,7 @@ def parse(page: str | None, children: dict[str, list[str]] | None = None) -> lis
                     break
             furniture, name = _furniture(tag, m["attrs"], main)
             main = main or tag in MAIN_TAGS
-            cut = cut or furniture
+            cut = max(cut, furniture)
             if children is not None:
                 children.setdefault(path, []).append(tag)
             if tag in CONTAINERS:
@@ -190,10 +205,17 @@ def hash_text(text: str) -> int:
 
 def main_text(page: str | None, low: frozenset[str] | set[str] = frozenset()) -> str:
     """Kept blocks joined by a line end; the marked article if the page has one. low: paths whose own blocks go."""
-    kept = [(text, main) for path, text, cut, main in parse(page) if not cut and (main or path not in low)]
-    if any(main for _, main in kept):
-        kept = [x for x in kept if x[1]]
-    return "\n".join(text for text, _ in kept)
+    blocks = [x for x in parse(page) if x[2] != FIRM and (x[3] or x[0] not in low)]
+    kept = [x for x in blocks if not x[2]]
+    if not any(x[3] for x in kept):
+        # a wrapper may have a name of furniture; an article in it counts if it is most of the text
+        article = [x for x in blocks if x[3]]
+        if sum(len(x[1]) for x in article) > sum(len(x[1]) for x in kept):
+            kept = article
+    kept = kept or blocks
+    if any(x[3] for x in kept):
+        kept = [x for x in kept if x[3]]
+    return "\n".join(x[1] for x in kept)
 
 
 def extract(pages: DataFrame, low: float = 0.25, least_pages: int = 8, shared_hosts: int = 100_000, salts: int = 32) -> DataFrame:
