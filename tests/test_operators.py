@@ -105,6 +105,13 @@ def test_fifo_equals_a_plain_loop(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_fifo_of_large_lots(spark):
+    rows = [("buy", 10000, 5)] + [("sell", 1000, 6)] * 10 + [("buy", 300, 5), ("buy", 12000, 7), ("sell", 12300, 8)]
+    got = OPS["fifo_lots"](trades(spark, rows)).select("buy_no", "sell_no", "shares", "realised").collect()
+    want = [(1, k, 1000.0, 1000.0) for k in range(2, 12)] + [(12, 14, 300.0, 900.0), (13, 14, 12000.0, 12000.0)]
+    assert sorted(map(tuple, got)) == want
+
+
 def test_wash_sales_equal_a_plain_loop(spark):
     rng = random.Random(4)
     rows = [(rng.choice("ab"), rng.randrange(900), rng.choice(["buy", "sell"]), rng.choice([-900.0, -200.0, -199.5, -0.25, 0.0, 40.0])) for _ in range(150)]

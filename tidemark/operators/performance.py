@@ -45,20 +45,19 @@ select symbol, win, cast(length as integer) as length, cast(count(*) as bigint)
     operator("win_after", "trades", "K8 chance of a win after a win and after a loss", f"""
 with x as (select symbol, pnl > 0 as win, lag(pnl > 0) over (partition by symbol {T}) as before from trades)
 select symbol, before as after_win, round(avg(case when win then 1.0 else 0.0 end), 6) as win_rate, cast(count(*) as bigint) as trades from x where before is not null group by symbol, before"""),
-    operator("fifo_lots", "trades", "B2, X6 FIFO lots by the overlap of running share intervals, over-selling clipped", f"""
+    operator("fifo_lots", "trades", "B2, X6 FIFO lots by one sort of the bounds of running share intervals, over-selling clipped", f"""
 with x as (select *, row_number() over (partition by symbol {T}) as k from trades),
 c as (select symbol, k, ts, side, price, shares, sum(case when side = 'buy' then shares else 0.0 end) over (partition by symbol order by k) as b,
     sum(case when side = 'sell' then shares else 0.0 end) over (partition by symbol order by k) as s from x),
 o as (select *, greatest(0.0, max(s - b) over (partition by symbol order by k)) as excess from c),
 sells as (select symbol, k, ts, price, lag(s - excess, 1, 0.0) over (partition by symbol order by k) as s0, s - excess as s1 from o where side = 'sell'),
 buys as (select symbol, k, ts, price, b - shares as b0, b as b1 from c where side = 'buy'),
-sb as (select * from sells where s1 > s0),
-se as (select *, floor(s0 / 2000) as g0, floor(s1 / 2000) as g1 from sb), be as (select *, floor(b0 / 2000) as g0, floor(b1 / 2000) as g1 from buys),
-two as (select 0 as d union all select 1),
-sg as (select se.*, g0 + d as g from se cross join two where g0 + d <= g1), bg as (select be.*, g0 + d as g from be cross join two where g0 + d <= g1)
-select distinct bg.symbol, cast(bg.k as bigint) as buy_no, cast(sg.k as bigint) as sell_no, round(least(b1, s1) - greatest(b0, s0), 4) as shares,
-    round((least(b1, s1) - greatest(b0, s0)) * (sg.price - bg.price), 8) as realised, DAYS(sg.ts, bg.ts) as days_held
-from sg join bg on sg.symbol = bg.symbol and sg.g = bg.g and least(b1, s1) > greatest(b0, s0)"""),
+bounds as (select symbol, b0 as place, k as buy, 0 as sell from buys where b1 > b0 union all select symbol, s0 as place, 0 as buy, k as sell from sells where s1 > s0),
+p as (select symbol, place, max(buy) as buy, max(sell) as sell from bounds group by symbol, place),
+r as (select symbol, place, lead(place) over (partition by symbol order by place) as till, max(buy) over (partition by symbol order by place) as buy, max(sell) over (partition by symbol order by place) as sell from p),
+m as (select r.symbol, buy, sell, least(coalesce(till, s1), b1, s1) - place as n, buys.price as paid, buys.ts as bought, sells.price as got, sells.ts as sold
+    from r join buys on r.symbol = buys.symbol and r.buy = buys.k join sells on r.symbol = sells.symbol and r.sell = sells.k where least(coalesce(till, s1), b1, s1) > place)
+select symbol, cast(buy as bigint) as buy_no, cast(sell as bigint) as sell_no, round(n, 4) as shares, round(n * (got - paid), 8) as realised, DAYS(sold, bought) as days_held from m"""),
     operator("wash_sales", "trades", "X9 losses with a purchase within 30 days either side; each triggers once, by the first", """
 with l as (select symbol, id, line, ts, pnl from trades where side = 'sell' and pnl < 0), b as (select symbol, ts, count(*) as n from trades where side = 'buy' group by symbol, ts)
 select l.symbol, l.id, l.line, round(l.pnl, 4) as loss, min(b.ts) as purchase from l join b on l.symbol = b.symbol and abs(DAYS(b.ts, l.ts)) <= 30 group by l.symbol, l.id, l.line, l.ts, l.pnl"""),
