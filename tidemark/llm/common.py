@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Folders written by save() in this process, so that a job can remove those it no longer needs.
+SAVED: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
+    """The folder all executors share. Where the session names none, a folder beside the warehouse's tables,
+    which executors share too."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    return base or f"{spark.conf.get('spark.sql.warehouse.dir')}/tidemark_scratch"
 
 
 def save(df: DataFrame, label: str) -> DataFrame:
@@ -29,9 +31,19 @@ def save(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    SAVED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_saved(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Delete the folders saved after the first `since`, but for the last `keep` of them."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in SAVED[since : len(SAVED) - keep]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    del SAVED[since : len(SAVED) - keep]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,13 +56,6 @@ def fresh(df: DataFrame, stem: str) -> str:
     return stem
 
 
-def long_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Arrow batches hold fewer rows than the default, as rows here are whole documents."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
-
-
 def encoded(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and len+1 offsets of a string column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -80,7 +85,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
         m = max(n, 1 << 16)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
@@ -92,7 +97,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit polynomial hash of each data[start:end], from one prefix sum."""
-    up, down = _powers(len(data) + 1)
+    up, down = powers(len(data) + 1)
     prefix = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=prefix[1:])
     h = (prefix[ends] - prefix[starts]) * down[starts]
@@ -111,14 +116,40 @@ def slices(offsets: np.ndarray, limit: int):
         i = j
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held, bound: int) -> DataFrame:
-    """At most bound labelled rows (text, y) to learn from, in the order of a hash of doc_id.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held, bound: int, most_bytes: int) -> DataFrame:
+    """The sample to learn from: (h, text, y), at most `bound` documents with together at most `most_bytes`
+    bytes of text, in the order of h, a hash of doc_id.
 
-    held(remainder) tells the held-out rows by crc32(doc_id as text) mod modulus.
-    A document labelled twice counts with its smallest label.
+    held(remainder) tells the held-out rows by crc32(doc_id as text) mod modulus. A document labelled twice
+    counts with its smallest label; of rows that repeat a doc_id the smallest text counts, once. A text of
+    more than a sixteenth of most_bytes is not learned from. At most `bound` rows meet in one task.
     """
     part = F.crc32(F.col("doc_id").cast("string")) % modulus
     y = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).where(~held(part))
     y = y.groupBy("doc_id").agg(F.min(label).alias("y"))
-    y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").select("text", "y")
+    y = y.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(bound)  # the join's small side: bound rows
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= most_bytes // 16)
+    rows = own.join(F.broadcast(y), "doc_id").groupBy("doc_id", "h", "y").agg(F.min("text").alias("text"))
+    so_far = Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("so_far", F.sum(F.octet_length("text")).over(so_far)).where(F.col("so_far") <= most_bytes).select("h", "text", "y")
+
+
+def fitted(rows: DataFrame, fit) -> dict:
+    """The model, a dict of numpy values, that fit(texts, y) gives for a bounded sample. It is fitted in one
+    task of an executor; only the model comes to the driver. An empty sample is fitted on the driver."""
+
+    def learn(batches):
+        texts, y = [], []
+        for batch in batches:
+            texts += batch.column(1).to_pylist()
+            y += batch.column(2).to_pylist()
+        if texts:
+            out = io.BytesIO()
+            np.savez_compressed(out, **fit(texts, np.array(y)))
+            yield pa.record_batch([pa.array([out.getvalue()], pa.binary())], ["model"])
+
+    found = rows.coalesce(1).sortWithinPartitions("h").mapInArrow(learn, "model binary").collect()
+    if not found:
+        return fit([], np.zeros(0))
+    with np.load(io.BytesIO(bytes(found[0].model))) as stored:
+        return {k: stored[k] if stored[k].ndim else stored[k].item() for k in stored.files}

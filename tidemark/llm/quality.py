@@ -11,12 +11,11 @@ beside the vectors, ln(1 + tokens) and the share of tokens that repeat the one b
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoded, fresh, hashes, labelled, long_rows, runs, slices
+from .common import encoded, fitted, fresh, hashes, labelled, runs, slices
 
 BITS = 15
 DIMS = 128
@@ -50,11 +49,11 @@ def index_vectors() -> np.ndarray:
     return out
 
 
-def _word_table(col: pa.Array, window: int = 2, bound: int = 1000) -> np.ndarray:
-    """Index vector plus the unit-length context vector of each bucket; bound: most texts read for contexts."""
+def _word_table(col: pa.Array, window: int = 2) -> np.ndarray:
+    """Index vector plus the unit-length context vector of each bucket, from all texts of the sample."""
     index = index_vectors()
     context = np.zeros_like(index)
-    for _, _, bucket, doc in tokens(col[:bound]):
+    for _, _, bucket, doc in tokens(col):
         for d in range(1, window + 1):
             same = doc[d:] == doc[:-d]
             left, right = bucket[:-d][same], bucket[d:][same]
@@ -128,38 +127,40 @@ def held_out(part):
     return part == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = 4000) -> dict:
-    """bound: most labelled rows that are read to fit the model."""
-    rows = labelled(docs, labels, "quality", 5, held_out, bound).toPandas()
-    return fit(rows["text"].tolist(), rows["y"].to_numpy())
+def train(docs: DataFrame, labels: DataFrame, bound: int = 4000, most_bytes: int = 32_000_000) -> dict:
+    """bound, most_bytes: most labelled rows and bytes of text that are read to fit the model."""
+    return fitted(labelled(docs, labels, "quality", 5, held_out, bound, most_bytes), fit)
 
 
 def with_score(docs: DataFrame, model: dict, name: str) -> DataFrame:
     """docs with the column `name`: probability that a whole text is good. Null and empty texts are scored."""
-    long_rows(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series(predict(shared.value, pa.array(text.tolist(), pa.large_string())))
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array(predict(shared.value, text))
 
     return docs.withColumn(name, score(F.col("text")))
 
 
-def quality(docs: DataFrame, labels: DataFrame, bound: int = 4000, cut: float = 0.3) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, bound: int = 4000, cut: float = 0.3, most_bytes: int = 32_000_000) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
-    Null text: scored as empty. Null doc_id: held_out false, never learned from. Repeated rows: each
-    is scored. Empty tables: an empty result; no labels: the score is a constant.
+    Null text: scored as empty. Very long texts: read whole. Null doc_id: held_out false, never learned from.
+    Repeated rows: each is scored. Ties: equal texts have equal scores. Empty tables: an empty result; no
+    labels: the score is a constant. Other columns are ignored, whatever their names.
     """
-    model = train(docs, labels, bound)
+    model = train(docs, labels, bound, most_bytes)
     out = with_score(docs.select("doc_id", "text"), model, "score")
     part = F.crc32(F.col("doc_id").cast("string")) % 5
     return out.select("doc_id", F.coalesce(held_out(part), F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, bound: int = 4000, cut: float = 0.3) -> DataFrame:
-    """The documents whose score reaches cut, all columns as they came."""
+def keep_good(docs: DataFrame, labels: DataFrame, bound: int = 4000, cut: float = 0.3, most_bytes: int = 32_000_000) -> DataFrame:
+    """The documents whose score reaches cut, all columns as they came, whatever their names.
+
+    Null and empty texts are scored as empty; repeated rows each stay or go alike; an empty table stays empty.
+    """
     name = fresh(docs, "quality_score")
-    model = train(docs, labels, bound)
+    model = train(docs, labels, bound, most_bytes)
     return with_score(docs, model, name).where(F.col(name) >= cut).drop(name)

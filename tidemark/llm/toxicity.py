@@ -2,17 +2,20 @@
 
 The presence of each hashed character n-gram is multiplied by its log-count ratio between toxic and
 other training texts; a logistic regression with an L2 penalty weighs the scaled features. The model
-is fitted on a bounded sample of labelled rows (`bound`); scoring is a map over whole texts.
+is fitted in one task on a sample of labelled rows that is bounded in rows (`bound`) and in bytes
+(`most_bytes`); scoring is a map over whole texts, a bounded number of bytes at a time, a very long text by itself.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, labelled, long_rows
+from .common import encoded, fitted, fresh, labelled, slices
 
 SIZES = (3, 4, 5)
 BITS = 20
@@ -76,7 +79,7 @@ def fit(texts: list[str], y: np.ndarray, features: int = 8_000, least: int = 3,
     n = 1 << BITS
     if not len(texts) or y.min(initial=1) == y.max(initial=0):
         mean = float(y.mean()) if len(y) else 0.0
-        return {"wanted": np.zeros(n, bool), "weight": np.zeros(n, np.float32), "bias": float(np.log((mean + 1e-3) / (1 - mean + 1e-3)))}
+        return {"gram": np.zeros(0, np.int64), "weight": np.zeros(0, np.float32), "bias": float(np.log((mean + 1e-3) / (1 - mean + 1e-3)))}
     pos, neg = np.zeros(n), np.zeros(n)
     for key in _pairs(texts):
         gram, toxic = key & (n - 1), y[key >> BITS] == 1
@@ -106,14 +109,20 @@ def fit(texts: list[str], y: np.ndarray, features: int = 8_000, least: int = 3,
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
-    weight = np.zeros(n, np.float32)
-    weight[kept] = w * r
-    return {"wanted": wanted, "weight": weight, "bias": b}
+    return {"gram": kept, "weight": (w * r).astype(np.float32), "bias": b}
+
+
+def tables(model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each bucket is a feature, and its weight."""
+    wanted, weight = np.zeros(1 << BITS, bool), np.zeros(1 << BITS, np.float32)
+    wanted[model["gram"]], weight[model["gram"]] = True, model["weight"]
+    return wanted, weight
 
 
-def predict(model: dict, texts: list[str]) -> np.ndarray:
-    doc, gram = _present(texts, model["wanted"])
-    z = np.bincount(doc, weights=model["weight"][gram], minlength=len(texts)) + model["bias"]
+def predict(model: dict, texts: list[str], of: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    wanted, weight = of or tables(model)
+    doc, gram = _present(texts, wanted)
+    z = np.bincount(doc, weights=weight[gram], minlength=len(texts)) + model["bias"]
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -121,38 +130,43 @@ def held_out(part):
     return part == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = 4000) -> dict:
-    """bound: most labelled rows that are read to fit the model."""
-    rows = labelled(docs, labels, "toxic", 3, held_out, bound).toPandas()
-    return fit(rows["text"].tolist(), rows["y"].to_numpy())
+def train(docs: DataFrame, labels: DataFrame, bound: int = 4000, most_bytes: int = 32_000_000) -> dict:
+    """bound, most_bytes: most labelled rows and bytes of text that are read to fit the model."""
+    return fitted(labelled(docs, labels, "toxic", 3, held_out, bound, most_bytes), fit)
 
 
 def with_score(docs: DataFrame, model: dict, name: str) -> DataFrame:
     """docs with the column `name`: probability that a whole text is toxic. Null and empty texts are scored."""
-    long_rows(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most `features` n-grams
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series(predict(shared.value, text.tolist()))
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        of = tables(shared.value)
+        for text in batches:
+            parts = [predict(shared.value, text[i:j].to_pylist(), of) for i, j in slices(encoded(text)[1], BLOCK)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return docs.withColumn(name, score(F.col("text")))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, bound: int = 4000, cut: float = 0.7) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, bound: int = 4000, cut: float = 0.7, most_bytes: int = 32_000_000) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
-    Null text: scored as empty. Null doc_id: held_out false, never learned from. Repeated rows: each
-    is scored. Empty tables: an empty result; no labels: the score is a constant.
+    Null text: scored as empty. Very long texts: read whole. Null doc_id: held_out false, never learned from.
+    Repeated rows: each is scored. Ties: equal texts have equal scores. Empty tables: an empty result; no
+    labels: the score is a constant. Other columns are ignored, whatever their names.
     """
-    model = train(docs, labels, bound)
+    model = train(docs, labels, bound, most_bytes)
     out = with_score(docs.select("doc_id", "text"), model, "score")
     part = F.crc32(F.col("doc_id").cast("string")) % 3
     return out.select("doc_id", F.coalesce(held_out(part), F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, bound: int = 4000, cut: float = 0.7) -> DataFrame:
-    """The documents whose score is under cut, all columns as they came."""
+def keep_clean(docs: DataFrame, labels: DataFrame, bound: int = 4000, cut: float = 0.7, most_bytes: int = 32_000_000) -> DataFrame:
+    """The documents whose score is under cut, all columns as they came, whatever their names.
+
+    Null and empty texts are scored as empty; repeated rows each stay or go alike; an empty table stays empty.
+    """
     name = fresh(docs, "toxic_score")
-    model = train(docs, labels, bound)
+    model = train(docs, labels, bound, most_bytes)
     return with_score(docs, model, name).where(F.col(name) < cut).drop(name)
