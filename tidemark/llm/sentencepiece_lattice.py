@@ -1,15 +1,17 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
 Texts are cut before every space and around line ends, as pre-tokens; these are cut further wherever two
-kinds of characters meet that stand side by side in no piece of the vocabulary, which changes no best way
-and leaves fewer distinct words. Together the words are the text again. For every distinct word, its
-substrings of bounded length are exploded and joined with the piece table; the edges that match are grouped
-by word, and a Spark higher-order aggregate folds Viterbi over them. Equal scores go to the earliest start.
-A character without a piece is written as its UTF-8 bytes.
-
-Documents then take their words' ids. While the dictionary of distinct words has at most `shared_words`
-rows it is broadcast as hashes and ids, after that count has been checked; a larger one is joined with
-the documents' words by shuffles. Either way gives the same rows.
+bytes meet that stand side by side in no piece of the vocabulary, which changes no best way and leaves fewer
+distinct words. Together the words are the text again. For every distinct word, its substrings of bounded
+length are exploded and joined with the piece table; the edges that match are grouped by word, and a Spark
+higher-order aggregate folds Viterbi over them. Equal scores go to the earliest start. A character without a
+piece is written as its UTF-8 bytes. A word of more than `CHUNK` characters has its lattice in chunks: the fold
+carries the scores of the last few positions from one to the next, so that no array grows with the word while
+it is folded, and the ways are followed back chunk by chunk.
+
+Documents then take their words' ids. The words that most blocks of documents hold are broadcast, as hashes and
+ids, up to `shared_bytes`. A document with a word beyond them is put together by shuffles instead: only its
+rarer words meet the dictionary, by a join, and no frequent word is a key of it.
 """
 
 from __future__ import annotations
@@ -24,16 +26,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from . import pieces as P
-from .common import encoded, hashes, long_rows, save, slices
-
-#: Kinds of bytes: 0 space, 1 line end, 2 digits, 3 ASCII letters, 4 other ASCII, 5 beyond ASCII.
-KIND = np.full(256, 4, np.uint8)
-KIND[32], KIND[10], KIND[48:58], KIND[65:91], KIND[97:123], KIND[128:] = 0, 1, 2, 3, 3, 5
-BLOCK = 250_000
-STEP = 20_000
-HELD_WORDS = 50_000
-SHARED_WORDS = 8_000_000
+from .common import encoded, hashes, save, slices
+
+SPACE, LINE = 32, 10
+#: Bytes of text that are worked on at once.
+BLOCK = 4_000_000
+#: Characters of a word whose lattice is one row.
+CHUNK = 256
+SHARED_BYTES = 192_000_000
 WORDS_A_TASK = 20_000
+RUNS = 16
 #: No id is below minus this: -1 - the last code point.
 LOWEST = 0x110000
 
@@ -45,112 +47,92 @@ def piece_table(spark, pieces) -> DataFrame:
     return table.withColumn("h", F.xxhash64("of_piece"))
 
 
-def adjoining(pieces) -> np.ndarray:
-    """[kind, kind]: whether two such bytes side by side may share a word."""
-    pairs = np.zeros((6, 6), bool)
+def cuts(pieces) -> np.ndarray:
+    """[256 * byte + next byte]: whether a word ends between them."""
+    cut = np.ones((256, 256), bool)
     for piece in pieces:
-        kinds = KIND[np.frombuffer(piece.encode("utf-8", "surrogatepass"), np.uint8)]
-        pairs[kinds[:-1], kinds[1:]] = True
-    pairs[:, :2] = pairs[1] = False  # pre-tokens start at spaces and line ends, and end with the latter
-    pairs[5, 5] = True  # the bytes of one character
-    return pairs
+        b = np.frombuffer(piece.encode("utf-8", "surrogatepass"), np.uint8)
+        cut[b[:-1], b[1:]] = False
+    cut[:, [SPACE, LINE]] = cut[LINE] = True  # pre-tokens start at spaces and line ends, and end with the latter
+    cut[:, 128:192] = False  # the bytes of one character
+    return cut.ravel()
 
 
-def _word_bounds(data: np.ndarray, offsets: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words in the bytes of several documents."""
-    kinds = KIND[data]
-    start = np.ones(len(data), bool)
-    start[1:] = ~pairs[kinds[:-1], kinds[1:]]
-    start[offsets[:-1][offsets[:-1] < len(data)]] = True
-    at = np.flatnonzero(start)
-    return at, np.append(at[1:], len(data))
-
-
-def _blocks(texts: pa.Array, pairs: np.ndarray):
-    """(first document, its own offsets, bytes, starts, ends) of the words, in blocks of whole documents."""
+def _words(texts: pa.Array, cut: np.ndarray):
+    """(first document, end document, words of these documents, word at which each document begins), in blocks."""
     data, offsets = encoded(texts)
     for i, j in slices(offsets, BLOCK):
-        own, cut = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        yield i, cut, own, *_word_bounds(own, cut, pairs)
-
-
-def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the words, worked out some thousand words at a time, as a document may be very long."""
-    parts = [np.zeros(0, np.uint64)]
-    for k in range(0, len(starts), STEP):
-        low, high = starts[k], ends[min(k + STEP, len(ends)) - 1]
-        parts.append(hashes(data[low:high], starts[k : k + STEP] - low, ends[k : k + STEP] - low))
-    return np.concatenate(parts)
-
-
-def _strings(words) -> pa.Array:
-    return pa.array(words, pa.binary()).view(pa.string())
-
+        own, ends = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        start = np.ones(len(own) + 1, bool)
+        if len(own):
+            start[1:-1] = cut[own[:-1].astype(np.uint16) << 8 | own[1:]]
+            start[ends] = True
+        at = np.flatnonzero(start)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(own)])
+        yield i, j, words, np.searchsorted(at, ends)
 
-def distinct_words(docs: DataFrame, pairs: np.ndarray) -> DataFrame:
-    """(word): every word once. Tasks hold a bounded set of words, so that few repeats are shuffled."""
 
-    def words(batches):
-        held = set()
-        for batch in batches:
-            for _, _, own, starts, ends in _blocks(batch.column(0), pairs):
-                raw = own.tobytes()
-                for k in range(0, len(starts), STEP):
-                    held.update([raw[a:b] for a, b in zip(starts[k : k + STEP].tolist(), ends[k : k + STEP].tolist())])
-                    if len(held) > HELD_WORDS:
-                        yield pa.record_batch([_strings(list(held))], ["word"])
-                        held = set()
-        yield pa.record_batch([_strings(list(held))], ["word"])
+def _strings(words: pa.Array) -> pa.Array:
+    return words.cast(pa.binary()).view(pa.string())
 
-    return docs.select("text").mapInArrow(words, "word string").distinct()
 
-
-def placed_words(rows: DataFrame, pairs: np.ndarray) -> DataFrame:
-    """(row, text) -> (row, pos, word): every word of every row with its place."""
+def distinct_words(docs: DataFrame, cut: np.ndarray) -> DataFrame:
+    """(word, n): every word once, and how many blocks of documents hold it."""
 
     def words(batches):
         for batch in batches:
-            for i, cut, own, starts, ends in _blocks(batch.column(1), pairs):
-                raw, first = own.tobytes(), np.searchsorted(starts, cut)
-                for k in range(0, len(starts), STEP):
-                    a, b = starts[k : k + STEP], ends[k : k + STEP]
-                    of = np.searchsorted(cut, a, "right") - 1
-                    word = _strings([raw[x:y] for x, y in zip(a.tolist(), b.tolist())])
-                    pos = np.arange(k, k + len(a)) - first[of]
-                    yield pa.record_batch([batch.column(0).take(pa.array(i + of)), pa.array(pos), word], ["row", "pos", "word"])
+            for _, _, found, _ in _words(batch.column(0), cut):
+                yield pa.record_batch([_strings(found.unique())], ["word"])
 
-    return rows.select("row", "text").mapInArrow(words, "row string, pos long, word string")
+    return docs.select("text").mapInArrow(words, "word string").groupBy("word").agg(F.count("*").alias("n"))
 
 
-def encode_words(words: DataFrame, model: str) -> DataFrame:
-    """Distinct (word) -> (word, ids): the best cut of each word into pieces."""
+def encode_words(words: DataFrame, model: str, parts: int) -> DataFrame:
+    """Distinct (wid, word, n) -> with ids, the best cut of each word into pieces; folded in `parts` tasks, about."""
     pieces, of_byte, unknown = P.load(model)
     table = F.broadcast(piece_table(words.sparkSession, pieces))  # bounded by the vocabulary
     longest = max(map(len, pieces))
-    # explode: every start, and every end within the longest piece
-    starts = words.where("word <> ''").select("word", F.explode(F.expr("sequence(0, char_length(word) - 1)")).alias("s"))
-    spans = starts.select("word", "s", F.explode(F.expr(f"sequence(s + 1, least(s + {longest}, char_length(word)))")).alias("e"))
-    spans = spans.withColumn("piece", F.expr("substring(word, s + 1, e - s)")).withColumn("h", F.xxhash64("piece"))
-    edges = spans.join(table, (spans["h"] == table["h"]) & (F.col("piece") == F.col("of_piece")), "left").where("id is not null or e = s + 1")
-    # the id of a character without a piece is -1 - code point; its bytes are written at the end
-    edge = F.struct("e", "s", F.coalesce("score", F.lit(float(unknown))).alias("score"), F.coalesce("id", -1 - F.ascii("piece")).alias("id"))
-    lattice = edges.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    # fold: f[i] is the best score to position i and w[i] its last edge, start and id in one long. Edges come
-    # by end and then by start; the best to the current end stays apart in b and v until the next end comes.
-    # At last the ways are followed back from the end of the word
+    words = words.where("word <> ''").repartition(parts, "wid")
+
+    def lattice(chunks: DataFrame) -> DataFrame:
+        """Edges by wid and chunk. Positions count from `base`; a chunk has the edges that end in it."""
+        ends = chunks.select("wid", "chunk", "base", "part", F.explode(F.expr(f"sequence(chunk * {CHUNK} - base + 1, char_length(part))")).alias("e"))
+        spans = ends.select("wid", "chunk", "base", "e", "part", F.explode(F.expr(f"sequence(greatest(e - {longest}, 0), e - 1)")).alias("s"))
+        spans = spans.select("wid", "chunk", "base", "e", "s", F.expr("substring(part, s + 1, e - s)").alias("piece")).withColumn("h", F.xxhash64("piece"))
+        edges = spans.join(table, (spans["h"] == table["h"]) & (F.col("piece") == F.col("of_piece")), "left").where("id is not null or e = s + 1")
+        # the id of a character without a piece is -1 - code point; its bytes are written at the end
+        edge = F.struct("e", "s", F.coalesce("score", F.lit(float(unknown))).alias("score"), F.coalesce("id", -1 - F.ascii("piece")).alias("id"))
+        return edges.groupBy("wid", "chunk", "base").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+
+    short = lattice(words.where(f"char_length(word) <= {CHUNK}").select("wid", F.lit(0).alias("chunk"), F.lit(0).alias("base"), F.col("word").alias("part")))
+    short = short.select("wid", F.array(F.struct("chunk", "base", "edges")).alias("chunks"))
+    long = words.where(f"char_length(word) > {CHUNK}").select("wid", "word", F.explode(F.expr(f"sequence(0, cast((char_length(word) - 1) div {CHUNK} as int))")).alias("chunk"))
+    long = long.withColumn("base", F.expr(f"greatest(chunk * {CHUNK} - {longest}, 0)"))
+    long = lattice(long.select("wid", "chunk", "base", F.expr(f"substring(word, base + 1, (chunk + 1) * {CHUNK} - base)").alias("part")))
+    long = long.groupBy("wid").agg(F.sort_array(F.collect_list(F.struct("chunk", "base", "edges"))).alias("chunks"))
+    # the fold of a chunk: f has the best score to each position from base on and w the last edge to each end, its
+    # start and id in one long. Edges come by end and then by start; the best to the current end stays apart in
+    # b and v until the next end comes
     way = f"x.s * 4294967296L + x.id + {LOWEST}"
-    fold = f"""aggregate(edges,
-        struct(array(0D) as f, array(0L) as w, double('-Infinity') as b, 0L as v),
+    inner = f"""aggregate(c.edges,
+        struct(t.tail as f, cast(array() as array<bigint>) as w, double('-Infinity') as b, 0L as v),
         (a, x) -> if(size(a.f) = x.e,
             if(a.f[x.s] + x.score > a.b, struct(a.f as f, a.w as w, a.f[x.s] + x.score as b, {way} as v), a),
             struct(array_append(a.f, a.b) as f, array_append(a.w, a.v) as w,
                 if(x.s = size(a.f), a.b, a.f[x.s]) + x.score as b, {way} as v)),
-        a -> transform(array(array_append(a.w, a.v)), w -> aggregate(sequence(1, size(w)),
-            struct(size(w) - 1 as at, cast(array() as array<int>) as ids),
-            (b, i) -> if(b.at = 0, b, struct(
-                cast(shiftright(w[b.at], 32) as int) as at,
-                array_prepend(b.ids, cast((w[b.at] & 4294967295L) - {LOWEST} as int)) as ids)),
-            b -> b.ids))[0])"""
+        a -> struct(array_append(a.f, a.b) as f, array_append(a.w, a.v) as w))"""
+    fold = f"""aggregate(chunks, struct(array(0D) as tail, cast(array() as array<array<bigint>>) as ways),
+        (t, c) -> transform(array({inner}), r -> struct(
+            slice(r.f, -least(size(r.f), {longest + 1}), least(size(r.f), {longest + 1})) as tail,
+            array_append(t.ways, r.w) as ways))[0], t -> t.ways)"""
+    # from the end of the word back, chunk by chunk
+    back = f"""aggregate(sequence(size(ways) - 1, 0), struct(cast((size(ways) - 1) * {CHUNK} + size(ways[size(ways) - 1]) as bigint) as at, cast(array() as array<array<int>>) as ids),
+        (b, k) -> transform(array(aggregate(ways[k], struct(b.at as at, cast(array() as array<int>) as ids),
+            (u, ignored) -> if(u.at <= k * {CHUNK}L, u, struct(
+                shiftright(ways[k][cast(u.at - k * {CHUNK}L - 1 as int)], 32) + greatest(k * {CHUNK}L - {longest}, 0L) as at,
+                array_prepend(u.ids, cast((ways[k][cast(u.at - k * {CHUNK}L - 1 as int)] & 4294967295L) - {LOWEST} as int)) as ids)))),
+            u -> struct(u.at as at, array_prepend(b.ids, u.ids) as ids))[0],
+        b -> flatten(b.ids))"""
     # UTF-8 of a code point, a byte each
     spelled = """transform(
         case when (-1 - i) < 128 then array(-1 - i)
@@ -158,76 +140,145 @@ def encode_words(words: DataFrame, model: str) -> DataFrame:
              when (-1 - i) < 65536 then array(224 + shiftright(-1 - i, 12), 128 + (shiftright(-1 - i, 6) & 63), 128 + ((-1 - i) & 63))
              else array(240 + shiftright(-1 - i, 18), 128 + (shiftright(-1 - i, 12) & 63), 128 + (shiftright(-1 - i, 6) & 63), 128 + ((-1 - i) & 63)) end,
         b -> OF_BYTE[b])""".replace("OF_BYTE", f"array({','.join(map(str, of_byte))})")
-    return lattice.select("word", F.expr(f"flatten(transform({fold}, i -> if(i >= 0, array(i), {spelled})))").alias("ids"))
+    followed = short.union(long).select("wid", F.expr(f"transform(array({fold}), ways -> {back})[0]").alias("ids"))
+    ids = followed.select("wid", F.expr(f"if(exists(ids, i -> i < 0), flatten(transform(ids, i -> if(i >= 0, array(i), {spelled}))), ids)").alias("ids"))
+    return words.join(ids.hint("merge"), "wid")
+
 
+@F.arrow_udf(LongType())
+def word_hash(word: pa.Array) -> pa.Array:
+    data, offsets = encoded(word)
+    return pa.array(hashes(data, offsets[:-1], offsets[1:]).view(np.int64))
 
-@F.pandas_udf(LongType())
-def word_hash(word: pd.Series) -> pd.Series:
-    data, offsets = encoded(pa.array(word.tolist(), pa.large_string()))
-    return pd.Series(hashes(data, offsets[:-1], offsets[1:]).view(np.int64))
 
+def _packed(words: DataFrame) -> list[bytes]:
+    """The dictionary as runs of ascending hashes: packed by executors, so that the driver only passes them on.
+    Words that share a hash are left out; they count as rare."""
 
-def encode(docs: DataFrame, model: str | None = None, shared_words: int = SHARED_WORDS) -> DataFrame:
+    def pack(batches):
+        h, sizes, flat = [], [], []
+        for batch in batches:
+            h.append(batch.column(0).to_numpy())
+            ids = batch.column(1)
+            sizes.append(np.diff(ids.offsets.to_numpy()))
+            flat.append(ids.flatten().to_numpy())
+        if h:
+            h, sizes, flat = np.concatenate(h), np.concatenate(sizes), np.concatenate(flat)
+            same = np.zeros(len(h), bool)
+            same[1:] = h[1:] == h[:-1]
+            same[:-1] |= same[1:]
+            flat, h, sizes = flat[~np.repeat(same, sizes)], h[~same], sizes[~same]
+            head = np.array([len(h), len(flat)], np.int64).tobytes()
+            yield pa.record_batch([pa.array([head + h.tobytes() + sizes.astype(np.int32).tobytes() + flat.astype(np.int32).tobytes()], pa.binary())], ["run"])
+
+    runs = words.select(word_hash("word").alias("h"), "ids").repartitionByRange(RUNS, "h").sortWithinPartitions("h").mapInArrow(pack, "run binary").collect()
+    return [bytes(r.run) for r in runs]
+
+
+class Dictionary:
+    """Ids of words by their hashes."""
+
+    def __init__(self, runs: list[bytes]):
+        keys, sizes, flat = [], [], []
+        for run in runs:
+            n, m = np.frombuffer(run, np.int64, 2)
+            keys.append(np.frombuffer(run, np.int64, n, 16))
+            sizes.append(np.frombuffer(run, np.int32, n, 16 + 8 * n))
+            flat.append(np.frombuffer(run, np.int32, m, 16 + 12 * n))
+        order = sorted((k for k in range(len(runs)) if len(keys[k])), key=lambda k: keys[k][0])
+        join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *(parts[k] for k in order)])
+        self.keys, self.flat = join(keys, np.int64), join(flat, np.int32)
+        self.ends = np.r_[np.zeros(1, np.int64), np.cumsum(join(sizes, np.int32), dtype=np.int64)]
+
+    def of(self, words: pa.Array) -> pa.Array:
+        """List of ids for each word, null where it is not here."""
+        data, offsets = encoded(words.view(pa.large_string()))
+        h = hashes(data, offsets[:-1], offsets[1:]).view(np.int64)
+        if not len(self.keys):
+            return pa.nulls(len(words), pa.list_(pa.int32()))
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        known = self.keys[at] == h
+        start, n = self.ends[at], np.where(known, self.ends[at + 1] - self.ends[at], 0)
+        ends = np.r_[0, np.cumsum(n)]
+        flat = self.flat[np.arange(ends[-1]) - np.repeat(ends[:-1] - start, n)]
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat), mask=pa.array(~known))
+
+
+def encode(docs: DataFrame, model: str | None = None, shared_bytes: int = SHARED_BYTES) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids (array of int) of the whole text.
 
-    Null and empty texts have no tokens. Null doc_ids and repeated rows each keep their row.
+    shared_bytes: most bytes of the broadcast part of the dictionary. Null and empty texts have no tokens. Very
+    long texts and words are encoded whole; a word without a cut takes memory in proportion to its length in one
+    task. Null doc_ids and repeated rows each keep their row. Ties of scores go to the earliest start. Empty
+    table: an empty result. Other columns are ignored, whatever their names.
     """
     model = model or P.default_model()
     spark = docs.sparkSession
-    long_rows(spark, 250)
-    pairs = adjoining(P.load(model)[0])
-    words = save(distinct_words(docs, pairs), "words")
-    n = words.count()
-    # a task folds a bounded number of words, so that its lattice stays in memory
-    words = save(encode_words(words.repartition(max(1, -(-n // WORDS_A_TASK)), "word"), model), "dictionary")
-    if n > shared_words:
-        return _encode_by_join(docs, words, pairs)
-    told = words.select(word_hash("word").alias("h"), "ids").toArrow()
-    h = told["h"].to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    if len(h) > 1 and (h[order][1:] == h[order][:-1]).any():
-        return _encode_by_join(docs, words, pairs)  # two words with one hash: never seen, but not excluded
-    ids = told["ids"].combine_chunks()
-    ends, flat = np.asarray(ids.offsets), np.asarray(ids.values)
-    flat = flat.astype(np.uint16 if flat.max(initial=0) < 1 << 16 else np.int32)
-    # ids in the order of the hashes, so that one array of ends tells where each word's ids are
-    sizes = np.diff(ends)[order]
-    edges = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
-    sorted_ids = np.empty(edges[-1], flat.dtype)
-    for k in range(0, len(order), STEP):
-        part, size = edges[k : k + STEP + 1], sizes[k : k + STEP]
-        place = np.arange(part[0], part[-1]) - np.repeat(part[:-1] - ends[:-1][order[k : k + STEP]], size)
-        sorted_ids[part[0] : part[-1]] = flat[place]
-    shared = spark.sparkContext.broadcast((h[order], edges.astype(np.uint32), sorted_ids))
-    del told, ids, h, order, ends, flat, sizes, edges, sorted_ids
-
-    @F.pandas_udf("array<int>")
-    def look_up(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        keys, edges, flat = shared.value
-        for text in texts:
-            out = []
-            for _, cut, own, starts, ends in _blocks(pa.array(text.tolist(), pa.large_string()), pairs):
-                at = np.searchsorted(keys, _hashes(own, starts, ends))
-                of = edges[at].astype(np.int64)
-                n = edges[at + 1] - of
-                total = np.r_[0, np.cumsum(n)]
-                tokens = flat[np.arange(total[-1]) - np.repeat(total[:-1] - of, n)]
-                edge = total[np.searchsorted(starts, cut)]
-                tokens = tokens.astype(np.int32)
-                out += [tokens[a:b] for a, b in zip(edge[:-1], edge[1:])]
-            yield pd.Series(out, dtype=object)
-
-    return docs.select("doc_id", look_up(F.col("text")).alias("ids")).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
-
-
-def _encode_by_join(docs: DataFrame, words: DataFrame, pairs: np.ndarray) -> DataFrame:
-    """The way for a dictionary beyond any broadcast: words and their places meet the dictionary by shuffle."""
+    cut = cuts(P.load(model)[0])
+    words = save(distinct_words(docs, cut).withColumn("wid", F.monotonically_increasing_id()), "words")
+    parts = max(1, -(-words.count() // WORDS_A_TASK))
+    words = save(encode_words(words, model, parts), "dictionary")
+    # a row per number of blocks: which words, by that number, are frequent enough to be shared
+    held = words.groupBy("n").agg(F.sum(12 + 4 * F.size("ids")).alias("bytes")).orderBy(F.desc("n")).toLocalIterator()
+    total, least = 0, None
+    for row in held:
+        total += row.bytes
+        if total > shared_bytes:
+            least = row.n + 1
+            break
+    shared = spark.sparkContext.broadcast(_packed(words if least is None else words.where(F.col("n") >= least)))
+
+    @F.arrow_udf("array<int>")
+    def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = Dictionary(shared.value)
+        for texts in batches:
+            out = [pa.array([], pa.list_(pa.int32()))]
+            for _, _, found, first in _words(texts, cut):
+                coded = found.dictionary_encode()
+                ids = known.of(coded.dictionary)
+                missing = np.r_[0, np.cumsum(ids.is_null().to_numpy(zero_copy_only=False)[coded.indices.to_numpy()])]
+                taken = ids.take(coded.indices)
+                ends = taken.offsets.to_numpy()[first]
+                out.append(pa.ListArray.from_arrays(pa.array(ends), taken.values, mask=pa.array(missing[first[1:]] > missing[first[:-1]])))
+            yield pa.concat_arrays(out)
+
+    told = docs.select("doc_id", "text", look_up(F.col("text")).alias("ids"))
+    told = save(told.select("doc_id", F.when(F.col("ids").isNull(), F.coalesce("text", F.lit(""))).alias("text"), "ids"), "encoded")
+    rare = _by_join(told.where("ids is null"), words, shared, cut)
+    return told.where("ids is not null").select("doc_id", "ids").union(rare).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+def _by_join(docs: DataFrame, words: DataFrame, shared, cut: np.ndarray) -> DataFrame:
+    """(doc_id, ids) of documents with rare words: runs of shared words come with their ids, each rare word meets
+    the dictionary by shuffle, and a document's parts are put together in their order."""
     rows = save(docs.select("doc_id", "text", F.expr("uuid()").alias("row")), "rows")
-    at = placed_words(rows, pairs)
-    ids = at.join(words.hint("merge"), "word").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("w"))
-    ids = ids.select("row", F.flatten("w.ids").alias("ids"))
-    out = rows.select("row", "doc_id").join(ids.hint("merge"), "row", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+    def parts(batches):
+        known = Dictionary(shared.value)
+        for batch in batches:
+            for i, j, found, first in _words(batch.column(1), cut):
+                coded = found.dictionary_encode()
+                ids = known.of(coded.dictionary)
+                rare = ids.is_null().to_numpy(zero_copy_only=False)[coded.indices.to_numpy()]
+                # a part is one rare word, or the shared words between two of them, within a document
+                start = np.ones(len(found) + 1, bool)
+                start[1:-1] = rare[1:] | rare[:-1]
+                start[first] = True
+                at = np.flatnonzero(start)
+                if len(at) < 2:
+                    continue
+                taken = ids.take(coded.indices)
+                one = pa.array(rare[at[:-1]])
+                run = pa.ListArray.from_arrays(pa.array(taken.offsets.to_numpy()[at]), taken.values, mask=one)
+                word = pa.array(np.where(rare[at[:-1]], at[:-1], -1), mask=~rare[at[:-1]])
+                of = np.searchsorted(first, at[:-1], "right") - 1
+                yield pa.record_batch([batch.column(0).take(pa.array(i + of)), pa.array(at[:-1]), _strings(found.take(word)), run], ["row", "pos", "word", "run"])
+
+    placed = save(rows.select("row", "text").mapInArrow(parts, "row string, pos long, word string, run array<int>"), "parts")
+    found = placed.where("word is not null").drop("run").join(words.select("word", "ids").hint("merge"), "word").select("row", "pos", "ids")
+    every = placed.where("word is null").select("row", "pos", F.col("run").alias("ids")).union(found)
+    ids = every.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("w")).select("row", F.flatten("w.ids").alias("ids"))
+    return rows.join(ids.hint("merge"), "row", "left").select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
 
 def decode(tokens: DataFrame, model: str | None = None, column: str = "ids") -> DataFrame:
@@ -236,9 +287,27 @@ def decode(tokens: DataFrame, model: str | None = None, column: str = "ids") ->
     spell = {i: p.encode("utf-8", "surrogatepass") for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(of_byte)}
     shared = tokens.sparkSession.sparkContext.broadcast(spell)
 
-    @F.pandas_udf("string")
-    def text(ids: pd.Series) -> pd.Series:
-        get = shared.value.__getitem__
-        return pd.Series([None if x is None else b"".join(map(get, x.tolist())).decode("utf-8", "replace") for x in ids], dtype=object)
+    @F.arrow_udf("string")
+    def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        size = np.zeros(max(shared.value) + 1, np.int64)
+        for i, b in shared.value.items():
+            size[i] = len(b)
+        start = np.r_[0, np.cumsum(size)]
+        spelling = np.frombuffer(b"".join(shared.value.get(i, b"") for i in range(len(size))), np.uint8)
+        for ids in batches:
+            out = [pa.array([], pa.string())]
+            offsets = ids.offsets.to_numpy().astype(np.int64)
+            for i, j in slices(offsets, BLOCK // 16):
+                own = ids.values.to_numpy()[offsets[i] : offsets[j]] if offsets[j] > offsets[i] else np.zeros(0, np.int32)
+                n = size[own]
+                if (n == 0).any():
+                    raise ValueError("an id that the vocabulary does not have")
+                ends = np.r_[0, np.cumsum(n)]
+                data = spelling[np.arange(ends[-1]) - np.repeat(ends[:-1] - start[own], n)]
+                at = ends[offsets[i : j + 1] - offsets[i]].astype(np.int32)
+                null = ids[i:j].is_null().to_numpy(zero_copy_only=False)
+                valid = pa.py_buffer(np.packbits(~null, bitorder="little"))
+                out.append(pa.StringArray.from_buffers(j - i, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data)), valid))
+            yield pa.concat_arrays(out)
 
     return tokens.withColumn("text", text(F.col(column)))
