@@ -22,11 +22,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructType
 
-from .common import fresh, long_rows, save
+from .common import fresh, save
 from .components import components
 
 #: The digest of op7_simhash.
@@ -36,6 +37,10 @@ RADIUS = 4
 STAGE_WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 24, 4
+#: Tasks over which a crowded key is dealt; most members and shingles of a block, about.
+SALTS = 32
+BLOCK_ROWS = 256
+BLOCK_SHINGLES = 250_000
 _SEEDS = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
 
 
@@ -88,34 +93,35 @@ def bands_of(of_text: np.ndarray) -> list[int]:
     return key.view(np.int64).tolist()
 
 
-@F.pandas_udf(StructType().add("node", LongType()).add("fp", LongType()).add("size", IntegerType()).add("bands", ArrayType(LongType())))
-def sketch(text: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(StructType().add("node", LongType()).add("fp", LongType()).add("size", IntegerType()).add("bands", ArrayType(LongType())))
+def sketch(text: pa.Array) -> pa.Array:
     """What the pipeline's stage needs of a text; node is a hash of its words."""
     import xxhash
 
     rows = []
     for t in text:
+        t = t.as_py() or ""
         blocks = list(shingles(t, STAGE_WORDS))
         of_text = np.unique(np.concatenate([np.zeros(0, np.uint64), *blocks]))
-        node = xxhash.xxh64_intdigest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()), 7)
-        rows.append((node - (1 << 63), _folded(blocks), len(of_text), bands_of(of_text)))
-    return pd.DataFrame(rows, columns=["node", "fp", "size", "bands"])
+        node = xxhash.xxh64_intdigest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split()), 7)
+        rows.append({"node": node - (1 << 63), "fp": _folded(blocks), "size": len(of_text), "bands": bands_of(of_text)})
+    return pa.array(rows, pa.struct([("node", pa.int64()), ("fp", pa.int64()), ("size", pa.int32()), ("bands", pa.list_(pa.int64()))]))
 
 
-@F.pandas_udf(DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+@F.arrow_udf(DoubleType())
+def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
     """Jaccard similarity of the shingle sets; 1 for two texts without words."""
     out = []
     for x, y in zip(a, b):
-        x, y = shingle_set(x), shingle_set(y)
+        x, y = shingle_set(x.as_py()), shingle_set(y.as_py())
         both = len(np.intersect1d(x, y, assume_unique=True))
         out.append(both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0)
-    return pd.Series(out, dtype="float64")
+    return pa.array(out, pa.float64())
 
 
-@F.pandas_udf(LongType())
-def fingerprint(text: pd.Series) -> pd.Series:
-    return pd.Series([fingerprint_of(t) for t in text], dtype="int64")
+@F.arrow_udf(LongType())
+def fingerprint(text: pa.Array) -> pa.Array:
+    return pa.array([fingerprint_of(t.as_py()) for t in text], pa.int64())
 
 
 def _half_masks() -> list[int]:
@@ -152,7 +158,8 @@ def links(prints: DataFrame, dense: int = 32, few_more: int = 256) -> DataFrame:
 def _star(prints: DataFrame, masks: list[int]) -> DataFrame:
     """An edge from every fingerprint to the smallest that shares one of its variants."""
     balls = prints.select("node", F.explode(F.transform(_longs(masks), lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
-    return balls.select(F.col("node").alias("u"), F.min("node").over(Window.partitionBy("variant")).alias("v")).where("u <> v")
+    least = balls.groupBy("variant").agg(F.min("node").alias("v"), F.count("*").alias("c")).where("c > 1").drop("c")
+    return balls.join(least.hint("merge"), "variant").where("node <> v").select(F.col("node").alias("u"), "v")
 
 
 def _crowded(hits: DataFrame, few_more: int) -> DataFrame:
@@ -169,7 +176,10 @@ def _crowded(hits: DataFrame, few_more: int) -> DataFrame:
     keys = sizes.groupBy("key").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("main"), (F.sum("n") - F.max("n")).alias("rest"))
     mixed = save(inside.join(keys.where("rest > 0"), "key"), "mixed")
     rest = mixed.where(f"cluster <> main and rest <= {few_more}").select("key", F.col("node").alias("u"), F.col("fp").alias("fu"))
-    pairs = rest.join(mixed.select("key", F.col("node").alias("v"), F.col("fp").alias("fv")), "key")
+    # a key's members are dealt over many tasks, to each of which go its few others
+    rest = rest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    members = mixed.select("key", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt"), F.col("node").alias("v"), F.col("fp").alias("fv"))
+    pairs = members.join(rest.hint("merge"), ["key", "salt"])
     across = pairs.where(f"u <> v and bit_count(fu ^ fv) <= {RADIUS}").select("u", "v")
     whole = _star(mixed.where(f"rest > {few_more}").select("node", "fp").distinct(), _ball_masks())
     return near.union(across).union(whole)
@@ -178,8 +188,8 @@ def _crowded(hits: DataFrame, few_more: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, dense: int = 32) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
-    Null and empty texts have fingerprint zero and are linked like any other. Repeated rows each keep a
-    row. A null doc_id is no id: its row gets its group's smallest doc_id, or null if it has none.
+    Null and empty texts have fingerprint zero and are linked like any other. Very long texts are read
+    whole. Repeated rows each keep a row. A null doc_id is no id: its row gets its group's smallest doc_id, or null if it has none.
     Empty table: empty result. Other columns are ignored.
     """
     marks = save(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")), "fingerprints")
@@ -201,41 +211,103 @@ def _verified(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     return save(both.where(similarity("text_u", "text_v") >= SIMILAR).select("u", "v"), "similar")
 
 
-def _between(hits: DataFrame, dense: int) -> DataFrame:
-    """Pairs of one key and different clusters whose sizes allow the similarity. A crowded key compares
-    what it holds beyond its largest cluster with all its members."""
-    fits = f"least(x.size, y.size) >= {SIMILAR}D * greatest(x.size, y.size) and x.cluster <> y.cluster"
-    light = hits.where(F.col("c") <= dense).groupBy("key").agg(F.collect_list(F.struct("node", "size", "cluster")).alias("m"))
-    pairs = F.expr(f"""flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> {fits}),
-        y -> struct(x.node as u, y.node as v))))""")
-    few = light.select(F.explode(pairs).alias("e")).select("e.u", "e.v")
+def _fits(x: str, y: str) -> str:
+    """Whether two sketches are of different clusters and their sizes allow the similarity."""
+    return f"least({x}.size, {y}.size) >= {SIMILAR}D * greatest({x}.size, {y}.size) and {x}.cluster <> {y}.cluster"
+
+
+def _mixed(hits: DataFrame, dense: int) -> DataFrame:
+    """The members of crowded keys that hold more than one cluster, with the key's largest one as main."""
     crowded = hits.where(F.col("c") > dense)
     counts = crowded.groupBy("key", "cluster").agg(F.count("*").alias("n"))
     keys = counts.groupBy("key").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("main"), (F.sum("n") - F.max("n")).alias("rest"))
-    mixed = save(crowded.join(keys.where("rest > 0").hint("merge"), "key"), "mixed_bands")
-    x, y = mixed.where("cluster <> main").alias("x"), mixed.alias("y")
-    across = x.join(y, F.col("x.key") == F.col("y.key")).where(fits).select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
-    return few.union(across)
+    return save(crowded.join(keys.where("rest > 0").hint("merge"), "key"), "mixed_bands")
+
+
+def _between(hits: DataFrame, dense: int) -> DataFrame:
+    """Pairs of one uncrowded key and different clusters whose sizes allow the similarity."""
+    light = hits.where(F.col("c") <= dense).groupBy("key").agg(F.collect_list(F.struct("node", "size", "cluster")).alias("m"))
+    pairs = F.expr(f"""flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> {_fits("x", "y")}),
+        y -> struct(x.node as u, y.node as v))))""")
+    return light.select(F.explode(pairs).alias("e")).select("e.u", "e.v")
+
+
+@F.arrow_udf(ArrayType(LongType()))
+def shingle_list(text: pa.Array) -> pa.Array:
+    return pa.array([shingle_set(t.as_py()).view(np.int64) for t in text], pa.list_(pa.int64()))
+
+
+def _compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """The similar pairs between two blocks of one key's members: of different clusters, in the first key that
+    the two share, and once where both may stand on either side."""
+    none = pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
+    if not len(left) or not len(right):
+        return none
+    key = left["key"].iloc[0]
+    x_bands, y_bands = np.stack(left["bands"]), np.stack(right["bands"])
+    x_node, y_node, x_size, y_size = (f[c].to_numpy() for c in ("node", "size") for f in (left, right))
+    y_cluster, y_main = right["cluster"].to_numpy(), right["main"].to_numpy()
+    sets = [np.asarray(a).view(np.uint64) for a in right["shingles"]]
+    every, starts = np.concatenate(sets), np.r_[0, np.cumsum(y_size)[:-1]]
+    out = []
+    for i, (of_x, cluster) in enumerate(zip(left["shingles"], left["cluster"])):
+        first = (x_bands[i] == y_bands).argmax(axis=1)
+        ok = (x_bands[i][first] == key) & (y_cluster != cluster) & ((y_cluster == y_main) | (x_node[i] < y_node))
+        ok &= np.minimum(x_size[i], y_size) >= SIMILAR * np.maximum(x_size[i], y_size)
+        if ok.any():
+            of_x = np.asarray(of_x).view(np.uint64)
+            at = np.minimum(np.searchsorted(of_x, every), len(of_x) - 1)
+            both = np.add.reduceat((of_x[at] == every).astype(np.int64), starts)
+            hit = ok & (both >= SIMILAR * (x_size[i] + y_size - both))
+            out.append(pd.DataFrame({"u": x_node[i], "v": y_node[hit]}))
+    return pd.concat(out) if out else none
+
+
+def _crowd_links(mixed: DataFrame, marks: DataFrame) -> DataFrame:
+    """Similar pairs of a crowded key: what it holds beyond its largest cluster against all its members, in
+    blocks of bounded size; only the links leave a block."""
+    nodes = mixed.select("node").distinct()
+    sets = marks.select("node", "text", "bands").join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
+    sets = save(sets.select("node", "bands", shingle_list("text").alias("shingles")), "sets")
+    outside = F.col("cluster") != F.col("main")
+    sized = mixed.groupBy("key").agg(*(F.greatest(F.ceil(F.count_if(w) / BLOCK_ROWS), F.ceil(F.sum(F.when(w, F.col("size"))) / BLOCK_SHINGLES)).cast("int").alias(n) for n, w in (("xs", outside), ("ys", F.lit(True)))))
+    dealt = save(mixed.join(sized.hint("merge"), "key").join(sets.hint("merge"), "node"), "crowds")
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = dealt.where(outside).withColumn("xb", block("xs")).withColumn("yb", every("ys"))
+    y = dealt.withColumn("yb", block("ys")).withColumn("xb", every("xs"))
+    by = ("key", "xb", "yb")
+    return x.groupBy(*by).cogroup(y.groupBy(*by)).applyInPandas(_compare, "u long, v long")
+
+
+def _inside(hits: DataFrame, near: DataFrame) -> DataFrame:
+    """The hits with the cluster of each node by the edges near."""
+    clusters = components(near).withColumnRenamed("component", "cluster")
+    return save(hits.join(clusters.hint("merge"), "node", "left").withColumn("cluster", F.coalesce("cluster", "node")), "band_clusters")
 
 
 def similar_documents(docs: DataFrame, dense: int = 32) -> DataFrame:
     """(doc_id, component_id) of every row with a doc_id: documents that are linked, directly or through
-    others, by a Jaccard similarity of SIMILAR or more get the smallest doc_id among them."""
-    long_rows(docs.sparkSession)
+    others, by a Jaccard similarity of SIMILAR or more get the smallest doc_id among them.
+
+    Crowds are drawn together first: every member of a crowded key is compared with one member picked for that
+    key. Only what is outside the key's largest cluster then meets all the members, in blocks, so that no link
+    is lost and a group of copies is not expanded into its pairs. Null and empty texts are alike. Very long texts
+    are read whole. Repeated rows each keep a row. Empty table: an empty result. Other columns are ignored.
+    """
     named = docs.where("doc_id is not null").select("doc_id", "text", sketch(F.col("text")).alias("s"))
     marks = save(named.select("doc_id", "text", "s.*"), "sketches")
     prints = save(marks.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "size", "bands"))), "prints")
     keys = save(prints.select("node", "size", F.explode("bands").alias("key")), "bands")
-    shared = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("hub")).where("c > 1")
+    shared = keys.groupBy("key").agg(F.count("*").alias("c"), F.min_by("node", F.xxhash64("node", "key")).alias("hub")).where("c > 1")
     hits = save(keys.join(shared.hint("merge"), "key"), "band_hits")
     # the closest first, so that crowds are single clusters when the other pairs are made
     of_print = save(prints.groupBy("fp").agg(F.min("node").alias("node")), "of_print")
     same = prints.join(of_print.withColumnRenamed("node", "v").hint("merge"), "fp").select(F.col("node").alias("u"), "v")
     stars = hits.where(F.col("c") > dense).select(F.col("node").alias("u"), F.col("hub").alias("v"))
     near = _verified(links(of_print, dense).union(same).union(stars), marks)
-    clusters = components(near).withColumnRenamed("component", "cluster")
-    inside = save(hits.join(clusters.hint("merge"), "node", "left").withColumn("cluster", F.coalesce("cluster", "node")), "band_clusters")
-    found = components(near.union(_verified(_between(inside, dense), marks)))
+    inside = _inside(hits, near)
+    found = components(near.union(_verified(_between(inside, dense), marks)).union(_crowd_links(_mixed(inside, dense), marks)))
     rows = marks.select("doc_id", "node").join(found.hint("merge"), "node", "left").select("doc_id", F.coalesce("component", "node").alias("group"))
     rows = save(rows, "groups")
     names = rows.groupBy("group").agg(F.min("doc_id").alias("component_id"))
@@ -245,7 +317,8 @@ def similar_documents(docs: DataFrame, dense: int = 32) -> DataFrame:
 def keep_one(docs: DataFrame, dense: int = 32) -> DataFrame:
     """One document of each group of similar_documents: the row of its smallest doc_id, all columns as they came.
 
-    Of rows that repeat that doc_id one stays; rows without a doc_id stay.
+    Of rows that repeat that doc_id one stays; rows without a doc_id stay. Null and empty texts are alike: one
+    of them stays. An empty table stays empty.
     """
     again = fresh(docs, "again")
     ids = similar_documents(docs, dense).where("doc_id = component_id").groupBy("doc_id").agg((F.count("*") > 1).alias(again))
