@@ -1,10 +1,12 @@
 """The ten operators and the pipeline against brute force, round trips and held-out accuracy."""
 
 import random
+import re
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,6 +155,9 @@ def test_nearest_recall(spark):
 # 5 and 10 tokens
 
 
+PRETOKEN = re.compile(r" ?[^ \n]+| |\n")
+
+
 def viterbi(word, table, unknown):
     best = [(0.0, [])] + [None] * len(word)
     for e in range(1, len(word) + 1):
@@ -171,14 +176,15 @@ def test_encoding_equals_viterbi_and_decodes_to_the_text(spark, odd, none):
     text = {r.doc_id: r.text or "" for r in docs.collect()}
     one = sentencepiece_lattice.encode(docs)
     got = {r.doc_id: r for r in sentencepiece_lattice.decode(one).collect()}
-    joined = {r.doc_id: r.ids for r in sentencepiece_lattice.encode(docs, shared_words=0).collect()}
+    joined = {r.doc_id: r.ids for r in sentencepiece_lattice.encode(docs, shared_bytes=0).collect()}
     counts = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs).collect()}
     assert got.keys() == text.keys() == counts.keys()
+    half = {r.doc_id: r.ids for r in sentencepiece_lattice.encode(docs, shared_bytes=60_000).collect()}
     for d, t in text.items():
-        assert got[d].text == t and got[d].n_tokens == len(got[d].ids) == counts[d] and joined[d] == got[d].ids
+        assert got[d].text == t and got[d].n_tokens == len(got[d].ids) == counts[d] and joined[d] == half[d] == got[d].ids
     for d in list(text)[:6] + [9007, 9008, 9009]:
         want = []
-        for word in token_counts.PRETOKEN.findall(text[d]):
+        for word in PRETOKEN.findall(text[d]):
             for x in viterbi(word, table, unknown):
                 want += [of_byte[b] for b in x[1].encode()] if isinstance(x, tuple) else [x]
         assert got[d].ids == want
@@ -186,11 +192,30 @@ def test_encoding_equals_viterbi_and_decodes_to_the_text(spark, odd, none):
         assert f(odd).count() == len(ODD) + 2 and f(none).count() == 0
 
 
-def test_trie_starts_anew_with_equal_counts():
-    full, small = token_counts.trie_of(pieces.default_model()), token_counts.trie_of(pieces.default_model())
-    small.most = 10
-    words = [" the", " then", " thing", " wort", "äöü", " " + "q" * 100, " the"]
-    assert [full.count(w) for w in words] == [small.count(w) for w in words]
+def test_long_texts_without_a_space(spark):
+    rng = random.Random(8)
+    letters = "".join(rng.choice("etaoin") for _ in range(200_000))
+    texts = ["t" * 200_000, "語" * 200_000, letters, " " + "".join(rng.choice("abcdefgh_") for _ in range(900)), "in" * 150]
+    docs = docs_of(spark, texts)
+    got = {r.doc_id: r for r in sentencepiece_lattice.decode(sentencepiece_lattice.encode(docs)).collect()}
+    counts = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs).collect()}
+    assert [got[i].text for i in range(5)] == texts and [got[i].n_tokens for i in range(5)] == [counts[i] for i in range(5)]
+    table, of_byte, unknown = pieces.load(pieces.default_model())
+    for i in (3, 4):
+        assert got[i].ids == [t for x in viterbi(texts[i], table, unknown) for t in ([of_byte[b] for b in x[1].encode()] if isinstance(x, tuple) else [x])]
+
+
+def test_trie_counts_equal_viterbi():
+    table, _, unknown = pieces.load(pieces.default_model())
+    of = token_counts.pieces_of(pieces.default_model())
+    rng = random.Random(9)
+    words = {" the", " then", " thing", " wort", "äöü", " " + "q" * 100, " ", "\n", "語語", "😀", "x" * 70}
+    words |= {" " + "".join(rng.choice("etaoinshr") for _ in range(rng.randrange(1, 30))) for _ in range(400)}
+    words = sorted(words, key=lambda w: hash(w) % 97)
+    want = [sum(len(x[1].encode()) if isinstance(x, tuple) else 1 for x in viterbi(w, table, unknown)) for w in words]
+    column = pa.array([w.encode() for w in words], pa.large_binary())
+    for deep in (1, 5, 64):
+        assert token_counts.trie_counts(column, of, deep).tolist() == want
 
 
 # 7 SimHash
@@ -200,7 +225,7 @@ def brute_fingerprint(text):
     import xxhash
 
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-    words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", low) if w]
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", low) if w]
     shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
     h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h)) if h else 0
@@ -336,12 +361,38 @@ def test_shards(spark, odd, none):
 
 def test_rebalancing_moves_only_what_it_must():
     held = {s: 100 + s % 7 for s in range(1000)}
-    first = sharding.first_map(list(held.items()), 8)
+    first = sharding.first_map(1000, 8)
     second = sharding.rebalanced(first, held, 9)
     before, after = ({s: k for _, s, k in m} for m in (first, second))
     assert {v for v, _, _ in second} == {2} and after.keys() == held.keys()
     moved = [s for s in held if before[s] != after[s]]
-    assert len(moved) < 1000 / 9 * 1.3 and all(after[s] == 8 for s in moved if before[s] != 8) or len(moved) < 140
+    assert len(moved) < 1000 / 9 * 1.3
+    load = [sum(held[s] for s in held if after[s] == k) for k in range(9)]
+    assert max(load) < 1.02 * sum(load) / 9
+
+
+def test_versions_of_the_map(spark, tmp_path):
+    docs = docs_of(spark, [f"text {i} " * (i % 50) for i in range(4000)])
+    path = str(tmp_path / "map")
+    sharding.store_map(spark, path, sharding.first_map(256, 4))
+    first = {r.doc_id: r.shard for r in sharding.shard(docs, 4, 256, path).collect()}
+    second = {r.doc_id: r.shard for r in sharding.shard(docs, 5, 256, path).collect()}
+    assert [sharding.load_map(spark, path, v)[0][0] for v in (1, 2, 3)] == [1, 2, 3] == [*range(1, sharding.load_map(spark, path)[0][0] + 1)]
+    assert sum(first[d] != second[d] for d in first) < 0.3 * len(first) and set(second.values()) == set(range(5))
+
+
+@pytest.mark.parametrize("copies", [1000, 25_000])
+def test_one_row_repeated(spark, copies):
+    rows = [(i, " ".join(f"w{i}" for _ in range(20)), "en", "s", 0) for i in range(1000)]
+    docs = spark.createDataFrame(rows, DOC).union(spark.range(copies).selectExpr("7000L", f"'{'word ' * 20}'", "'en'", "'s'", "0L"))
+    got = sharding.shard(docs).toPandas()
+    load = got.groupby("shard")["size"].sum()
+    assert len(got) == 1000 + copies and load.max() < 1.05 * load.mean()
+    assert all(sorted(part["slot"]) == list(range(len(part))) for _, part in got.groupby("shard"))
+    taken = mixing.mix(docs).toPandas()
+    assert len(taken) == 1000 + copies and taken["taken"].sum() == 30 * (1000 + copies) and (taken["taken"] <= 40).all()
+    assert abs(mixing.mixed(docs).count() - 1.5 * (1000 + copies)) <= 1
+    assert mixing.mixed(docs).columns == docs.columns and mixing.mixed(docs.limit(0)).count() == 0
 
 
 # registered queries

@@ -18,7 +18,8 @@ from .common import WORD, fresh, save
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-RANGES = 512
+#: Copies of one row that one task makes.
+COPIES = 10_000
 
 
 def word_count(text="text"):
@@ -52,47 +53,68 @@ def targets(sizes: DataFrame, share: float = SHARE, most: int = MOST) -> DataFra
     return t.withColumn("target", F.when(F.col("at").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("weight") * F.col("at")))).select("source_key", "source_size", "target")
 
 
-def _sized(docs: DataFrame) -> DataFrame:
-    key = F.xxhash64("doc_id", F.crc32("text"))
-    return docs.select(
+def _sized(docs: DataFrame, row) -> DataFrame:
+    """Documents with their size, hash-random key and `row`, which tells rows of one key apart; rows alike in all
+    of this are one row with their number."""
+    rows = docs.select(
         "doc_id", "source",
         F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")).alias("source_key"),
-        word_count().alias("size"), key.alias("key"),
-        F.shiftright(key, 55).alias("range"),
+        word_count().alias("size"), F.xxhash64("doc_id", F.crc32("text")).alias("key"), row.alias("row"),
     )
+    return rows.groupBy("doc_id", "source", "source_key", "size", "key", "row").agg(F.count("*").alias("same")).withColumn("range", F.shiftright("key", 55))
 
 
-def mix(docs: DataFrame, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken.
-
-    Null text: size 0, nothing taken. Null source: a source of its own, the last. Null doc_id: ordered
-    by its hash like any other. Repeated rows are separate documents; ties of the key go by size.
-    Empty table, or no word in any text: targets 0. `taken` over a source sums to the whole part of its target.
-    """
-    rows = save(_sized(docs), "sizes")
-    ranges = rows.groupBy("source_key", "range").agg(F.sum("size").alias("held"), F.first("source").alias("source"))
+def _placed(docs: DataFrame, row, share: float, most: int) -> DataFrame:
+    """The rows of _sized with source_size, target, epochs, and `over`: the words that are left to the row and its
+    repeats, together, in the source's last epoch."""
+    rows = save(_sized(docs, row), "sizes")
+    weight = F.col("size") * F.col("same")
+    ranges = rows.groupBy("source_key", "range").agg(F.sum(weight).alias("held"), F.first("source").alias("source"))
     sources = ranges.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("held").alias("source_size"))
     before = Window.partitionBy("source_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     cut = ranges.withColumn("offset", F.coalesce(F.sum("held").over(before), F.lit(0))).select("source_key", "range", "offset")
     cut = cut.join(targets(sources, share, most).hint("merge"), "source_key")
-    within = Window.partitionBy("source_key", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.join(cut.hint("merge"), ["source_key", "range"]).withColumn("ahead", F.col("offset") + F.sum("size").over(within) - F.col("size"))
+    within = Window.partitionBy("source_key", "range").orderBy("key", "row", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.join(cut.hint("merge"), ["source_key", "range"]).withColumn("ahead", F.col("offset") + F.sum(weight).over(within) - weight)
     budget = F.floor("target")
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
-    extra = F.greatest(F.lit(0), F.least(F.col("size"), budget - epochs * F.col("source_size") - F.col("ahead")))
-    return placed.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + extra).cast("long").alias("taken"), "key")
+    placed = placed.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0))
+    return placed.withColumn("over", F.greatest(F.lit(0), F.least(weight, budget - F.col("epochs") * F.col("source_size") - F.col("ahead"))))
+
+
+def mix(docs: DataFrame, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken.
+
+    Null text: size 0, nothing taken. Very long texts are counted whole. Null source: a source of its own, the
+    last. Null doc_id: ordered by its hash like any other. Repeated rows are separate documents, each with its own
+    part of what they are given together. Ties of the key go by doc_id and size. Empty table, or no word in any
+    text: targets 0. `taken` over a source sums to the whole part of its target. Other columns are ignored.
+    """
+    placed = _placed(docs, F.lit(0), share, most)
+    # a row that repeats is one row until here: blocks of its copies first, so that no task makes them all
+    blocks = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("same") - 1) / COPIES).cast("int"))))
+    many = F.col("same") > COPIES
+    spread = blocks.where(~many).unionByName(blocks.where(many).repartition("key", "block"))
+    first = F.col("block").cast("long") * COPIES
+    every = spread.withColumn("nth", F.explode(F.sequence(first, F.least(first + COPIES, F.col("same")) - 1)))
+    taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("over") - F.col("nth") * F.col("size")))
+    return every.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The mix itself: every document as often as it is taken, all columns as they came.
 
-    The one document of a source in which the budget ends stays whole.
+    The one document of a source in which the budget ends stays whole. Rows that are alike in all columns are
+    interchangeable, so one of them stands for what they are given together. Texts without words are not taken.
+    Null sources and doc_ids, very long texts, ties and clashing names: as in mix(). An empty table stays empty.
     """
-    name = fresh(docs, "copies")
-    taken = mix(docs, share, most).where("taken > 0")
-    # rows that repeat a key are equal in id and text; they share what the key takes, counted in whole copies
-    n = taken.groupBy("key").agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias(name), F.count("*").alias("same"))
-    key = fresh(docs, "mix_key")
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", F.crc32("text")))
-    n = n.withColumnRenamed("key", key).select(key, F.ceil(F.col(name) / F.col("same")).cast("int").alias(name))
-    return keyed.join(n.hint("merge"), key).withColumn(name, F.explode(F.array_repeat(F.lit(1), F.col(name)))).select(docs.columns)
+    row = F.xxhash64(*docs.columns)
+    name, copies, block = (fresh(docs, c) for c in ("mix_key", "copies", "block"))
+    n = _placed(docs, row, share, most).where("size > 0").withColumn("n", F.col("epochs") * F.col("same") + F.ceil(F.col("over") / F.col("size")))
+    n = n.groupBy(F.col("row").alias(name)).agg(F.sum("n").alias(copies), (F.sum("same") > 1).alias(block)).where(F.col(copies) > 0)
+    keyed = docs.withColumn(name, row).join(n.hint("merge"), name)
+    once = keyed.where(~F.col(block)).unionByName(keyed.where(F.col(block)).dropDuplicates([name]))
+    blocks = once.withColumn(block, F.explode(F.sequence(F.lit(0), F.floor((F.col(copies) - 1) / COPIES).cast("int"))))
+    many = F.col(copies) > COPIES
+    spread = blocks.where(~many).unionByName(blocks.where(many).repartition(name, block))
+    own = F.least(F.lit(COPIES), F.col(copies) - F.col(block) * COPIES).cast("int")
+    return spread.withColumn(copies, F.explode(F.array_repeat(F.lit(1), own))).select(docs.columns)
