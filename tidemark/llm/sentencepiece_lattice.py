@@ -33,7 +33,7 @@ SPACE, LINE = 32, 10
 BLOCK = 4_000_000
 #: Characters of a word whose lattice is one row.
 CHUNK = 256
-SHARED_BYTES = 192_000_000
+SHARED_BYTES = 128_000_000
 WORDS_A_TASK = 20_000
 RUNS = 16
 #: No id is below minus this: -1 - the last code point.
@@ -151,9 +151,9 @@ def word_hash(word: pa.Array) -> pa.Array:
     return pa.array(hashes(data, offsets[:-1], offsets[1:]).view(np.int64))
 
 
-def _packed(words: DataFrame) -> list[bytes]:
-    """The dictionary as runs of ascending hashes: packed by executors, so that the driver only passes them on.
-    Words that share a hash are left out; they count as rare."""
+def _shared(words: DataFrame) -> list:
+    """The dictionary as broadcast runs of ascending hashes. Executors pack a run; the driver passes one on at a
+    time and keeps none. Words that share a hash are left out; they count as rare."""
 
     def pack(batches):
         h, sizes, flat = [], [], []
@@ -168,40 +168,51 @@ def _packed(words: DataFrame) -> list[bytes]:
             same[1:] = h[1:] == h[:-1]
             same[:-1] |= same[1:]
             flat, h, sizes = flat[~np.repeat(same, sizes)], h[~same], sizes[~same]
-            head = np.array([len(h), len(flat)], np.int64).tobytes()
-            yield pa.record_batch([pa.array([head + h.tobytes() + sizes.astype(np.int32).tobytes() + flat.astype(np.int32).tobytes()], pa.binary())], ["run"])
+            small = np.uint16 if flat.max(initial=0) < 1 << 16 else np.uint32
+            head = np.array([len(h), np.dtype(small).itemsize], np.int64).tobytes()
+            ends = np.r_[0, np.cumsum(sizes)].astype(np.uint32)
+            if len(h):
+                yield pa.record_batch([pa.array([head + h.tobytes() + ends.tobytes() + flat.astype(small).tobytes()], pa.binary())], ["run"])
 
-    runs = words.select(word_hash("word").alias("h"), "ids").repartitionByRange(RUNS, "h").sortWithinPartitions("h").mapInArrow(pack, "run binary").collect()
-    return [bytes(r.run) for r in runs]
+    runs = words.select(word_hash("word").alias("h"), "ids").repartitionByRange(RUNS, "h").sortWithinPartitions("h").mapInArrow(pack, "run binary")
+    return [words.sparkSession.sparkContext.broadcast(bytes(row.run)) for row in save(runs, "runs").toLocalIterator()]
 
 
 class Dictionary:
-    """Ids of words by their hashes."""
-
-    def __init__(self, runs: list[bytes]):
-        keys, sizes, flat = [], [], []
-        for run in runs:
-            n, m = np.frombuffer(run, np.int64, 2)
-            keys.append(np.frombuffer(run, np.int64, n, 16))
-            sizes.append(np.frombuffer(run, np.int32, n, 16 + 8 * n))
-            flat.append(np.frombuffer(run, np.int32, m, 16 + 12 * n))
-        order = sorted((k for k in range(len(runs)) if len(keys[k])), key=lambda k: keys[k][0])
-        join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *(parts[k] for k in order)])
-        self.keys, self.flat = join(keys, np.int64), join(flat, np.int32)
-        self.ends = np.r_[np.zeros(1, np.int64), np.cumsum(join(sizes, np.int32), dtype=np.int64)]
+    """Ids of words by their hashes, read where the broadcast runs lie."""
+
+    def __init__(self, shared: list):
+        self.runs = []
+        for b in shared:
+            n, width = (int(x) for x in np.frombuffer(b.value, np.int64, 2))
+            keys, ends = np.frombuffer(b.value, np.int64, n, 16), np.frombuffer(b.value, np.uint32, n + 1, 16 + 8 * n)
+            self.runs.append((keys, ends, np.frombuffer(b.value, np.uint16 if width == 2 else np.uint32, int(ends[-1]), 20 + 12 * n)))
+        self.runs.sort(key=lambda run: run[0][0])
+        self.least = np.array([keys[0] for keys, _, _ in self.runs], np.int64)
 
     def of(self, words: pa.Array) -> pa.Array:
         """List of ids for each word, null where it is not here."""
         data, offsets = encoded(words.view(pa.large_string()))
         h = hashes(data, offsets[:-1], offsets[1:]).view(np.int64)
-        if not len(self.keys):
-            return pa.nulls(len(words), pa.list_(pa.int32()))
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        known = self.keys[at] == h
-        start, n = self.ends[at], np.where(known, self.ends[at + 1] - self.ends[at], 0)
-        ends = np.r_[0, np.cumsum(n)]
-        flat = self.flat[np.arange(ends[-1]) - np.repeat(ends[:-1] - start, n)]
-        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat), mask=pa.array(~known))
+        run = np.searchsorted(self.least, h, "right") - 1
+        size, found = np.zeros(len(h), np.int64), []
+        for k, (keys, ends, flat) in enumerate(self.runs):
+            at = np.flatnonzero(run == k)
+            place = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
+            hit = keys[place] == h[at]
+            at, place = at[hit], place[hit]
+            start = ends[place].astype(np.int64)
+            size[at] = ends[place + 1] - start
+            found.append((at, start, flat))
+        known = np.zeros(len(h), bool)
+        edge = np.r_[0, np.cumsum(size)]
+        out = np.zeros(edge[-1], np.int32)
+        for at, start, flat in found:
+            known[at] = True
+            n = size[at]
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            out[np.repeat(edge[at], n) + within] = flat[np.repeat(start, n) + within]
+        return pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(out), mask=pa.array(~known))
 
 
 def encode(docs: DataFrame, model: str | None = None, shared_bytes: int = SHARED_BYTES) -> DataFrame:
@@ -213,24 +224,23 @@ def encode(docs: DataFrame, model: str | None = None, shared_bytes: int = SHARED
     table: an empty result. Other columns are ignored, whatever their names.
     """
     model = model or P.default_model()
-    spark = docs.sparkSession
     cut = cuts(P.load(model)[0])
     words = save(distinct_words(docs, cut).withColumn("wid", F.monotonically_increasing_id()), "words")
     parts = max(1, -(-words.count() // WORDS_A_TASK))
     words = save(encode_words(words, model, parts), "dictionary")
     # a row per number of blocks: which words, by that number, are frequent enough to be shared
-    held = words.groupBy("n").agg(F.sum(12 + 4 * F.size("ids")).alias("bytes")).orderBy(F.desc("n")).toLocalIterator()
+    held = words.groupBy("n").agg(F.sum(12 + 2 * F.size("ids")).alias("bytes")).orderBy(F.desc("n")).toLocalIterator()
     total, least = 0, None
     for row in held:
         total += row.bytes
         if total > shared_bytes:
             least = row.n + 1
             break
-    shared = spark.sparkContext.broadcast(_packed(words if least is None else words.where(F.col("n") >= least)))
+    shared = _shared(words if least is None else words.where(F.col("n") >= least))
 
     @F.arrow_udf("array<int>")
     def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = Dictionary(shared.value)
+        known = Dictionary(shared)
         for texts in batches:
             out = [pa.array([], pa.list_(pa.int32()))]
             for _, _, found, first in _words(texts, cut):
@@ -248,13 +258,13 @@ def encode(docs: DataFrame, model: str | None = None, shared_bytes: int = SHARED
     return told.where("ids is not null").select("doc_id", "ids").union(rare).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
-def _by_join(docs: DataFrame, words: DataFrame, shared, cut: np.ndarray) -> DataFrame:
+def _by_join(docs: DataFrame, words: DataFrame, shared: list, cut: np.ndarray) -> DataFrame:
     """(doc_id, ids) of documents with rare words: runs of shared words come with their ids, each rare word meets
     the dictionary by shuffle, and a document's parts are put together in their order."""
     rows = save(docs.select("doc_id", "text", F.expr("uuid()").alias("row")), "rows")
 
     def parts(batches):
-        known = Dictionary(shared.value)
+        known = Dictionary(shared)
         for batch in batches:
             for i, j, found, first in _words(batch.column(1), cut):
                 coded = found.dictionary_encode()
