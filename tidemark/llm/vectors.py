@@ -44,10 +44,11 @@ def distinct(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
     return order[np.arange(len(order)) - first <= k]
 
 
-def blocks(vectors: DataFrame, every: int, queries: int, candidates: int) -> tuple[DataFrame, DataFrame, int]:
+def blocks(vectors: DataFrame, every: int, queries: int, candidates: int, of: DataFrame | None = None) -> tuple[DataFrame, DataFrame, int]:
     """Grouped by (qb, cb): the queries (vec_id divisible by `every`) and the candidates, and the dimension.
 
-    queries, candidates: vectors in a block, about.
+    queries, candidates: vectors in a block, about. of: the candidates, if not all vectors. A candidate is shuffled
+    once for each block of queries, so these are large.
     """
     asked = F.col("vec_id") % every == 0
     n, m, dims = vectors.agg(F.count("*"), F.count_if(asked), F.max(F.size("v"))).first()
@@ -55,7 +56,7 @@ def blocks(vectors: DataFrame, every: int, queries: int, candidates: int) -> tup
     block = lambda count: F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int")
     every_qb, every_cb = (F.explode(F.sequence(F.lit(0), F.lit(x - 1))) for x in (qb, cb))
     q = vectors.where(asked).withColumn("qb", block(qb)).withColumn("cb", every_cb)
-    c = vectors.select(F.col("vec_id").alias("vec_id"), F.col("v").alias("v")).withColumn("cb", block(cb)).withColumn("qb", every_qb)
+    c = (vectors if of is None else of).select(F.col("vec_id").alias("vec_id"), F.col("v").alias("v")).withColumn("cb", block(cb)).withColumn("qb", every_qb)
     return q, c, dims or 0
 
 
