@@ -150,6 +150,12 @@ def test_nearest_recall(spark):
         hits += len(set(np.argsort(-s)[:20]) & set(part["vec_id"]))
         assert np.allclose(part["score"], x[part["vec_id"]] @ x[q], atol=1e-12) and sorted(part["rank"]) == list(range(1, 21))
     assert hits / len(got) >= 0.9
+    ids = np.arange(len(x))
+    asked = ids[ids % 20 == 0]
+    _, verified = ann.search(asked, x[asked], ids, x, 20, ann.DIRECTIONS, ann.CONFIDENCE)
+    assert verified < 0.7 * len(asked) * len(x)  # the stopping test fires
+    split = ann.nearest(frame, queries=40, candidates=700).toPandas()
+    assert len(split) == len(got) and len(split.merge(got, on=["query_id", "vec_id"])) > 0.85 * len(got)
 
 
 # 5 and 10 tokens
