@@ -51,11 +51,52 @@ def test_html_style_tree_cuts_what_a_host_repeats(spark):
     got = {r.page_id: r for r in html_text.extract(pages).collect()}
     assert len(got) == 23 and got[3].text == "Own words 3\nMore 3" and got[3].n_chars == 18
     assert got[90].text == "" and got[91].n_chars == 0 and got[92].text == "alone"
-    salted = {r.page_id: r.text for r in html_text.extract(pages, shared_hosts=0).collect()}
-    assert salted == {k: r.text for k, r in got.items()}
+    one = {r.page_id: r.text for r in html_text.extract(pages, shared_bytes=-1).collect()}
+    assert one == {k: r.text for k, r in got.items()}
+    assert {r.page_id: r.text for r in html_text.extract(pages, low=0.0).collect()}[3] == "Same words everywhere\nOwn words 3\nMore 3"
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_html_tree_cuts_inside_the_article_and_whole_branches(spark):
+    page = "<body><article class=story><h1>Title {i}</h1><p>Unique text of page {i} with some more words {i}</p><div class=author><p>About the author, the same words on every page</p></div></article><div class=box><h4>More from this site on all of our pages</h4><ul><li>Item {i}</ul><p>And the very same closing line again</p></div></body>"
+    plain = page.replace("article class=story", "div class=story").replace("</article>", "</div>")
+    for host, html in (("a", page), ("b", plain)):
+        rows = [(i, f"http://{host}.example/{i}", html.replace("{i}", str(i))) for i in range(20)]
+        got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got == {i: f"Title {i}\nUnique text of page {i} with some more words {i}" for i in range(20)}
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article class='post category-social'><p>One</article>", "One"),
+        ("<article id=comment-on-policy><p>One</article>", "One"),
+        ("<article><header class=entry-header><h1>Head</h1></header><p>One</article>", "Head\nOne"),
+        ("<article><p class=social-impact>One</p><p class=share-price>Two</article>", "One\nTwo"),
+        ("<section data-u=http://x/><p>One</section><p>Two", "One\nTwo"),
+    ],
+)
+def test_html_of_real_articles(page, text):
+    assert html_text.main_text(f"<body>{page}") == text
+
+
+def brute_main_text(html):
+    """The text of the given pages' one article, by regular expressions."""
+    import html as h
+
+    inner = re.search(r"<article>(.*?)</article>", html or "", re.S)
+    inner = re.sub(r"<!--.*?-->|<(script|style|form)\b.*?</\1>|<(\w+)[^>]*class=.comments?.[^>]*>.*?</\2>", "", inner.group(1) if inner else "", flags=re.S)
+    blocks = [" ".join(h.unescape(re.sub(r"<[^>]+>", "", re.sub(r"<br[^>]*>", " ", b))).split()) for b in re.split(r"</?(?:p|h1|h2|h3|div|ul|ol|li|table|tr|td|th|blockquote|section|pre|aside|nav|footer)\b[^>]*>", inner)]
+    return "\n".join(b for b in blocks if b)
+
+
+def test_html_of_given_pages_equals_brute_force(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    want = {r.page_id: brute_main_text(r.html) for r in pages.collect()}
+    assert sum(got[p] == want[p] for p in want) >= 0.99 * len(want) and got.keys() == want.keys()
+
+
 def test_html_copied_articles_stay(spark):
     rows = [(i, "http://h.example/1", "<body><article><p>A copied text</p></article>") for i in range(30)]
     assert {r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"A copied text"}

@@ -2,18 +2,19 @@
 
 The DOMs of a host's pages are merged: a node of the tree is a host and a path of containers (tag and
 first class). A page's presentation of the node is the sequence of its child tags; its content features
-are the text blocks that stand in it and in no container below it. Over the m pages that hold a node, the presentation importance is the entropy
-of the presentations to the base m, and the content importance is 1 minus the mean entropy, to the base
-m, of the features' spread over the pages: blocks that every page repeats make it 0. Nodes of low
-importance are the site's, not the page's, and their own blocks are cut from each page. Each node below is
-judged by itself: a whole branch goes only if all of its nodes are low, and a repeated line takes none of
-the text in containers beside it along.
+are the text blocks that stand in it and in no container below it. Over the m pages that hold a node, its
+presentation importance is the entropy of the presentations to the base m, and the importance of its own text
+is 1 minus the mean entropy, to the base m, of the features' spread over the pages: blocks that every page repeats
+make it 0. Importance is carried up: that of a branch joins the presentation importance of its top, which counts
+the more the more presentations there are, with those of its text and of the branches below, each by its share of
+the branch's characters. Branches of low importance are the site's, not the page's, and are cut from each page
+whole; in what stays, text of low importance is cut where it stands by itself. Pages that are equal count once.
 
 The tree cannot judge a host with few pages, so branches whose tag or name states their role (menus,
-footers, forms, adverts and so on) are cut everywhere, and the branch that a page marks as its article is
-never cut for being repeated: a copied page keeps its text. A name is a whole class, id or role, or a
-compound of such names and of words that only place them. A branch cut by its name stays if the page's
-marked article is in it, or all the text that is left.
+footers, forms, adverts and so on) are cut everywhere. A name is a whole class, id or role, or a compound of such
+names and of words that only place them. A branch cut by its name stays if the page's marked article is in it, or
+all the text that is left. The tree also judges inside the branch that a page marks as its article, but never takes
+half of it or more: a copied page keeps its text.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, save
+from .common import save
 
 # Tag names of HTML and usual names of page furniture.
 NAME, FIRM = 1, 2  # furniture by the name of a wrapper outside the article; furniture by anything else
@@ -49,6 +50,7 @@ TOKEN = re.compile(
     re.S,
 )
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/$""")
 END_OF_RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW}
 
 
@@ -122,7 +124,7 @@ def parse(page: str | None, children: dict[str, list[str]] | None = None) -> lis
             continue
         tag = m["tag"].lower()
         if tag in END_OF_RAW and not m["end"]:
-            if not m["attrs"].endswith("/") or tag not in ("svg", "math"):
+            if tag not in ("svg", "math") or not SELF_CLOSED.search(m["attrs"]):
                 over = END_OF_RAW[tag].search(page, at)
                 at = over.end() if over else n
             text.append(" ")
@@ -139,7 +141,7 @@ def parse(page: str | None, children: dict[str, list[str]] | None = None) -> lis
                 flush()
             elif tag in CONTAINERS or not any(s[0] in CONTAINERS for s in stack[depth + 1 :]):
                 close(depth)
-        elif not m["attrs"].endswith("/"):
+        else:  # a slash before the end closes no block
             flush()
             # a block of running text ends an open paragraph; an item ends the item before
             ends = ("li",) if tag == "li" else ("dt", "dd") if tag in ("dt", "dd") else ("p",)
@@ -165,36 +167,59 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path) of every node with m (pages) and importance."""
+def style_tree(pages: DataFrame, decay: float = 0.9) -> DataFrame:
+    """(host, path, m, own, branch) of every node: pages that hold it, importance of its own text (null without any)
+    and of the branch. decay: how fast the presentations outweigh what is below as their number grows."""
 
     def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for host, page in zip(batch["host"], batch["html"]):
-                seen: dict[str, list[str]] = {}
+            for host, page, of in zip(batch["host"], batch["html"], batch["of"]):
+                seen: dict[str, dict[str, int]] = {}
                 tags: dict[str, list[str]] = {}
                 for path, text, _, _ in parse(page, tags):
-                    seen.setdefault(path, []).append(text)
-                for path, texts in seen.items():
-                    rows.append((host, path, -1, hash_text(" ".join(tags.get(path, ())))))
-                    rows += [(host, path, 1, h) for h in {hash_text(t) for t in texts}]
-            yield pd.DataFrame(rows, columns=["host", "path", "kind", "feature"])
-
-    rows = pages.select("host", "html").mapInPandas(nodes, "host string, path string, kind int, feature long")
-    counted = rows.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("c"))
+                    seen.setdefault(path, {})[text] = len(text)
+                for path in seen.keys() | tags.keys():
+                    rows.append((host, path, -1, hash_text(" ".join(tags.get(path, ()))), 0, of))
+                    rows += [(host, path, 1, hash_text(t), n, of) for t, n in seen.get(path, {}).items()]
+            yield pd.DataFrame(rows, columns=["host", "path", "kind", "feature", "chars", "of"])
+
+    # equal pages, told by a hash, give equal rows and count once
+    named = pages.select("host", "html", F.xxhash64("html").alias("of"))
+    rows = named.mapInPandas(nodes, "host string, path string, kind int, feature long, chars long, of long")
+    counted = rows.distinct().groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("c"), F.max("chars").alias("chars"))
+    style = F.col("kind") < 0
     spread = counted.groupBy("host", "path").agg(
-        F.sum(F.when(F.col("kind") < 0, F.col("c"))).alias("m"),
-        F.sum(F.when(F.col("kind") < 0, F.col("c") * F.log("c"))).alias("c_log_c"),
-        F.avg(F.when(F.col("kind") > 0, F.log("c"))).alias("log_c"),
-        F.count_if(F.col("kind") > 0).alias("features"),
-    )
+        F.sum(F.when(style, F.col("c"))).alias("m"), F.count_if(style).alias("looks"),
+        F.sum(F.when(style, F.col("c") * F.log("c"))).alias("c_log_c"),
+        F.avg(F.when(~style, F.log("c"))).alias("log_c"), F.sum(F.col("c") * F.col("chars")).alias("chars"),
+    )
     m = F.log(F.col("m").cast("double"))
-    style = F.when(F.col("m") > 1, 1 - F.col("c_log_c") / (F.col("m") * m)).otherwise(1.0)
-    content = F.when(F.col("m") > 1, 1 - F.col("log_c") / m).otherwise(1.0)
-    # the share of content grows with the number of features
-    weight = F.pow(F.lit(0.9), F.col("features").cast("double"))
-    return spread.select("host", "path", "m", ((1 - weight) * content + weight * F.least(style, content)).alias("importance"))
+    # of the depth of a path its ancestors: "/body/div" and "/body" for "/body/div"; the top of all is ""
+    above = F.expr("transform(sequence(0, size(split(path, '/')) - 1), i -> array_join(slice(split(path, '/'), 1, i + 1), '/'))")
+    node = save(
+        spread.select(
+            "host", "path", "m", "looks", "chars", above.alias("above"),
+            F.when(F.col("m") > 1, F.col("c_log_c") / (-F.col("m") * m) + 1).otherwise(1.0).alias("style"),
+            F.when(F.col("m") > 1, 1 - F.col("log_c") / m).otherwise(F.when(F.col("log_c").isNotNull(), 1.0)).alias("own"),
+        ),
+        "nodes",
+    )
+    # below each node: the characters of its branch; above each node: how many presentations its ancestors have
+    pairs = node.select("host", F.explode("above").alias("top"), "path", "chars")
+    held = pairs.groupBy("host", "top").agg(F.sum("chars").alias("held"))
+    looks = node.select("host", F.col("path").alias("top"), "looks")
+    depth = pairs.where("top <> path").join(looks.hint("merge"), ["host", "top"]).groupBy("host", "path").agg(F.sum("looks").alias("before"))
+    full = node.join(held.withColumnRenamed("top", "path").hint("merge"), ["host", "path"]).join(depth.hint("merge"), ["host", "path"], "left").withColumn("before", F.coalesce("before", F.lit(0)))
+    full = save(full, "tree")
+    # a branch is the sum of what its nodes hand up: their looks by the characters below them, their text by its own
+    weight = F.pow(F.lit(decay), F.col("looks").cast("double"))
+    gives = (1 - weight) * F.col("style") * F.col("held") + weight * F.coalesce("own", F.lit(0.0)) * F.col("chars")
+    handed = full.select("host", F.explode("above").alias("top"), "before", gives.alias("gives"))
+    tops = full.select("host", F.col("path").alias("top"), F.col("before").alias("top_before"), F.col("held").alias("top_held"))
+    up = handed.join(tops.hint("merge"), ["host", "top"]).where("top_held > 0")
+    up = up.groupBy("host", "top").agg(F.sum(F.col("gives") / F.col("top_held") * F.pow(F.lit(decay), (F.col("before") - F.col("top_before")).cast("double"))).alias("branch"))
+    return full.select("host", "path", "m", "own").join(up.withColumnRenamed("top", "path").hint("merge"), ["host", "path"])
 
 
 def hash_text(text: str) -> int:
@@ -203,44 +228,59 @@ def hash_text(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 0) - (1 << 63)
 
 
-def main_text(page: str | None, low: frozenset[str] | set[str] = frozenset()) -> str:
-    """Kept blocks joined by a line end; the marked article if the page has one. low: paths whose own blocks go."""
-    blocks = [x for x in parse(page) if x[2] != FIRM and (x[3] or x[0] not in low)]
+def _low(path: str, text: frozenset[str] | set[str], branches: frozenset[str] | set[str]) -> bool:
+    while path:
+        if path in text or path in branches:
+            return True
+        text, path = (), path.rpartition("/")[0]
+    return False
+
+
+def main_text(page: str | None, text: frozenset[str] | set[str] = frozenset(), branches: frozenset[str] | set[str] = frozenset()) -> str:
+    """Kept blocks joined by a line end; the marked article if the page has one. text: paths whose own blocks are of
+    low importance; branches: paths of branches that are."""
+    every = [x for x in parse(page) if x[2] != FIRM]
+    high = [not _low(x[0], text, branches) for x in every] if text or branches else [True] * len(every)
+    size = lambda blocks: sum(len(x[1]) for x in blocks)
+    article = [x for x in every if x[3]]
+    if 2 * size([x for x, ok in zip(every, high) if x[3] and ok]) <= size(article):
+        high = [ok or x[3] for x, ok in zip(every, high)]
+    blocks = [x for x, ok in zip(every, high) if ok]
     kept = [x for x in blocks if not x[2]]
     if not any(x[3] for x in kept):
         # a wrapper may have a name of furniture; an article in it counts if it is most of the text
         article = [x for x in blocks if x[3]]
-        if sum(len(x[1]) for x in article) > sum(len(x[1]) for x in kept):
+        if size(article) > size(kept):
             kept = article
-    kept = kept or blocks
+    kept = kept or blocks or every
     if any(x[3] for x in kept):
         kept = [x for x in kept if x[3]]
     return "\n".join(x[1] for x in kept)
 
 
-def extract(pages: DataFrame, low: float = 0.25, least_pages: int = 8, shared_hosts: int = 100_000, salts: int = 32) -> DataFrame:
+def extract(pages: DataFrame, low: float = 0.25, least_pages: int = 8, shared_bytes: int = 32_000_000, salts: int = 32) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
-    low: the blocks of nodes under this importance are cut, on hosts with least_pages pages or more that hold them.
-    shared_hosts: up to so many hosts with such nodes, their paths are broadcast (after a count); beyond,
-    they are joined by host, salted. Null html: empty text. Null url: a host of its own. Repeated rows and
-    page_ids each keep a row. Empty table: empty result.
+    low: nodes under this importance are cut, on hosts with least_pages different pages or more that hold them.
+    shared_bytes: the cuts are broadcast while their paths have no more characters than this; beyond, pages meet them by a shuffle, each host's dealt over `salts` parts. Null html: empty text. Null
+    url: a host of its own. Very long pages are read whole. Repeated rows and page_ids each keep a row. Empty table:
+    empty result. Other columns are ignored, whatever their names.
     """
-    host = fresh(pages, "host")
-    named = pages.select("page_id", "url", "html", host_of(F.col("url")).alias(host))
-    tree = style_tree(named.withColumnRenamed(host, "host"))
-    cut = tree.where((F.col("importance") < low) & (F.col("m") >= least_pages) & (F.col("path") != "/body") & (F.col("path") != ""))
-    cut = save(cut.groupBy("host").agg(F.collect_set("path").alias("paths")), "style_tree")
-    named = named.withColumnRenamed(host, "host")
-    if cut.limit(shared_hosts + 1).count() <= shared_hosts:
+    named = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
+    tree = style_tree(named).where((F.col("m") >= least_pages) & (F.col("path") != "/body") & (F.col("path") != ""))
+    cut = tree.where((F.col("own") < low) | (F.col("branch") < low)).groupBy("host").agg(
+        F.collect_set(F.when(F.col("own") < low, F.col("path"))).alias("texts"), F.collect_set(F.when(F.col("branch") < low, F.col("path"))).alias("branches")
+    )
+    cut = save(cut, "style_tree")
+    if (cut.agg(F.sum(sum(F.length(F.array_join(c, "/")) for c in ("texts", "branches")))).first()[0] or 0) <= shared_bytes:
         joined = named.join(F.broadcast(cut), "host", "left")
     else:
         salted = cut.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = named.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int")).join(salted.hint("merge"), ["host", "salt"], "left")
+        joined = named.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(salted.hint("merge"), ["host", "salt"], "left")
 
     @F.pandas_udf("string")
-    def text(page: pd.Series, paths: pd.Series) -> pd.Series:
-        return pd.Series([main_text(p, frozenset() if c is None else frozenset(c)) for p, c in zip(page, paths)], dtype=object)
+    def text(page: pd.Series, texts: pd.Series, branches: pd.Series) -> pd.Series:
+        return pd.Series([main_text(p, *(frozenset() if c is None else frozenset(c) for c in cut)) for p, *cut in zip(page, texts, branches)], dtype=object)
 
-    out = joined.select("page_id", "url", text("html", "paths").alias("text"))
+    out = joined.select("page_id", "url", text("html", "texts", "branches").alias("text"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
