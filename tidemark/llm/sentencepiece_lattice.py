@@ -21,16 +21,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from . import pieces as P
 from .common import encoded, hashes, save, slices
 
 SPACE, LINE = 32, 10
 #: Bytes of text that are worked on at once.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 #: Characters of a word whose lattice is one row.
 CHUNK = 256
 SHARED_BYTES = 128_000_000
@@ -238,22 +239,22 @@ def encode(docs: DataFrame, model: str | None = None, shared_bytes: int = SHARED
             break
     shared = _shared(words if least is None else words.where(F.col("n") >= least))
 
-    @F.arrow_udf("array<int>")
-    def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def look_up(batches):
         known = Dictionary(shared)
-        for texts in batches:
-            out = [pa.array([], pa.list_(pa.int32()))]
-            for _, _, found, first in _words(texts, cut):
+        for batch in batches:
+            for i, j, found, first in _words(batch.column(1), cut):
                 coded = found.dictionary_encode()
                 ids = known.of(coded.dictionary)
                 missing = np.r_[0, np.cumsum(ids.is_null().to_numpy(zero_copy_only=False)[coded.indices.to_numpy()])]
+                rare = pa.array(missing[first[1:]] > missing[first[:-1]])
                 taken = ids.take(coded.indices)
-                ends = taken.offsets.to_numpy()[first]
-                out.append(pa.ListArray.from_arrays(pa.array(ends), taken.values, mask=pa.array(missing[first[1:]] > missing[first[:-1]])))
-            yield pa.concat_arrays(out)
+                whole = pa.ListArray.from_arrays(pa.array(taken.offsets.to_numpy()[first]), taken.values, mask=rare)
+                text = pc.if_else(rare, batch.column(1)[i:j].fill_null(""), pa.scalar(None, batch.column(1).type))
+                yield pa.record_batch([batch.column(0)[i:j], text, whole], ["doc_id", "text", "ids"])
 
-    told = docs.select("doc_id", "text", look_up(F.col("text")).alias("ids"))
-    told = save(told.select("doc_id", F.when(F.col("ids").isNull(), F.coalesce("text", F.lit(""))).alias("text"), "ids"), "encoded")
+    doc_id = docs.schema["doc_id"]
+    told = docs.select("doc_id", "text").mapInArrow(look_up, StructType([doc_id, StructField("text", StringType()), StructField("ids", ArrayType(IntegerType()))]))
+    told = save(told, "encoded")
     rare = _by_join(told.where("ids is null"), words, shared, cut)
     return told.where("ids is not null").select("doc_id", "ids").union(rare).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
