@@ -21,7 +21,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
@@ -246,10 +245,10 @@ def encode(docs: DataFrame, model: str | None = None, shared_bytes: int = SHARED
                 coded = found.dictionary_encode()
                 ids = known.of(coded.dictionary)
                 missing = np.r_[0, np.cumsum(ids.is_null().to_numpy(zero_copy_only=False)[coded.indices.to_numpy()])]
-                rare = pa.array(missing[first[1:]] > missing[first[:-1]])
+                rare = missing[first[1:]] > missing[first[:-1]]
                 taken = ids.take(coded.indices)
-                whole = pa.ListArray.from_arrays(pa.array(taken.offsets.to_numpy()[first]), taken.values, mask=rare)
-                text = pc.if_else(rare, batch.column(1)[i:j].fill_null(""), pa.scalar(None, batch.column(1).type))
+                whole = pa.ListArray.from_arrays(pa.array(taken.offsets.to_numpy()[first]), taken.values, mask=pa.array(rare))
+                text = pa.array([t.as_py() or "" if r else None for t, r in zip(batch.column(1)[i:j], rare)], pa.string())
                 yield pa.record_batch([batch.column(0)[i:j], text, whole], ["doc_id", "text", "ids"])
 
     doc_id = docs.schema["doc_id"]
