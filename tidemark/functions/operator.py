@@ -2,7 +2,8 @@
 
 An Operator is called with DataFrames and gives a DataFrame; nothing is collected. Its text is plain SQL
 over the names of its inputs, so another engine can run the same definition on views of those names.
-One thing is spelled differently there and stands as DAYS(a, b): whole days from b to a.
+Three things are spelled differently there: DAYS(a, b), whole days from b to a; JSON(text, key), a value of a
+JSON object; and sha256(text).
 """
 
 from __future__ import annotations
@@ -29,15 +30,18 @@ class Operator:
         if len(frames) != len(self.inputs):
             raise TypeError(f"{self.name} takes {', '.join(self.inputs)}")
         text = re.sub(r"DAYS\(([^,()]+), ([^()]+)\)", r"datediff(cast(\1 as date), cast(\2 as date))", self.text)
+        text = re.sub(r"JSON\((\w+), (\w+)\)", r"get_json_object(\1, '$.\2')", text)
+        text = re.sub(r"sha256\((concat\((?:[^()]|\([^()]*\))*\))\)", r"sha2(\1, 256)", text)
         text = doubles(text)
         for name in self.inputs:
             text = re.sub(rf"\b(from|join) {name}\b", rf"\1 {{{name}}} as {name}", text)
         return frames[0].sparkSession.sql(text, **dict(zip(self.inputs, frames)))
 
     def portable(self, views: dict[str, str]) -> str:
-        """The text for an engine with day arithmetic of its own, each input as a common table expression."""
+        """The text for an engine with day arithmetic of its own, its views as common table expressions."""
         text = re.sub(r"DAYS\(([^,()]+), ([^()]+)\)", r"cast(date_diff('day', cast(\2 as date), cast(\1 as date)) as integer)", self.text)
-        with_ = ", ".join(f"{n} as ({views[n]})" for n in self.inputs if n in views)
+        text = re.sub(r"JSON\((\w+), (\w+)\)", r"json_extract_string(\1, '$.\2')", text)
+        with_ = ", ".join(f"{n} as ({text})" for n, text in views.items())
         if not with_:
             return text
         rest = text.lstrip()

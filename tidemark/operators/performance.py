@@ -8,9 +8,9 @@ T = "order by ts, id, line, part, price, shares"
 DAILY = "e as (select symbol, ts, sum(pnl) as pnl from trades group by symbol, ts), q as (select symbol, ts, round(100000 + sum(pnl) over (partition by symbol order by ts), 3) as equity from e)"
 
 OPERATORS = [
-    operator("ttm", "statements", "F1 sums of the last four quarters, null if one is missing", f"""
-select symbol, fiscal_year, fiscal_quarter, round(case when count(*) {Q} rows between 3 preceding and current row) = 4 then sum(revenue) {Q} rows between 3 preceding and current row) end, 2) as revenue_ttm,
-    round(case when count(*) {Q} rows between 3 preceding and current row) = 4 then sum(net_income) {Q} rows between 3 preceding and current row) end, 2) as net_income_ttm from statements"""),
+    operator("ttm", "statements", "F1 sums of what is there of the last four quarters, null if nothing is", f"""
+select symbol, fiscal_year, fiscal_quarter, round(sum(revenue) {Q} rows between 3 preceding and current row), 2) as revenue_ttm,
+    round(sum(net_income) {Q} rows between 3 preceding and current row), 2) as net_income_ttm from statements"""),
     operator("ratios", "statements", "F2, F5, F8 margins, leverage, DuPont parts and earnings quality", """
 select symbol, fiscal_year, fiscal_quarter, round(case when revenue > 0 then net_income / revenue end, 6) as net_margin, round(case when revenue > 0 then gross_profit / revenue end, 6) as gross_margin,
     round(case when total_assets - total_liabilities > 0 then total_liabilities / (total_assets - total_liabilities) end, 6) as debt_to_equity,
@@ -34,7 +34,7 @@ select symbol, fiscal_year, fiscal_quarter, cast((case when net_income > 0 then
 with x as (select symbol, fiscal_year, fiscal_quarter, revenue, lag(revenue) {Q}) as before from statements),
 y as (select *, sum(case when revenue > before then 0 else 1 end) over (partition by symbol order by fiscal_year desc, fiscal_quarter desc) as breaks from x)
 select symbol, cast(sum(case when breaks = 0 then 1 else 0 end) as bigint) as run from y group by symbol"""),
-    operator("trade_stats", "trades", "B5, B12, K7 wins, losses, profit factor, payoff and expectancy", """
+    operator("trade_stats", "trades", "B12, K7 wins, losses, profit factor, payoff and expectancy", """
 select symbol, cast(count(*) as bigint) as trades, round(avg(case when pnl > 0 then 1.0 else 0.0 end), 6) as win_rate, round(avg(pnl), 4) as expectancy,
     round(sum(case when pnl > 0 then pnl else 0.0 end) / -sum(case when pnl < 0 then pnl else 0.0 end), 5) as profit_factor,
     round(avg(case when pnl > 0 then pnl end) / -avg(case when pnl < 0 then pnl end), 5) as payoff from trades group by symbol having sum(case when pnl < 0 then 1 else 0 end) > 0"""),
@@ -66,9 +66,10 @@ with {DAILY}, h as (select symbol, ts, equity, max(equity) over (partition by sy
 i as (select *, sum(case when equity >= top then 1 else 0 end) over (partition by symbol order by ts) as island from h),
 g as (select symbol, island, min(ts) as peak, max(ts) as last_ts, max(1 - equity / top) as depth, count(*) as bars from i group by symbol, island)
 select symbol, peak, last_ts, round(depth, 6) as depth, cast(bars as bigint) as bars from g where depth > 0.000001"""),
-    operator("equity_risk", "trades", "K5 ulcer index, mean squared drawdown and gain to pain of each equity curve", f"""
-with {DAILY}, h as (select symbol, ts, equity, 100 * (1 - equity / max(equity) over (partition by symbol order by ts)) as dd, equity / lag(equity) over (partition by symbol order by ts) - 1 as r from q)
-select symbol, round(sqrt(avg(dd * dd)), 4) as ulcer, round(avg(dd * dd), 3) as pain, round(sum(r) / sum(case when r < 0 then -r end), 5) as gain_to_pain from h group by symbol"""),
+    operator("equity_risk", "trades", "K5 ulcer index, mean squared drawdown and total return over it, of each equity curve", f"""
+with {DAILY}, h as (select symbol, ts, equity, 100 * (1 - equity / max(equity) over (partition by symbol order by ts)) as dd, first_value(equity) over (partition by symbol order by ts desc) as latest from q)
+select symbol, round(sqrt(avg(dd * dd)), 4) as ulcer, round(avg(dd * dd), 3) as pain,
+    round(case when avg(dd * dd) > 0.0000000001 then 100 * (max(latest) / 100000 - 1) / avg(dd * dd) end, 5) as gain_to_pain from h group by symbol"""),
     operator("monthly_returns", "trades", "R25, K4 return of each month from its last equity to the one before", f"""
 with {DAILY}, m as (select symbol, date_trunc('month', ts) as month, ts, equity, row_number() over (partition by symbol, date_trunc('month', ts) order by ts desc) as k from q),
 l as (select symbol, month, equity, lag(equity) over (partition by symbol order by month) as before from m where k = 1)
@@ -105,10 +106,17 @@ with x as (select symbol, ts, seq, close, avg(close) over (partition by symbol o
     volume / avg(volume) over (partition by symbol order by ts rows between 19 preceding and current row) as activity, 100 * (lead(close, 5) {S} / close - 1) as label from bars)
 select symbol, ts, round(close / sma20 - 1, 6) as to_sma20, round(m5, 6) as momentum5, round(activity, 6) as activity, round(label, 5) as label
 from x where seq >= 59 and (seq - 59) % 5 = 0 and label is not null and abs(label) <= 50"""),
-    operator("affinity", "interactions", "E9, E10 decayed weight of what users touch, normalised by each user's largest", """
-with l as (select max(ts) as now from interactions), x as (select user_id, symbol, case symbol when 'purchase' then 5.0 when 'click' then 2.0 else 1.0 end * power(.95, DAYS(now, ts)) as w from interactions cross join l),
+    operator("affinity", "interactions", "E9 decayed weight of what users did in the last 90 days, by each user's largest, 1 at least", """
+with l as (select max(ts) as now from interactions), x as (select user_id, symbol, case action when 'purchase' then 5.0 when 'signup' then 3.0 when 'view' then 2.0 when 'click' then 1.0 else -2.0 end * power(.95, DAYS(now, ts)) as w
+    from interactions cross join l where DAYS(now, ts) <= 90),
 s as (select user_id, symbol, sum(w) as w from x group by user_id, symbol)
-select user_id, symbol, round(w / max(abs(w)) over (partition by user_id), 6) as affinity from s"""),
+select user_id, symbol, round(w / greatest(max(abs(w)) over (partition by user_id), 1.0), 6) as affinity from s"""),
+    operator("interests", "interactions", "E10 the five symbols that each user is most interested in, and the five most dismissed", """
+with l as (select max(ts) as now from interactions), x as (select user_id, concat(symbol, '-', cast(cast(floor(value) as bigint) % 7 as string)) as symbol, case action when 'purchase' then 5.0 when 'signup' then 3.0 when 'view' then 2.0 when 'click' then 1.0 else -2.0 end * power(.95, DAYS(now, ts)) as w
+    from interactions cross join l where DAYS(now, ts) <= 90),
+s as (select user_id, symbol, round(sum(w), 9) as w from x group by user_id, symbol),
+k as (select *, row_number() over (partition by user_id, w > 0 order by abs(w) desc, symbol) as place from s where w <> 0)
+select user_id, case when w > 0 then 'interested' else 'dismissed' end as kind, cast(place as integer) as place, symbol, round(w, 5) as weight from k where place <= 5"""),
     operator("sessions", "interactions", "W3 sessions of users, closed by half an hour of silence", """
 with x as (select user_id, ts, event_id, value, case when lag(ts) over (partition by user_id order by ts, event_id) >= ts - interval '30' minute then 0 else 1 end as fresh from interactions),
 y as (select *, sum(fresh) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as session from x)

@@ -41,11 +41,11 @@ select r.symbol, round(regr_slope(r.r, m.b), 5) as beta, round(regr_intercept(r.
 with {R}, y as (select symbol, r, row_number() over (partition by symbol order by r) as k, count(*) {ALL} as n from r)
 select symbol, round(-max(case when k = floor(.05 * n) + 1 then r end), 6) as var95, round(-avg(case when k <= ceil(.05 * n) then r end), 6) as cvar95,
     round(avg(case when k > n - ceil(.05 * n) then r end) / -avg(case when k <= ceil(.05 * n) then r end), 5) as rachev from y group by symbol"""),
-    operator("omega", "bars", "R10, R15 omega ratio and Kelly fraction", f"""
-with {R}, y as (select symbol, sum(greatest(r, 0.0)) as up, sum(greatest(-r, 0.0)) as down, avg(case when r > 0 then r end) as win, avg(case when r < 0 then -r end) as loss,
+    operator("omega", "bars", "R10, R15 omega ratio over an annual threshold of 2 % and Kelly fraction", f"""
+with {R}, y as (select symbol, sum(greatest(r - .02 / 252, 0.0)) as up, sum(greatest(.02 / 252 - r, 0.0)) as down, avg(case when r > 0 then r end) as win, avg(case when r < 0 then -r end) as loss,
     avg(case when r > 0 then 1.0 else 0.0 end) as p from r group by symbol)
-select symbol, round(case when down > 0 then least(up / down, 99.99) else 99.99 end, 5) as omega,
-    round(greatest(-1.0, least(1.0, p - (1 - p) / (win / loss))), 5) as kelly from y where win > 0 and loss > 0"""),
+select symbol, round(case when down > 0 then up / down when up > 0 then 99.99 else 1.0 end, 5) as omega,
+    round(case when win > 0 and loss > 0 then greatest(-1.0, least(1.0, p - (1 - p) / (win / loss))) else 0.0 end, 5) as kelly from y"""),
     operator("moments", "bars", "R11 population skewness and excess kurtosis", f"""
 with {R}, y as (select symbol, r - avg(r) {ALL} as d from r), z as (select symbol, avg(d * d) as m2, avg(d * d * d) as m3, avg(d * d * d * d) as m4 from y group by symbol)
 select symbol, round(m3 / power(m2, 1.5), 4) as skewness, round(m4 / (m2 * m2) - 3, 4) as kurtosis from z where m2 > 0"""),
@@ -59,12 +59,13 @@ select symbol, round((close / c251 - 1) - (close / c20 - 1), 6) as momentum from
 with x as (select symbol, ts, seq, close - avg(close) over (partition by symbol order by ts rows between 19 preceding and current row) as d from bars),
 y as (select symbol, d, lag(d) {S} as d1 from x where seq >= 19), z as (select symbol, sum(d * d1) / sum(case when d is not null then d1 * d1 end) as rho from y where d1 is not null group by symbol)
 select symbol, round(rho, 6) as rho, case when rho > 0 and rho < 1 then round(-ln(2.0) / ln(rho), 4) end as half_life from z"""),
-    operator("jumps", "bars", "R18 days beyond three deviations and their intensity", f"""
-with {R}, y as (select symbol, r, avg(r) {ALL} as m, stddev_pop(r) {ALL} as sd from r)
-select symbol, cast(sum(case when abs(r - m) > 3 * sd then 1 else 0 end) as bigint) as jumps, round(avg(case when abs(r - m) > 3 * sd then 1.0 else 0.0 end), 6) as intensity from y group by symbol"""),
-    operator("momentum_win_rate", "bars", "R19 share of days on which the return keeps its sign", f"""
-with {R}, y as (select symbol, r, lead(r) {S} as nxt from r)
-select symbol, round(avg(case when r * nxt > 0 then 1.0 else 0.0 end), 6) as win_rate from y where nxt is not null group by symbol"""),
+    operator("jumps", "bars", "R18 days beyond three population deviations, and their absolute returns over all days; 0 under 20 returns", f"""
+with {R}, y as (select symbol, r, avg(r) {ALL} as m, stddev_pop(r) {ALL} as sd, count(*) {ALL} as n from r)
+select symbol, cast(sum(case when n >= 20 and abs(r - m) > 3 * sd then 1 else 0 end) as bigint) as jumps,
+    round(sum(case when n >= 20 and abs(r - m) > 3 * sd then abs(r) else 0.0 end) / max(n), 6) as intensity from y group by symbol"""),
+    operator("momentum_win_rate", "bars", "R19 share of days on which the return keeps its sign, and on which the price comes back to its 10-bar mean", f"""
+with {R}, y as (select symbol, r, lead(r) {S} as nxt, close - avg(close) over (partition by symbol order by ts rows between 9 preceding and current row) as off, row_number() {S} as k from r)
+select symbol, round(avg(case when r * nxt > 0 then 1.0 else 0.0 end), 6) as win_rate, round(avg(case when k >= 10 then case when off * nxt < 0 then 1.0 else 0.0 end end), 6) as reversion_rate from y where nxt is not null group by symbol"""),
     operator("seasonality", "bars", "R20 mean daily return of each calendar month with its z-score", f"""
 with {R}
 select symbol, cast(month(ts) as integer) as month, round(avg(r), 7) as mean_return, round(avg(r) / (stddev_samp(r) / sqrt(count(*))), 4) as z, cast(count(*) as bigint) as days
@@ -78,11 +79,23 @@ c as (select symbol, size, block, sd, sum(d) over (partition by symbol, size, bl
 q as (select symbol, size, block, (max(c) - min(c)) / max(sd) as rs from c where sd > 0 group by symbol, size, block),
 e as (select symbol, size, avg(rs) as rs from q group by symbol, size)
 select symbol, round(greatest(0.0, least(1.0, regr_slope(ln(rs), ln(cast(size as double))))), 5) as hurst from e where rs > 0 group by symbol having count(*) >= 2"""),
-    operator("regime", "bars", "G1, G4 volatility regime of the last 60 bars and a size multiplier", f"""
-with {R}, y as (select symbol, ts, stddev_samp(r) {W60} * sqrt(252.0) as v, row_number() over (partition by symbol order by ts desc) as k, count(*) {ALL} as n from r),
-m as (select avg(v) as mv from y where k = 1 and n >= 60)
-select symbol, round(v, 5) as volatility, case when v > 1.2 * mv then 'high' when v < .8 * mv then 'low' else 'normal' end as regime,
-    case when v > 1.2 * mv then 0.5 when v < .8 * mv then 1.2 else 1.0 end as size_multiplier from y cross join m where k = 1 and n >= 60"""),
+    operator("regime", "bars", "G1 regime with the highest of five scores from ATR, trend, deviation and range efficiency of a symbol's bars", f"""
+with x as (select symbol, ts, seq, close, close / lag(close) {S} - 1 as r, abs(close - lag(close) {S}) as step, count(*) {ALL} as n,
+    case when seq > 0 then greatest(high - low, abs(high - lag(close) {S}), abs(low - lag(close) {S})) end as tr, first_value(close) {S} as first_close from bars),
+m as (select symbol, max(n) as n, 100 * avg(case when seq >= n - 14 then tr end) / max(case when seq = n - 1 then close end) as atr,
+    regr_slope(case when seq >= n - 20 then close end, case when seq >= n - 20 then cast(seq as double) end) / avg(case when seq >= n - 20 then close end) as trend,
+    stddev_pop(r) as sd, abs(max(case when seq = n - 1 then close end) - max(first_close)) / sum(step) as efficiency from x group by symbol),
+s as (select *, case when trend > .01 and efficiency > .5 then 50 else 0 end as up, case when trend < -.01 and efficiency > .5 then 50 else 0 end as down,
+    case when efficiency < .3 and sd < .025 then 40 else 0 end as ranging, case when sd > .03 then 40 else 0 end + case when atr > 3 then 20 else 0 end as wild,
+    case when sd < .01 then 30 else 0 end + case when atr < 1 then 20 else 0 end as calm from m where n >= 50),
+t as (select *, greatest(up, down, ranging, wild, calm) as top from s)
+select symbol, case top when up then 'trending up' when down then 'trending down' when ranging then 'ranging' when wild then 'volatile' else 'calm' end as regime,
+    round(top / 100.0, 2) as confidence, round(atr, 4) as atr, round(trend, 6) as trend, round(sd, 6) as deviation, round(efficiency, 6) as efficiency from t"""),
+    operator("volatility_regime", "bars", "G4 regime of the last 20 returns by annual volatility over 30 % and under 12 %, and a size multiplier", f"""
+with {R}, y as (select symbol, r, row_number() over (partition by symbol order by ts desc) as k from r),
+v as (select symbol, stddev_samp(r) * sqrt(252.0) as v from y where k <= 20 group by symbol having count(*) >= 5)
+select symbol, round(v, 6) as volatility, case when v > .30 then 'high' when v < .12 then 'low' else 'normal' end as regime,
+    case when v > .30 then .5 when v < .12 then 1.2 else 1.0 end as size_multiplier from v"""),
     operator("ranking", "bars", "G10 ranks by 20-bar momentum and relative strength", f"""
 with x as (select symbol, close / lag(close, 20) {S} - 1 as m, row_number() over (partition by symbol order by ts desc) as k from bars),
 y as (select symbol, m, row_number() over (order by m desc, symbol) as place, count(*) over () as n from x where k = 1 and m is not null)

@@ -7,6 +7,31 @@ W3, W5, W9, W14, W20, W26, W52 = (_W.format(n - 1) for n in (3, 5, 9, 14, 20, 26
 S = "over (partition by symbol order by ts)"
 ALL = "over (partition by symbol)"
 
+# the shapes of P1 to P3: pattern, side, strength, condition on the bar (o h l c) and the two before it
+SMALL = "span > 0 and body < .3 * span"
+SHAPES = [
+    ("doji", "neutral", "1 - body / span", "span > 0 and body < .1 * span"),
+    ("hammer", "bullish", "case when body > 0 then least(below / body, 5.0) / 5 else 1.0 end", f"{SMALL} and below > 2 * body and above < .5 * body"),
+    ("inverted hammer", "bullish", "case when body > 0 then least(above / body, 5.0) / 5 else 1.0 end", f"{SMALL} and above > 2 * body and below < .5 * body"),
+    ("shooting star", "bearish", "case when body > 0 then least(above / body, 5.0) / 5 else 1.0 end", f"{SMALL} and above > 2 * body and below < .5 * body"),
+    ("bullish engulfing", "bullish", "least((c - o) / (o1 - c1), 2.0) / 2", "c1 < o1 and c > o and o <= c1 and c >= o1"),
+    ("bearish engulfing", "bearish", "least((o - c) / (c1 - o1), 2.0) / 2", "c1 > o1 and c < o and o >= c1 and c <= o1"),
+    ("piercing", "bullish", "least((c - c1) / (o1 - c1), 1.0)", "c1 < o1 and c > o and o < l1 and c > (o1 + c1) / 2 and c < o1"),
+    ("dark cloud", "bearish", "least((c1 - c) / (c1 - o1), 1.0)", "c1 > o1 and c < o and o > h1 and c < (o1 + c1) / 2 and c > o1"),
+    ("morning star", "bullish", ".8", "c2 < o2 and c > o and h2 > l2 and abs(c1 - o1) < .3 * (o2 - c2) and c > (o2 + c2) / 2"),
+    ("evening star", "bearish", ".8", "c2 > o2 and c < o and h2 > l2 and abs(c1 - o1) < .3 * (c2 - o2) and c < (o2 + c2) / 2"),
+    ("three white soldiers", "bullish", ".8", "c2 > o2 and c1 > o1 and c > o and c1 > c2 and c > c1 and o1 > o2 and o1 < c2 and o > o1 and o < c1"),
+    ("three black crows", "bearish", ".8", "c2 < o2 and c1 < o1 and c < o and c1 < c2 and c < c1 and o1 < o2 and o1 > c2 and o < o1 and o > c1"),
+]
+# one pass over the bars: each has a column of strength for every shape, and the columns become rows
+CANDLES = operator("candles", "bars", "P1 to P4 candlestick patterns as rows, with their strength", f"""
+with x as (select symbol, ts, seq, open as o, high as h, low as l, close as c, abs(close - open) as body, high - low as span, least(open, close) - low as below, high - greatest(open, close) as above,
+    lag(open) {S} as o1, lag(close) {S} as c1, lag(high) {S} as h1, lag(low) {S} as l1, lag(open, 2) {S} as o2, lag(close, 2) {S} as c2, lag(high, 2) {S} as h2, lag(low, 2) {S} as l2 from bars),
+y as (select symbol, ts, seq, {", ".join(f"case when {hit} then {strength} end as p{i}" for i, (_, _, strength, hit) in enumerate(SHAPES))} from x),
+shapes as ({" union all ".join(f"select {i} as i, '{name}' as pattern, '{side}' as side" for i, (name, side, _, _) in enumerate(SHAPES))}),
+z as (select symbol, ts, seq, pattern, side, case i {" ".join(f"when {i} then p{i}" for i in range(len(SHAPES)))} end as strength from y cross join shapes)
+select symbol, ts, seq, pattern, side, round(strength, 5) as strength from z where strength is not null""")
+
 OPERATORS = [
     operator("sma", "bars", "T1 simple moving average of 20 closes", f"""
 select symbol, ts, round(case when seq >= 19 then avg(close) {W20} end, 6) as sma20 from bars"""),
@@ -75,18 +100,7 @@ b as (select symbol, least(cast(floor((mid - lo) / (hi - lo) * 20) as integer),
 select symbol, bucket, sum(volume) as volume, cast(count(*) as bigint) as bars from b group by symbol, bucket"""),
     operator("accumulation", "bars", "T28 sum of close-location value times volume over 20 bars", f"""
 select symbol, ts, round(sum(case when high > low then ((close - low) - (high - close)) / (high - low) * volume else 0.0 end) {W20}, 4) as clv from bars"""),
-    operator("candles", "bars", "P1 to P4 candlestick patterns as rows", f"""
-with x as (select symbol, ts, open as o, high as h, low as l, close as c, abs(close - open) as body, high - low as span,
-    lag(open) {S} as o1, lag(close) {S} as c1, lag(open, 2) {S} as o2, lag(close, 2) {S} as c2 from bars)
-select symbol, ts, 'doji' as pattern, 'neutral' as side from x where span > 0 and body <= .1 * span
-union all select symbol, ts, 'hammer', 'bullish' from x where span > 0 and body > 0 and least(o, c) - l >= 2 * body and h - greatest(o, c) <= .3 * body
-union all select symbol, ts, 'shooting star', 'bearish' from x where span > 0 and body > 0 and h - greatest(o, c) >= 2 * body and least(o, c) - l <= .3 * body
-union all select symbol, ts, 'bullish engulfing', 'bullish' from x where c1 < o1 and c > o and o <= c1 and c >= o1
-union all select symbol, ts, 'bearish engulfing', 'bearish' from x where c1 > o1 and c < o and o >= c1 and c <= o1
-union all select symbol, ts, 'piercing', 'bullish' from x where c1 < o1 and c > o and o < c1 and c > (o1 + c1) / 2 and c < o1
-union all select symbol, ts, 'dark cloud', 'bearish' from x where c1 > o1 and c < o and o > c1 and c < (o1 + c1) / 2 and c > o1
-union all select symbol, ts, 'three white soldiers', 'bullish' from x where c2 > o2 and c1 > o1 and c > o and c1 > c2 and c > c1
-union all select symbol, ts, 'three black crows', 'bearish' from x where c2 < o2 and c1 < o1 and c < o and c1 < c2 and c < c1"""),
+    CANDLES,
     operator("weekly_bars", "bars", "S12, S13 weekly bars by ISO week, stamped with the first and the last bar", """
 with x as (select *, date_trunc('week', ts) as week from bars),
 y as (select *, row_number() over (partition by symbol, week order by ts) as k, count(*) over (partition by symbol, week) as n from x)

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import re
-
 from ..functions.operator import Operator
-from ..operators import desk, performance, risk, technical
+from ..operators import desk, loads, market, options, performance, portfolio, risk, signals, technical, text
 from ..registry import query
-from ..sources.views import VIEWS, view
+from ..sources.views import portable_views, view
 
+MODULES = (technical, signals, risk, performance, desk, portfolio, market, text, options, loads)
 _DONE: list[str] = []
 
 
 def _put(op: Operator) -> None:
-    # in the other engine views of views stand inline
-    @query(op.name, op.portable({n: re.sub(r"\s+", " ", VIEWS[n]).strip() for n in op.inputs if n in VIEWS}))
+    @query(op.name, op.portable(portable_views(op.inputs)))
     def run(spark, sf_dir):
         return op(*(view(spark, sf_dir, n) for n in op.inputs))
 
@@ -22,7 +20,7 @@ def _put(op: Operator) -> None:
 def load() -> None:
     """Register every operator once."""
     if not _DONE:
-        for module in (technical, risk, performance, desk):
+        for module in MODULES:
             for op in module.OPERATORS:
                 _put(op)
         from . import extra

@@ -1,27 +1,101 @@
-"""Queries whose operators are no single statement: folds and windowed bars of events."""
+"""Queries whose operators are no single statement: recursive series, lots, fitted models, resampling, windowed events."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import folds
+from ..operators import fitted, lots, recursive
 from ..registry import query
-from ..sources.views import view
-from ..streaming.bars import tumbling_bars
+from ..sources.views import VIEWS, view
+from ..streaming.bars import sliding_volume, tumbling_bars
+
+SERIES = "select symbol, ts, seq, close, close / lag(close) over (partition by symbol order by ts) - 1 as value from bars"
+
+
+def returns(spark, sf_dir):
+    """(symbol, ts, value): the daily returns of each symbol."""
+    return spark.sql("select symbol, ts, value from (select symbol, ts, close / lag(close) over (partition by symbol order by ts) - 1 as value from {bars}) x where value is not null", bars=view(spark, sf_dir, "bars"))
+
+
+#: The series of returns with their place and first 20, for recursive statements of another engine.
+RETURNS = f"""bars as ({VIEWS["bars"]}), v as materialized (select symbol, ts, value, row_number() over (partition by symbol order by ts) - 1 as i, count(*) over (partition by symbol) as n from ({SERIES}) x where value is not null)"""
 
 
 def register() -> None:
-    def of_bars(name, f, columns):
-        @query(name)
-        def run(spark, sf_dir):
-            out = f(view(spark, sf_dir, "bars"))
-            return out.withColumns({c: F.round(c, 6) for c in columns})
-
-    of_bars("ema", folds.ema, ["ema"])
-    of_bars("rsi", folds.wilder_rsi, ["rsi"])
-    of_bars("macd", folds.macd, ["line", "signal", "histogram"])
-    of_bars("garch", folds.garch, [])
-    of_bars("cusum", folds.cusum, [])
+    @query(
+        "garch",
+        f"""with recursive {RETURNS}, s as (select symbol, avg(value * value) as v0 from v group by symbol),
+        r as (select v.symbol, i, value, n, 0.00001 + 0.1 * value * value + 0.85 * v0 as sigma from v join s on v.symbol = s.symbol where i = 0
+            union all select v.symbol, v.i, v.value, v.n, 0.00001 + 0.1 * v.value * v.value + 0.85 * r.sigma from r join v on v.symbol = r.symbol and v.i = r.i + 1)
+        select symbol, round(100 * sqrt(252 * (0.00001 + 0.1 * value * value + 0.85 * sigma)), 5) as forecast from r where i = n - 1""",
+    )
+    def garch(spark, sf_dir):
+        return recursive.garch(view(spark, sf_dir, "bars")).withColumn("forecast", F.round("forecast", 5))
+
+    @query(
+        "cusum",
+        f"""with recursive {RETURNS}, s as (select symbol, avg(value) as m, greatest(stddev_samp(value), 0.001) as sd from v where i < 20 group by symbol),
+        z as materialized (select v.symbol, v.ts, v.i, (value - m) / sd as z from v join s on v.symbol = s.symbol where n >= 20),
+        r as (select symbol, i, cast(0 as double) as up, cast(0 as double) as down, cast(0 as double) as change from z where i = 0
+            union all select symbol, i, case when u > 4 then 0 else u end, case when d > 4 then 0 else d end, case when u > 4 then 1 when d > 4 then -1 else 0 end from (
+                select z.symbol, z.i, greatest(r.up + z.z - 0.5, 0) as u, greatest(r.down - z.z - 0.5, 0) as d from r join z on z.symbol = r.symbol and z.i = r.i + 1) x)
+        select r.symbol, z.ts, round(up, 5) as upper, round(down, 5) as lower, change from r join z on r.symbol = z.symbol and r.i = z.i""",
+    )
+    def cusum(spark, sf_dir):
+        out = recursive.cusum(returns(spark, sf_dir))
+        return out.withColumns({c: F.round(c, 5) for c in ("upper", "lower")})
+
+    @query(
+        "ewma_chart",
+        f"""with recursive {RETURNS}, s as (select symbol, avg(value) as m, stddev_samp(value) as sd from v group by symbol),
+        r as (select v.symbol, v.ts, i, 0.2 * value + 0.8 * m as e from v join s on v.symbol = s.symbol where i = 0
+            union all select v.symbol, v.ts, v.i, 0.2 * v.value + 0.8 * r.e from r join v on v.symbol = r.symbol and v.i = r.i + 1)
+        select r.symbol, r.ts, round(e, 7) as ewma, round(m - 3 * sd * sqrt(0.2 / 1.8 * (1 - power(0.8, 2 * (i + 1)))), 7) as low, round(m + 3 * sd * sqrt(0.2 / 1.8 * (1 - power(0.8, 2 * (i + 1)))), 7) as high from r join s on r.symbol = s.symbol""",
+    )
+    def ewma_chart(spark, sf_dir):
+        out = recursive.ewma_chart(returns(spark, sf_dir))
+        return out.withColumns({c: F.round(c, 7) for c in ("ewma", "low", "high")})
+
+    @query(
+        "average_cost",
+        f"""with recursive trades as ({VIEWS["trades"]}), t as materialized (select symbol, side, price, shares, row_number() over (partition by symbol order by ts, id, line, part, price, shares) as k, count(*) over (partition by symbol) as n from trades),
+        r as (select symbol, k, n, case when side = 'buy' then shares else 0 end as held, case when side = 'buy' then shares * price else 0 end as cost, cast(0 as double) as realised from t where k = 1
+            union all select t.symbol, t.k, t.n, case when side = 'buy' then held + shares else greatest(held - shares, 0) end,
+                case when side = 'buy' then cost + shares * price when held > 0 then cost * (1 - least(shares, held) / held) else cost end,
+                realised + case when side = 'sell' and held > 0 then least(shares, held) * (price - cost / held) else 0 end from r join t on t.symbol = r.symbol and t.k = r.k + 1)
+        select symbol, round(held, 4) as held, round(cost, 2) as cost, round(realised, 2) as realised from r where k = n""",
+    )
+    def average_cost(spark, sf_dir):
+        out = lots.average_cost(view(spark, sf_dir, "trades"))
+        return out.select("symbol", F.round("held", 4).alias("held"), F.round("cost", 2).alias("cost"), F.round("realised", 2).alias("realised"))
+
+    @query("lifo_lots")
+    def lifo_lots(spark, sf_dir):
+        return lots.lifo_lots(view(spark, sf_dir, "trades"))
+
+    @query("bootstrap")
+    def bootstrap(spark, sf_dir):
+        return fitted.bootstrap(view(spark, sf_dir, "deals").select(F.col("strategy").alias("key"), F.col("pnl").alias("value"), "id", "line", "part", "symbol"))
+
+    @query("platt")
+    def platt(spark, sf_dir):
+        return fitted.platt(view(spark, sf_dir, "predictions"))
+
+    @query("isotonic")
+    def isotonic(spark, sf_dir):
+        return fitted.isotonic(view(spark, sf_dir, "predictions"))
+
+    @query("thompson")
+    def thompson(spark, sf_dir):
+        return fitted.thompson(view(spark, sf_dir, "trades"))
+
+    @query("direction_model")
+    def direction_model(spark, sf_dir):
+        return fitted.direction_model(view(spark, sf_dir, "bars"))
+
+    @query("text_model")
+    def text_model(spark, sf_dir):
+        return fitted.text_model(view(spark, sf_dir, "documents"), view(spark, sf_dir, "labels"))
 
     @query(
         "event_bars",
@@ -33,6 +107,19 @@ def register() -> None:
         group by symbol, ts""",
     )
     def event_bars(spark, sf_dir):
-        ticks = view(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.lit(1.0).alias("size"))
-        bars = tumbling_bars(ticks).drop("vwap")
+        bars = tumbling_bars(ticks(spark, sf_dir)).drop("vwap")
         return bars.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), *[F.round(c, 6).alias(c) for c in ("open", "high", "low", "close")], F.round("volume", 4).alias("volume"))
+
+    @query(
+        "sliding_volume",
+        """select event_type as symbol, cast(time_bucket(interval '1 hour', ts) - o * interval '1 hour' as timestamp) as ts, cast(count(*) as double) as volume, round(stddev_samp(value), 6) as deviation, count(*) as ticks
+        from events cross join range(24) as t(o) group by 1, 2""",
+    )
+    def sliding(spark, sf_dir):
+        out = sliding_volume(ticks(spark, sf_dir))
+        return out.withColumns({"ts": F.col("ts").cast("timestamp_ntz"), "deviation": F.round("deviation", 6)})
+
+
+def ticks(spark, sf_dir):
+    """(symbol, ts, price, size): the events as a trade feed."""
+    return view(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.lit(1.0).alias("size"))

@@ -9,8 +9,10 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.operator import doubles
+from ..operators import recursive
 
 VIEWS = {
     "bars": """
@@ -24,11 +26,63 @@ VIEWS = {
                 count(*) over (partition by l_suppkey, l_shipdate) as n
             from lineitem) x
         group by symbol, ts""",
+    "indicators": """
+        with recursive b as materialized (
+            select symbol, ts, seq, open, high, low, close, volume, close - lag(close) over s as d,
+                case when seq > 0 then greatest(high - low, abs(high - lag(close) over s), abs(low - lag(close) over s)) end as tr,
+                high - lag(high) over s as u, lag(low) over s - low as v,
+                avg(close) over (s rows 11 preceding) as s12, avg(close) over (s rows 25 preceding) as s26, avg(close) over (s rows 19 preceding) as s20
+            from bars window s as (partition by symbol order by seq)),
+        c as materialized (
+            select *, case when u > v and u > 0 then u else 0.0 end as up, case when v > u and v > 0 then v else 0.0 end as dn,
+                avg(case when d > 0 then d else 0.0 end) over (s rows 13 preceding) as g, avg(case when d < 0 then -d else 0.0 end) over (s rows 13 preceding) as l,
+                avg(tr) over (s rows 13 preceding) as t14, avg(tr) over (s rows 9 preceding) as t10, sum(tr) over (s rows 13 preceding) as st,
+                sum(case when u > v and u > 0 then u else 0.0 end) over (s rows 13 preceding) as su, sum(case when v > u and v > 0 then v else 0.0 end) over (s rows 13 preceding) as sd
+            from b window s as (partition by symbol order by seq)),
+        r as (
+            select symbol, seq, cast(null as double) as ema12, cast(null as double) as ema26, cast(null as double) as ema20, cast(0 as double) as lines, cast(null as double) as signal,
+                cast(null as double) as gain, cast(null as double) as loss, cast(null as double) as atr14, cast(null as double) as atr10,
+                cast(null as double) as st, cast(null as double) as su, cast(null as double) as sd, cast(0 as double) as dxs, cast(null as double) as adx
+            from c where seq = 0
+            union all
+            select x.symbol, x.seq, x.e12, x.e26, x.e20, x.lines + case when x.seq between 25 and 33 then x.e12 - x.e26 else 0 end,
+                case when x.seq = 33 then (x.lines + x.e12 - x.e26) / 9 when x.seq > 33 then x.signal + 0.2 * (x.e12 - x.e26 - x.signal) end,
+                x.gain, x.loss, x.atr14, x.atr10, x.st, x.su, x.sd, x.dxs + case when x.seq between 15 and 28 then x.dx else 0 end,
+                case when x.seq = 28 then (x.dxs + x.dx) / 14 when x.seq > 28 then (x.adx * 13 + x.dx) / 14 end
+            from (select y.*, case when y.su + y.sd > 0 and y.st > 0 then 100 * abs(y.su - y.sd) / (y.su + y.sd) else 0 end as dx from (
+                select c.symbol, c.seq, r.lines, r.signal, r.dxs, r.adx,
+                    case when c.seq = 11 then c.s12 when c.seq > 11 then r.ema12 + 2.0 / 13 * (c.close - r.ema12) end as e12,
+                    case when c.seq = 25 then c.s26 when c.seq > 25 then r.ema26 + 2.0 / 27 * (c.close - r.ema26) end as e26,
+                    case when c.seq = 19 then c.s20 when c.seq > 19 then r.ema20 + 2.0 / 21 * (c.close - r.ema20) end as e20,
+                    case when c.seq = 14 then c.g when c.seq > 14 then (r.gain * 13 + greatest(c.d, 0)) / 14 end as gain,
+                    case when c.seq = 14 then c.l when c.seq > 14 then (r.loss * 13 + greatest(-c.d, 0)) / 14 end as loss,
+                    case when c.seq = 14 then c.t14 when c.seq > 14 then (r.atr14 * 13 + c.tr) / 14 end as atr14,
+                    case when c.seq = 10 then c.t10 when c.seq > 10 then (r.atr10 * 9 + c.tr) / 10 end as atr10,
+                    case when c.seq = 14 then c.st when c.seq > 14 then r.st - r.st / 14 + c.tr end as st,
+                    case when c.seq = 14 then c.su when c.seq > 14 then r.su - r.su / 14 + c.up end as su,
+                    case when c.seq = 14 then c.sd when c.seq > 14 then r.sd - r.sd / 14 + c.dn end as sd
+                from r join c on c.symbol = r.symbol and c.seq = r.seq + 1) y) x)
+        select b.symbol, b.ts, b.seq, b.open, b.high, b.low, b.close, b.volume, r.ema12, r.ema26, r.ema20, r.signal,
+            case when b.seq > 14 then case when r.loss = 0 then 100 - 100.0 / 101 else 100 - 100 / (1 + r.gain / r.loss) end end as rsi, r.atr14, r.atr10,
+            case when b.seq > 14 then case when r.st > 0 then 100 * r.su / r.st else 0 end end as plus_di, case when b.seq > 14 then case when r.st > 0 then 100 * r.sd / r.st else 0 end end as minus_di, r.adx
+        from r join b on b.symbol = r.symbol and b.seq = r.seq""",
     "trades": """
         select l_suppkey as symbol, l_shipdate as ts, case when l_returnflag = 'R' then 'sell' else 'buy' end as side,
             l_quantity as shares, l_extendedprice / l_quantity as price, l_extendedprice * (l_discount - 0.05) as pnl,
             l_orderkey as id, l_linenumber as line, l_partkey as part
         from lineitem""",
+    "deals": """
+        select o.o_orderpriority as strategy, l.l_suppkey as symbol, o.o_orderdate as entry_date, l.l_shipdate as exit_date, l.l_extendedprice / l.l_quantity as entry_price, l.l_quantity as shares,
+            l.l_extendedprice * (l.l_discount - 0.05) as pnl, l.l_tax * 10 as confidence, l.l_orderkey as id, l.l_linenumber as line, l.l_partkey as part
+        from lineitem l join orders o on l.l_orderkey = o.o_orderkey""",
+    "chain": """
+        select p_brand as symbol, p_partkey as id, case when p_partkey % 2 = 0 then 'call' else 'put' end as kind, p_size * 20.0 as strike, p_partkey % 997 as oi,
+            (p_partkey * 7) % 2503 as volume, (p_retailprice % 100) / 100 as iv
+        from part""",
+    "insiders": "select c_nationkey as symbol, c_custkey as id, c_acctbal as amount, c_mktsegment as role from customer",
+    "words": """
+        select doc_id, cast(unnest(range(len(w))) as integer) as pos, unnest(w) as word
+        from (select doc_id, list_filter(regexp_split_to_array(lower(text), '[\\s,;.!?]+'), lambda x: x <> '') as w from documents) x""",
     "statements": """
         select n.n_nationkey as symbol, cast(year(o.o_orderdate) as integer) as fiscal_year, cast(quarter(o.o_orderdate) as integer) as fiscal_quarter,
             sum(o.o_totalprice) as revenue,
@@ -44,11 +98,37 @@ VIEWS = {
         from documents d join labels l on d.doc_id = l.doc_id""",
     "interactions": "select user_id, event_type as symbol, event_type as action, ts, value, event_id from events",
 }
-TABLES = {"bars": ["lineitem"], "trades": ["lineitem"], "statements": ["orders", "customer", "nation"], "predictions": ["documents", "labels"], "interactions": ["events"]}
+TABLES = {"bars": ["lineitem"], "trades": ["lineitem"], "statements": ["orders", "customer", "nation"], "predictions": ["documents", "labels"], "interactions": ["events"], "deals": ["lineitem", "orders"], "chain": ["part"], "insiders": ["customer"]}
+
+
+def words(documents: DataFrame) -> DataFrame:
+    """(doc_id, pos, word): the words of each text in lower case, split at white space and , ; . ! ?"""
+    every = F.filter(F.split(F.lower("text"), r"[\s,;.!?]+"), lambda w: w != "")
+    return documents.select("doc_id", F.posexplode(every).alias("pos", "word"))
+
+
+#: How Spark makes an input that its SQL does not express, or expresses with fewer shuffles: from which inputs, and how.
+MADE = {"indicators": ("bars", recursive.indicators), "words": ("documents", words)}
+#: Inputs that another input's text is over.
+UNDER = {"indicators": ["bars"]}
+
+
+def portable_views(names) -> dict[str, str]:
+    """The text of each named input and of those under it, in the order in which they build on one another."""
+    out = {}
+    for n in names:
+        for under in UNDER.get(n, []):
+            out |= portable_views([under])
+        if n in VIEWS:
+            out[n] = re.sub(r"\s+", " ", VIEWS[n]).strip()
+    return out
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view, or a plain table of that name, over the Parquet files in sf_dir."""
+    if name in MADE:
+        of, f = MADE[name]
+        return f(view(spark, sf_dir, of))
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = doubles(VIEWS[name])
