@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def tumbling_bars(ticks: DataFrame, grain: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -38,6 +40,49 @@ def once(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
+def feed(lines: DataFrame, column: str = "value") -> DataFrame:
+    """S11 trades (T) and quotes (Q) of a live feed from lines of JSON; malformed lines and other kinds are left out."""
+    schema = "ev string, sym string, t long, p double, s double, bp double, ap double"
+    x = lines.select(F.from_json(F.col(column), schema, {"mode": "PERMISSIVE"}).alias("x")).select("x.*")
+    price = F.when(F.col("ev") == "T", F.col("p")).otherwise((F.col("bp") + F.col("ap")) / 2)
+    rows = x.where(F.col("ev").isin("T", "Q") & F.col("sym").isNotNull() & F.col("t").isNotNull())
+    return rows.select(F.col("ev").alias("kind"), F.col("sym").alias("symbol"), F.timestamp_millis("t").alias("ts"), price.alias("price"), F.coalesce("s", F.lit(0.0)).alias("size")).where("price > 0")
+
+
+def latest_quotes(quotes: DataFrame) -> DataFrame:
+    """W4 the last price of each symbol; update or complete mode."""
+    return quotes.groupBy("symbol").agg(F.max("ts").alias("ts"), F.max_by("price", F.struct("ts", "price")).alias("price"))
+
+
+def strategy_statistics(outcomes: DataFrame) -> DataFrame:
+    """W6 running wins, losses, profit and profit factor of each strategy; update or complete mode."""
+    won, lost = F.sum(F.greatest("pnl", F.lit(0.0))), F.sum(F.greatest(-F.col("pnl"), F.lit(0.0)))
+    return outcomes.groupBy("strategy").agg(F.count_if(F.col("pnl") > 0).alias("wins"), F.count_if(F.col("pnl") < 0).alias("losses"), F.sum("pnl").alias("pnl"), F.try_divide(won, lost).alias("profit_factor"))
+
+
+def news_before_moves(quotes: DataFrame, news: DataFrame, hours: int = 6, late: str = "1 hour") -> DataFrame:
+    """W8 quotes (symbol, ts, change) beside the news (symbol, published, id) of the hours before them."""
+    q, n = quotes.withWatermark("ts", late).alias("q"), news.withWatermark("published", late).alias("n")
+    near = F.expr(f"q.symbol = n.symbol and published <= ts and published >= ts - interval {hours} hours")
+    return q.join(n, near).select("q.symbol", "ts", "change", "published", "id")
+
+
+def stops(prices: DataFrame, trail: float = 0.1) -> DataFrame:
+    """W5 each symbol's highest price so far, its trailing stop and whether the price has fallen below it: one row per
+    symbol and batch, from state that holds two numbers a symbol."""
+
+    def step(key, frames, state):
+        high, hit = state.get if state.exists else (0.0, False)
+        for frame in frames:
+            for price in frame.sort_values("ts")["price"]:
+                high = max(high, price)
+                hit = hit or price < high * (1 - trail)
+        state.update((high, hit))
+        yield pd.DataFrame({"symbol": [key[0]], "high": [high], "stop": [high * (1 - trail)], "hit": [hit]})
+
+    return prices.groupBy("symbol").applyInPandasWithState(step, "symbol string, high double, stop double, hit boolean", "high double, hit boolean", "update", GroupStateTimeout.NoTimeout)
+
+
 def alerts(stream: DataFrame, path: str, checkpoint: str, threshold: float):
     """W9 rows above the threshold, appended to a table; a batch that is run again writes its own folder anew."""
 
