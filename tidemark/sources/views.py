@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.operator import doubles
@@ -101,6 +101,18 @@ VIEWS = {
 TABLES = {"bars": ["lineitem"], "trades": ["lineitem"], "statements": ["orders", "customer", "nation"], "predictions": ["documents", "labels"], "interactions": ["events"], "deals": ["lineitem", "orders"], "chain": ["part"], "insiders": ["customer"]}
 
 
+def bars(lineitem: DataFrame) -> DataFrame:
+    """Daily bars as above, by aggregates: rows are dealt by symbol once, and days, places in the series and all the
+    windows of a symbol follow without another shuffle."""
+    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    ticks = lineitem.select(F.col("l_suppkey").alias("symbol"), F.col("l_shipdate").alias("ts"), price.alias("price"), F.col("l_quantity").alias("volume"), order.alias("o"))
+    days = ticks.repartition("symbol").groupBy("symbol", "ts").agg(
+        F.min_by("price", "o").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "o").alias("close"), F.sum("volume").alias("volume")
+    )
+    return days.withColumn("seq", (F.row_number().over(Window.partitionBy("symbol").orderBy("ts")) - 1).cast("int"))
+
+
 def words(documents: DataFrame) -> DataFrame:
     """(doc_id, pos, word): the words of each text in lower case, split at white space and , ; . ! ?"""
     every = F.filter(F.split(F.lower("text"), r"[\s,;.!?]+"), lambda w: w != "")
@@ -108,7 +120,7 @@ def words(documents: DataFrame) -> DataFrame:
 
 
 #: How Spark makes an input that its SQL does not express, or expresses with fewer shuffles: from which inputs, and how.
-MADE = {"indicators": ("bars", recursive.indicators), "words": ("documents", words)}
+MADE = {"bars": ("lineitem", bars), "indicators": ("bars", recursive.indicators), "words": ("documents", words)}
 #: Inputs that another input's text is over.
 UNDER = {"indicators": ["bars"]}
 
