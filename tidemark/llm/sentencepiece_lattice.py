@@ -190,25 +190,34 @@ class Dictionary:
         self.runs.sort(key=lambda run: run[0][0])
         self.least = np.array([keys[0] for keys, _, _ in self.runs], np.int64)
 
-    def of(self, words: pa.Array) -> pa.Array:
-        """List of ids for each word, null where it is not here."""
+    def places(self, words: pa.Array):
+        """For each run the words that it knows and their places in it."""
         data, offsets = encoded(words.view(pa.large_string()))
         h = hashes(data, offsets[:-1], offsets[1:]).view(np.int64)
         run = np.searchsorted(self.least, h, "right") - 1
-        size, found = np.zeros(len(h), np.int64), []
         for k, (keys, ends, flat) in enumerate(self.runs):
             at = np.flatnonzero(run == k)
             place = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
             hit = keys[place] == h[at]
-            at, place = at[hit], place[hit]
+            yield at[hit], place[hit], ends, flat
+
+    def rare(self, words: pa.Array) -> np.ndarray:
+        """Whether a word is not here."""
+        out = np.ones(len(words), bool)
+        for at, *_ in self.places(words):
+            out[at] = False
+        return out
+
+    def of(self, words: pa.Array) -> pa.Array:
+        """List of ids for each word, null where it is not here."""
+        size, found, known = np.zeros(len(words), np.int64), [], np.zeros(len(words), bool)
+        for at, place, ends, flat in self.places(words):
             start = ends[place].astype(np.int64)
-            size[at] = ends[place + 1] - start
+            known[at], size[at] = True, ends[place + 1] - start
             found.append((at, start, flat))
-        known = np.zeros(len(h), bool)
         edge = np.r_[0, np.cumsum(size)]
         out = np.zeros(edge[-1], np.int32)
         for at, start, flat in found:
-            known[at] = True
             n = size[at]
             within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             out[np.repeat(edge[at], n) + within] = flat[np.repeat(start, n) + within]
@@ -238,24 +247,36 @@ def encode(docs: DataFrame, model: str | None = None, shared_bytes: int = SHARED
             break
     shared = _shared(words if least is None else words.where(F.col("n") >= least))
 
+    def has_rare(rare: np.ndarray, first: np.ndarray) -> np.ndarray:
+        so_far = np.r_[0, np.cumsum(rare)]
+        return so_far[first[1:]] > so_far[first[:-1]]
+
+    def with_rare(batches):
+        known = Dictionary(shared)
+        for batch in batches:
+            for i, j, found, first in _words(batch.column(1), cut):
+                coded = found.dictionary_encode()
+                which = has_rare(known.rare(coded.dictionary)[coded.indices.to_numpy()], first)
+                yield pa.RecordBatch.from_arrays([c[i:j].filter(pa.array(which)) for c in batch.columns], ["doc_id", "text"])
+
     def look_up(batches):
         known = Dictionary(shared)
         for batch in batches:
             for i, j, found, first in _words(batch.column(1), cut):
                 coded = found.dictionary_encode()
                 ids = known.of(coded.dictionary)
-                missing = np.r_[0, np.cumsum(ids.is_null().to_numpy(zero_copy_only=False)[coded.indices.to_numpy()])]
-                rare = missing[first[1:]] > missing[first[:-1]]
+                which = has_rare(ids.is_null().to_numpy(zero_copy_only=False)[coded.indices.to_numpy()], first)
                 taken = ids.take(coded.indices)
-                whole = pa.ListArray.from_arrays(pa.array(taken.offsets.to_numpy()[first]), taken.values, mask=pa.array(rare))
-                text = pa.array([t.as_py() or "" if r else None for t, r in zip(batch.column(1)[i:j], rare)], pa.string())
-                yield pa.record_batch([batch.column(0)[i:j], text, whole], ["doc_id", "text", "ids"])
-
-    doc_id = docs.schema["doc_id"]
-    told = docs.select("doc_id", "text").mapInArrow(look_up, StructType([doc_id, StructField("text", StringType()), StructField("ids", ArrayType(IntegerType()))]))
-    told = save(told, "encoded")
-    rare = _by_join(told.where("ids is null"), words, shared, cut)
-    return told.where("ids is not null").select("doc_id", "ids").union(rare).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+                whole = pa.ListArray.from_arrays(pa.array(taken.offsets.to_numpy()[first]), taken.values)
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(~which)) for c in (batch.column(0)[i:j], whole)], ["doc_id", "ids"])
+
+    rows, doc_id = docs.select("doc_id", "text"), docs.schema["doc_id"]
+    told = rows.mapInArrow(look_up, StructType([doc_id, StructField("ids", ArrayType(IntegerType()))]))
+    # nothing is stored but the texts with rare words; a document is looked up twice instead
+    rare = save(rows.mapInArrow(with_rare, StructType([doc_id, StructField("text", StringType())])), "rare")
+    if not rare.isEmpty():
+        told = told.union(_by_join(rare, words, shared, cut))
+    return told.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 def _by_join(docs: DataFrame, words: DataFrame, shared: list, cut: np.ndarray) -> DataFrame:
