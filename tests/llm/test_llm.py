@@ -139,6 +139,59 @@ def test_held_out_accuracy(spark, module, column, modulus, held, cut, least):
         assert ((test["predicted"] == 1) & (test["toxic"] == 0)).sum() <= 0.01 * len(test)
 
 
+def test_toxicity_score_equals_brute_force():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdef ÄÖ") for _ in range(rng.randrange(2, 300))) + (" hate hate" if i % 3 == 0 else "") for i in range(90)]
+    model = toxicity.fit(texts, np.array([i % 3 == 0 for i in range(90)], int), least=2)
+    weight = dict(zip(model["gram"].tolist(), model["weight"].tolist()))
+
+    def score(text):
+        low, found = text.lower(), set()
+        for i in range(len(low)):
+            h = ord(low[i])
+            for n, c in enumerate(low[i + 1 : i + 5], 2):
+                h = (h * 0x01000193 & 0xFFFFFFFF) ^ ord(c)
+                if n >= 3:
+                    found.add(((h ^ h >> 15) * (0x2C1B3C6D + 2 * n) & 0xFFFFFFFF) >> 32 - toxicity.BITS)
+        z = model["bias"] + sum(weight.get(g, 0.0) for g in found)
+        return 1 / (1 + np.exp(-min(max(z, -30), 30)))
+
+    odd = [*texts[:30], "", "ab", "x" * 5000]
+    assert len(weight) > 10 and toxicity.predict(model, odd) == pytest.approx([score(t) for t in odd], abs=1e-5)
+
+
+def test_quality_score_equals_brute_force():
+    from tidemark.llm.common import hashes
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["good", "fine", "well!"] if i % 2 else ["buy", "now", "$$$"]) for _ in range(rng.randrange(1, 60))) for i in range(60)]
+    model = quality.fit(texts, np.array([i % 2 for i in range(60)]), steps=30)
+
+    def score(text):
+        words = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\x09-\x0d]+", text.encode())
+        of = [int(hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) >> 64 - quality.BITS for w in words]
+        x = np.mean([model["table"][b] for b in of], axis=0) if of else np.zeros(quality.HIDDEN)
+        extra = np.array([np.log1p(len(of)), sum(a == b for a, b in zip(of, of[1:])) / max(len(of), 1)])
+        z = (np.tanh(x + extra @ model["extra"] + model["b1"]) @ model["w2"] + model["b2"]) / model["temperature"]
+        return 1 / (1 + np.exp(-min(max(z, -30), 30)))
+
+    odd = [*texts[:20], "", "a", " \n", "ä" * 4000]
+    assert quality.predict(model, pa.array(odd, pa.large_string())) == pytest.approx([score(t) for t in odd], abs=1e-4)
+
+
+def test_samples_to_learn_from_are_bounded(spark):
+    from tidemark.llm.common import labelled
+
+    docs = docs_of(spark, ["short"] * 50 + ["x" * 900] * 50).union(docs_of(spark, ["copy"]).crossJoin(spark.range(1000)).drop("id"))
+    labels = spark.range(100).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    rows = labelled(docs, labels, "toxic", 3, toxicity.held_out, 20, 16_000).collect()
+    assert 0 < len(rows) <= 20 and sum(len(r.text) for r in rows) <= 16_000
+    every = labelled(docs, labels, "toxic", 3, toxicity.held_out, 1000, 10**9).collect()
+    assert len(every) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(100))
+    small = labelled(docs, labels, "toxic", 3, toxicity.held_out, 1000, 1600).collect()
+    assert {r.text for r in small} <= {"short", "copy"} and sum(len(r.text) for r in small) <= 1600
+
+
 def test_classifiers_on_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 0, 0), (4, 1, 1), (5, 1, None), (None, 1, 1), (4, 0, 0)], "doc_id long, quality int, toxic int")
     for f, keep in ((toxicity.toxicity, toxicity.keep_clean), (quality.quality, quality.keep_good)):
@@ -456,6 +509,20 @@ def test_queries_run_and_match_sql(spark):
     assert back.where(F.col("decoded_crc32") != F.crc32("text")).count() == 0
 
 
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline as P
+
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id long, quality int, toxic int")
+    rows = [(i, t, "en", "s" if i % 2 else None, 0) for i, t in enumerate(ODD)] * 2 + [(None, "no name", None, None, None)]
+    for name, docs in (("odd", spark.createDataFrame(rows, DOC).withColumn("size", F.lit(1)).withColumn("key", F.lit(2))), ("none", spark.createDataFrame([], DOC))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        got = P.run(spark, f"{tmp_path}/{name}")
+        assert got.columns == ["doc_id", "n_tokens", "ids"] and (got.count() > 0) == (name == "odd")
+    for f in (lambda d: toxicity.keep_clean(d, labels), lambda d: quality.keep_good(d, labels), simhash.keep_one, mixing.mixed):
+        assert f(spark.createDataFrame([], DOC)).count() == 0
+
+
 def test_pipeline_keeps_what_its_stages_keep(spark):
     import corpus_pipeline as P
 
