@@ -280,12 +280,6 @@ def _crowd_links(mixed: DataFrame, marks: DataFrame) -> DataFrame:
     return x.groupBy(*by).cogroup(y.groupBy(*by)).applyInPandas(_compare, "u long, v long")
 
 
-def _inside(hits: DataFrame, near: DataFrame) -> DataFrame:
-    """The hits with the cluster of each node by the edges near."""
-    clusters = components(near).withColumnRenamed("component", "cluster")
-    return save(hits.join(clusters.hint("merge"), "node", "left").withColumn("cluster", F.coalesce("cluster", "node")), "band_clusters")
-
-
 def similar_documents(docs: DataFrame, dense: int = 32) -> DataFrame:
     """(doc_id, component_id) of every row with a doc_id: documents that are linked, directly or through
     others, by a Jaccard similarity of SIMILAR or more get the smallest doc_id among them.
@@ -306,9 +300,16 @@ def similar_documents(docs: DataFrame, dense: int = 32) -> DataFrame:
     same = prints.join(of_print.withColumnRenamed("node", "v").hint("merge"), "fp").select(F.col("node").alias("u"), "v")
     stars = hits.where(F.col("c") > dense).select(F.col("node").alias("u"), F.col("hub").alias("v"))
     near = _verified(links(of_print, dense).union(same).union(stars), marks)
-    inside = _inside(hits, near)
-    found = components(near.union(_verified(_between(inside, dense), marks)).union(_crowd_links(_mixed(inside, dense), marks)))
-    rows = marks.select("doc_id", "node").join(found.hint("merge"), "node", "left").select("doc_id", F.coalesce("component", "node").alias("group"))
+    clusters = save(components(near).withColumnRenamed("component", "cluster"), "clusters_of_bands")
+    inside = save(hits.join(clusters.hint("merge"), "node", "left").withColumn("cluster", F.coalesce("cluster", "node")), "band_clusters")
+    # what is found now links whole clusters, so only those are walked once more
+    more = _verified(_between(inside, dense), marks).union(_crowd_links(_mixed(inside, dense), marks))
+    for end in "uv":
+        of = clusters.select(F.col("node").alias(end), F.col("cluster").alias("of"))
+        more = more.join(of.hint("merge"), end, "left").withColumn(end, F.coalesce("of", end)).drop("of")
+    found = components(more).withColumnRenamed("node", "cluster")
+    rows = marks.select("doc_id", "node").join(clusters.hint("merge"), "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+    rows = rows.join(found.hint("merge"), "cluster", "left").select("doc_id", F.coalesce("component", "cluster").alias("group"))
     rows = save(rows, "groups")
     names = rows.groupBy("group").agg(F.min("doc_id").alias("component_id"))
     return rows.join(names.hint("merge"), "group").select("doc_id", "component_id")
