@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +41,9 @@ LOWEST = 0x110000
 
 def piece_table(spark, pieces) -> DataFrame:
     """(piece, id, score, h): one row per piece of the vocabulary; h, a hash of the piece, is a fast key."""
-    rows = [(p, i, float(s)) for p, (i, s) in sorted(pieces.items())]
-    table = spark.createDataFrame(pd.DataFrame(rows, columns=["of_piece", "id", "score"]), "of_piece string, id int, score double")
+    pieces = sorted(pieces.items())
+    columns = [pa.array([p for p, _ in pieces]), pa.array([i for _, (i, _) in pieces], pa.int32()), pa.array([float(s) for _, (_, s) in pieces])]
+    table = spark.createDataFrame(pa.table(columns, ["of_piece", "id", "score"]))
     return table.withColumn("h", F.xxhash64("of_piece"))
 
 
@@ -70,6 +70,7 @@ def _words(texts: pa.Array, cut: np.ndarray):
         at = np.flatnonzero(start)
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(own)])
         yield i, j, words, np.searchsorted(at, ends)
+    pa.default_memory_pool().release_unused()
 
 
 def _strings(words: pa.Array) -> pa.Array:
