@@ -66,6 +66,11 @@ select symbol, metric, round(latest, 5) as latest, round(p, 5) as percentile, ro
     operator("correlations", "bars", "R27 correlation of the daily returns of every two of a sector's symbols, with 60 common days or more", f"""
 with r as (select symbol, symbol % 11 as sector, ts, close / lag(close) {S} - 1 as r from bars)
 select a.symbol as one, b.symbol as two, cast(count(*) as bigint) as days, round(corr(a.r, b.r), 5) as correlation from r a join r b on a.ts = b.ts and a.sector = b.sector and a.symbol < b.symbol where a.r is not null and b.r is not null group by a.symbol, b.symbol having count(*) >= 60"""),
+    operator("substitutes", "bars", "X12 up to three substitutes of each symbol from its sector, positively correlated over 60 common days or more and not its double, by correlation and calm", f"""
+with r as (select symbol, symbol % 11 as sector, ts, close / lag(close) {S} - 1 as r from bars), v as (select symbol, stddev_samp(r) as sd from r group by symbol),
+c as (select a.symbol, b.symbol as other, round(corr(a.r, b.r), 9) as k from r a join r b on a.ts = b.ts and a.sector = b.sector and a.symbol <> b.symbol where a.r is not null and b.r is not null group by a.symbol, b.symbol having count(*) >= 60),
+s as (select c.symbol, other, k, round(.7 * k + .3 / (1 + v.sd), 9) as score from c join v on c.other = v.symbol where k > 0 and k < .99), p as (select *, row_number() over (partition by symbol order by score desc, other) as place from s)
+select symbol, cast(place as integer) as place, other, round(k, 5) as correlation, round(score, 5) as score from p where place <= 3"""),
     operator("three_factors", "bars", "R23 least squares of the last 60 returns on market, size and value proxies: alpha, betas and R squared", f"""
 with {BESIDE}, d as (select ts, avg(case when symbol % 3 = 0 then r end) - avg(case when symbol % 3 = 2 then r end) as f2, avg(case when symbol % 4 = 0 then r end) - avg(case when symbol % 4 = 3 then r end) as f3 from x group by ts),
 y as (select x.symbol, x.r, x.rb as f1, d.f2, d.f3, row_number() over (partition by x.symbol order by x.ts desc) as k from x join d on x.ts = d.ts where d.f2 is not null and d.f3 is not null),
