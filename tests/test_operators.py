@@ -206,7 +206,8 @@ def test_candles(spark):
     rows = [(10.0, 10.6, 7.0, 10.5), (10.5, 14.0, 10.4, 11.0), (12.0, 12.1, 9.9, 10.0), (9.0, 9.2, 8.8, 9.0), (9.5, 12.0, 9.4, 11.5)]
     bars = spark.createDataFrame([("a", day + dt.timedelta(days=i), o, h, lo, c, 1.0, i) for i, (o, h, lo, c) in enumerate(rows)], "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double, seq int")
     got = {(r.seq, r.pattern) for r in OPS["candles"](bars).collect()}
-    assert got == {(0, "hammer"), (1, "inverted hammer"), (1, "shooting star"), (3, "doji"), (4, "morning star")}
+    # bar 2 opens at 12 over the close of 11 and closes at 10 under the open of 10.5
+    assert got == {(0, "hammer"), (1, "inverted hammer"), (1, "shooting star"), (2, "bearish engulfing"), (3, "doji"), (4, "morning star")}
 
 
 def test_fitted_operators(spark):
