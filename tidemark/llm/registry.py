@@ -146,7 +146,7 @@ from walk w join subroots s on s.tree = w.of cross join (select digest from top
 where w.n = 1 and (w.tree = -1 or (select count(*) from subroots) = 1)
 """
 
-#: Words with one letter or none taken out are keys of a join, whose pairs are told by their distance.
+#: Words with one letter taken out: equal ones of the same place are a replacement, one that is a word is an insertion.
 OP13 = f"""
 with recursive {CRC},
 runs as (select coalesce(cast(doc_id as varchar), '') || ':' as head, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents),
@@ -154,8 +154,12 @@ hashed as (select run, {crc("head || run")} as h, count(*) as n from runs cross
 words as materialized (
     select case when h % 31 = 0 then run[:h % length(run)] || run[h % length(run) + 2:] else run end as word, cast(sum(n) as bigint) as n
     from hashed group by 1 having length(word) >= 7 and sum(n) >= 2
-), keys as materialized (select distinct word, n, unnest(list_append([word[:i] || word[i + 2:] for i in range(length(word))], word)) as key from words),
-near as materialized (select distinct a.word, a.n, b.word as other, b.n as other_n from keys a join keys b on a.key = b.key where a.word <> b.word and levenshtein(a.word, b.word) = 1),
+), keys as materialized (select word, n, unnest(range(length(word))) as i, unnest([word[:i] || word[i + 2:] for i in range(length(word))]) as key from words),
+near as materialized (
+    select a.word, a.n, b.word as other, b.n as other_n from keys a join keys b on a.key = b.key and a.i = b.i where a.word <> b.word
+    union select a.word, a.n, b.word, b.n from keys a join words b on a.key = b.word
+    union select b.word, b.n, a.word, a.n from keys a join words b on a.key = b.word
+),
 best as (select word, count(*) as n_near, min(struct_pack(less := -other_n, other := other)) as best from near group by word),
 forms as materialized (
     select w.word, w.n, coalesce(n_near, 0) as n_near, case when -best.less >= 10 * w.n then best.other end as form, case when -best.less >= 10 * w.n then -best.less end as form_n
