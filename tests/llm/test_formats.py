@@ -61,6 +61,22 @@ def test_token_files_hold_what_the_library_gives(spark, odd, none):
     assert huffman_ids.token_files(none).count() == 0
 
 
+def test_encoder_cuts_no_token(spark):
+    import random
+
+    r = random.Random(5)
+    parts = [*"aZkK'09!(\u0301\u0331 \n\t\x0b\x1c\x85\xa0\u3000éßΣİſK中😀<|>_", "'s", "'RE", "don't", "H\u0331", "e\u0301", "<|endoftext|>", "ABC", "xyz", "\U000e0001", "한", "\u1100\u1161"]
+    texts = ["".join(r.choices(parts, k=r.randrange(0, 40))) for _ in range(1500)] + ["", "'", "a", "A"]
+    encoder = huffman_ids.Encoder(huffman_ids.default_tokenizer())
+    data, ends = huffman_ids.encoded(pa.array(texts))
+    ids, place = encoder.texts(data, ends, 1)
+    for k, text in enumerate(texts):
+        want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert ids[place[k] : place[k + 1]].tolist() == [*want, 1], repr(text)
+    with pytest.raises(ValueError):
+        huffman_ids.Encoder(huffman_ids.default_tokenizer().replace("word_bpe_49k", "byte_bpe_50k"))
+
+
 def test_token_files_in_small_blocks_and_ids_read_back(spark, odd, tmp_path):
     tokens = huffman_ids.save(huffman_ids.token_ids(odd, huffman_ids.default_tokenizer()), "ids")
     huffman_ids.write(tokens, str(tmp_path / "f"), block_ids=20)

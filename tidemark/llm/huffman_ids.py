@@ -1,6 +1,6 @@
 """Token ids in a compact binary file: canonical, length-limited Huffman codes of ids from global counts.
 
-Texts are encoded by a public tokenizer, each distinct word of a block once. Ids are counted over the whole corpus;
+Texts are encoded by a public tokenizer, each distinct word of a block of texts once. Ids are counted over the whole corpus;
 the counts, one per id of the vocabulary, give code lengths of at most `LIMIT` bits by merging packages, and the
 lengths alone give the canonical codes. The documents, in ascending order of doc_id, are dealt out by ranges, and every
 range writes a file of blocks. A block can be decoded by itself: it holds whole documents, their numbers of ids, the
@@ -17,9 +17,11 @@ A folder of the format holds three Parquet tables, which Spark's committer write
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +37,16 @@ LIMIT = 20
 STEP = 128
 #: A block is closed at so many ids; a longer document has a block of its own.
 BLOCK_IDS = 1 << 17
-#: Bytes of text that are encoded at once, and distinct words whose ids a worker keeps.
-BLOCK, KEPT = 8_000_000, 150_000
+#: Bytes of text that are encoded at once.
+BLOCK = 4_000_000
 SPACES = np.isin(np.arange(256), [9, 10, 13, 32])
+UPPER = (np.arange(256) >= 65) & (np.arange(256) <= 90)
+LETTERS = UPPER | (np.arange(256) >= 97) & (np.arange(256) <= 122)
+#: ASCII characters that part from letters on either side; an apostrophe keeps what follows it.
+OTHERS = (np.arange(256) < 128) & ~LETTERS
+BEFORE = OTHERS & (np.arange(256) != 39)
+SMALL = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+RUN = re.compile(f"[{SMALL}]+").fullmatch
 
 
 def default_tokenizer() -> str:
@@ -45,8 +54,12 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids of texts. Texts are cut before ASCII white space, which no token and no step of the tokenizer's
-    normalisation crosses, and each distinct word is encoded once."""
+    """Ids of texts by a tokenizer that folds case, drops white space and parts letters from other characters.
+
+    Texts are cut at ASCII white space and between ASCII letters and other ASCII characters, where no token and no
+    normalisation crosses, capitals before another ASCII character are folded first, and each distinct word of a
+    block is encoded once: a run of small letters, which such a tokenizer leaves together, by its model alone.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,34 +67,47 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def words(self, words: list[bytes]) -> list[np.ndarray]:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > KEPT:
-            self.known, new = {}, words
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, np.int32)
-        return [self.known[w] for w in words]
+        probe = "abcdefghijklmnopqrstuvwxyz"
+        parts = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(f"{probe} {probe}!?{probe}9")]
+        normal = self.tokenizer.normalizer
+        if normal is None or normal.normalize_str(probe.upper()) != probe or parts != [probe, probe, "!?", probe, "9"]:
+            raise ValueError(f"{path} does not part words as assumed here")
+        # what the pre-tokenizer makes of each small letter of Latin-1, for runs of which nothing else is to be done
+        self.written = str.maketrans({c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in SMALL})
+
+    def words(self, words: list[bytes]) -> list[list[int]]:
+        model = self.tokenizer.model
+        texts = [w.decode("utf-8", "replace") for w in words]
+        out = [[t.id for t in model.tokenize(w.translate(self.written))] if RUN(w) else None for w in texts]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for k in range(0, len(rest), 2_000):
+            part = rest[k : k + 2_000]
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False)):
+                out[i] = e.ids
+        return out
 
     def texts(self, data: np.ndarray, ends: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the documents data[ends[i]:ends[i + 1]], each followed by `end`, and where each begins."""
-        start = np.ones(len(data) + 1, bool)
-        if len(data):
-            start[:-1] = SPACES[data]
-            start[ends] = True
-        at = np.flatnonzero(start)
-        cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        start = np.zeros(len(data) + 1, bool)
+        space = SPACES[data]
+        start[1:-1] = space[:-1] | LETTERS[data[:-1]] & OTHERS[data[1:]] | BEFORE[data[:-1]] & LETTERS[data[1:]]
+        start[ends] = True
+        kept = ~space
+        to = np.r_[0, np.cumsum(kept)]  # places without white space
+        own = data[kept]
+        at = np.r_[to[np.flatnonzero(start)], len(own)]
+        at = at[np.r_[True, at[1:] != at[:-1]]]
+        fold = np.flatnonzero(UPPER[own])
+        own[fold[np.r_[own, 0][fold + 1] < 128]] |= 32
+        cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(own)]).dictionary_encode()
         ids = self.words(cut.dictionary.to_pylist())
         size = np.array([len(x) for x in ids], np.int64)
-        flat, of = np.concatenate([*ids, np.zeros(0, np.int32)]), cut.indices.to_numpy()
+        flat, of = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum())), cut.indices.to_numpy()
         first = np.cumsum(size) - size
         n = size[of]
         so_far = np.r_[0, np.cumsum(n)]
         out = flat[np.repeat(first[of] - so_far[:-1], n) + np.arange(so_far[-1])]
-        place = so_far[np.searchsorted(at, ends)]
+        place = so_far[np.searchsorted(at, to[ends])]
         return np.insert(out, place[1:], end), place + np.arange(len(ends))
 
 
