@@ -38,7 +38,7 @@ STEP = 128
 #: A block is closed at so many ids; a longer document has a block of its own.
 BLOCK_IDS = 1 << 17
 #: Bytes of text that are encoded at once.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 SPACES = np.isin(np.arange(256), [9, 10, 13, 32])
 UPPER = (np.arange(256) >= 65) & (np.arange(256) <= 90)
 LETTERS = UPPER | (np.arange(256) >= 97) & (np.arange(256) <= 122)
