@@ -161,7 +161,7 @@ def garch(bars: DataFrame, omega: float = 1e-5, alpha: float = 0.1, beta: float
         close = s.sort_values("ts", kind="stable")["close"].to_numpy(float)
         r = close[1:] / close[:-1] - 1
         if not len(r):
-            return pd.DataFrame({"symbol": [], "forecast": []})
+            return pd.DataFrame({"symbol": s["symbol"].iloc[:0], "forecast": np.zeros(0)})
         v = float((r * r).mean())
         for x in r.tolist():
             v = omega + alpha * x * x + beta * v

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import fitted, lots, recursive
+from ..operators import fitted, lots, recursive, scan
 from ..registry import query
 from ..sources.views import VIEWS, view
 from ..streaming.bars import sliding_volume, tumbling_bars
@@ -30,7 +30,7 @@ def register() -> None:
         select symbol, round(100 * sqrt(252 * (0.00001 + 0.1 * value * value + 0.85 * sigma)), 5) as forecast from r where i = n - 1""",
     )
     def garch(spark, sf_dir):
-        return recursive.garch(view(spark, sf_dir, "bars")).withColumn("forecast", F.round("forecast", 5))
+        return scan.garch(view(spark, sf_dir, "bars")).withColumn("forecast", F.round("forecast", 5))
 
     @query(
         "cusum",
@@ -53,7 +53,7 @@ def register() -> None:
         select r.symbol, r.ts, round(e, 7) as ewma, round(m - 3 * sd * sqrt(0.2 / 1.8 * (1 - power(0.8, 2 * (i + 1)))), 7) as low, round(m + 3 * sd * sqrt(0.2 / 1.8 * (1 - power(0.8, 2 * (i + 1)))), 7) as high from r join s on r.symbol = s.symbol""",
     )
     def ewma_chart(spark, sf_dir):
-        out = recursive.ewma_chart(returns(spark, sf_dir))
+        out = scan.ewma_chart(returns(spark, sf_dir))
         return out.withColumns({c: F.round(c, 7) for c in ("ewma", "low", "high")})
 
     @query(

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.operator import doubles
-from ..operators import recursive
+from ..operators import scan
 
 VIEWS = {
     "bars": """
@@ -120,7 +120,7 @@ def words(documents: DataFrame) -> DataFrame:
 
 
 #: How Spark makes an input that its SQL does not express, or expresses with fewer shuffles: from which inputs, and how.
-MADE = {"bars": ("lineitem", bars), "indicators": ("bars", recursive.indicators), "words": ("documents", words)}
+MADE = {"bars": ("lineitem", bars), "indicators": ("bars", scan.indicators), "words": ("documents", words)}
 #: Inputs that another input's text is over.
 UNDER = {"indicators": ["bars"]}
 
