@@ -24,8 +24,8 @@ select event_type, cast(count(*) as bigint) as events, cast(count(k) as bigint)
     operator("trade_import", "trades", "S5 imported trades with the symbol trimmed, the action in lower case, and rows without shares or symbol counted as rejects", """
 with x as (select trim(concat(' ', cast(symbol as string), ' ')) as name, lower(upper(side)) as action, shares - 3 as shares from trades)
 select name, action, cast(sum(case when shares > 0 and name <> '' then 1 else 0 end) as bigint) as accepted, cast(sum(case when shares > 0 and name <> '' then 0 else 1 end) as bigint) as rejected from x group by name, action"""),
-    operator("clean_trades", "trades", "Q3 trades with an entry and a profit within 1,000, one a symbol, day and side: the first", """
-with x as (select *, row_number() over (partition by symbol, ts, side order by id, line, part, price, shares) as k from trades where price is not null and abs(pnl) <= 1000)
+    operator("clean_trades", "trades", "Q3 trades with an entry and a profit within 100, one a symbol, day and side: the first", """
+with x as (select *, row_number() over (partition by symbol, ts, side order by id, line, part, price, shares) as k from trades where price is not null and abs(pnl) <= 100)
 select symbol, ts, side, id, line, round(pnl, 6) as pnl from x where k = 1"""),
     operator("two_sources", "bars trades", "Q6 last price and volume of each symbol by two sources, with differences and whether they are within 1 %", """
 with a as (select symbol, max(case when k = 1 then close end) as price, sum(volume) as volume from (select symbol, close, volume, row_number() over (partition by symbol order by ts desc) as k from bars) z group by symbol),

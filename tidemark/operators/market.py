@@ -45,10 +45,10 @@ a as (select class, max(case when k = 1 then m20 end) as m20, stddev_pop(case wh
 select round(avg(m20), 6) as market_return, round(avg(v), 6) as volatility, round(max(case when class = 'aggressive' then m20 end) - max(case when class = 'defensive' then m20 end), 6) as appetite,
     case when max(case when class = 'aggressive' then m20 end) > max(case when class = 'defensive' then m20 end) then 'risk on' else 'risk off' end as label, round(avg(away), 6) as distance from a"""),
     operator("sector_flows", "bars", "G8 flows from the weaker to the stronger of every two sectors whose weekly changes differ by .5 or more, with confidence and intensity", f"""
-with {SECTORS} select cast(a.sector as bigint) as source, cast(b.sector as bigint) as target, round(b.w - a.w, 5) as difference, round(least(.95, .5 + (b.w - a.w) / 10), 5) as confidence,
-    case when b.w - a.w > 5 then 'strong' when b.w - a.w > 2 then 'moderate' else 'weak' end as intensity from sectors a join sectors b on b.w > a.w + .5 and a.sector <> b.sector"""),
+with {SECTORS} select cast(a.sector as bigint) as source, cast(b.sector as bigint) as target, round(b.w - a.w, 5) as difference, round(.1 * (b.w - a.w), 6) as flow, round(least(1.0, (b.w - a.w) / 5), 5) as confidence,
+    round(least(1.0, .1 * (b.w - a.w) / 2), 6) as intensity from sectors a join sectors b on b.w > a.w + .5 and a.sector <> b.sector"""),
     operator("net_flows", "bars", "G8 net flow of each sector", f"""
-with {SECTORS}, f as (select a.sector as source, b.sector as target, b.w - a.w as x from sectors a join sectors b on b.w > a.w + .5), i as (select target as sector, sum(x) as x from f group by target), o as (select source as sector, sum(x) as x from f group by source)
+with {SECTORS}, f as (select a.sector as source, b.sector as target, .1 * (b.w - a.w) as x from sectors a join sectors b on b.w > a.w + .5), i as (select target as sector, sum(x) as x from f group by target), o as (select source as sector, sum(x) as x from f group by source)
 select cast(coalesce(i.sector, o.sector) as bigint) as sector, round(coalesce(i.x, 0.0), 4) as inflow, round(coalesce(o.x, 0.0), 4) as outflow, round(coalesce(i.x, 0.0) - coalesce(o.x, 0.0), 4) as net from i full outer join o on i.sector = o.sector"""),
     operator("rotation", "bars", "G9 growth against value and cyclical against defensive sectors by weekly change, threshold 2, and the market's trend", f"""
 with {SECTORS}, classes as (select 0 as sector, 'growth' as class union all select 1, 'growth' union all select 2, 'growth' union all select 3, 'value' union all select 4, 'value' union all select 5, 'cyclical' union all select 3, 'cyclical' union all select 6, 'cyclical' union all select 7, 'defensive' union all select 8, 'defensive' union all select 9, 'defensive'),
@@ -92,8 +92,9 @@ k as (select *, row_number() over (partition by user_id order by relevance desc,
 select user_id, cast(place as integer) as place, symbol, round(relevance, 6) as relevance from k where place <= 5"""),
     operator("upcoming_events", "bars interactions", "E12 symbols near their 20-bar high with the nearest event of the next fourteen days", f"""
 with n as (select max(ts) as as_of from interactions), x as (select symbol, ts, close, max(high) {last(20)} as top, row_number() over (partition by symbol order by ts desc) as k from bars), c as (select symbol, close / top as near from x where k = 1 and close >= .9 * top),
-e as (select event_id % 100 + 1 as symbol, action as event, event_id, DAYS(as_of, ts) as days from interactions cross join n), h as (select c.symbol, near, event, days, row_number() over (partition by c.symbol order by days, event_id) as j from c join e on c.symbol = e.symbol where days between 0 and 14)
-select symbol, round(near, 5) as near_high, event, days from h where j = 1"""),
+t as (select max(symbol) as top from bars), e as (select event_id % top + 1 as symbol, action as event, event_id, DAYS(as_of, ts) as days from interactions cross join n cross join t where DAYS(as_of, ts) between 0 and 14),
+h as (select symbol, event, days, row_number() over (partition by symbol order by days, event_id) as j from e)
+select c.symbol, round(near, 5) as near_high, event, days from c join h on c.symbol = h.symbol where j = 1"""),
     operator("trade_gate", "deals", "E17, E16 deals let through by a probability over the regime's threshold, by a strong signal or by calibrated confidence, with the reason", """
 with x as (select strategy, symbol, id, line, part, confidence, .35 + .25 * (id % 1000) / 1000.0 as p, case when shares > 35 then 'volatile' when shares > 15 then 'normal' else 'calm' end as regime from deals),
 y as (select *, case when p > case regime when 'volatile' then .6 when 'calm' then .45 else .5 end then 'probability' when p >= .45 and confidence >= .70 then 'signal' when confidence >= .65 and p >= .40 then 'calibrated' else 'refused' end as reason from x where confidence >= .05)

@@ -19,9 +19,10 @@ select a.symbol, round(puts * 1.0 / calls, 6) as volume_ratio, round(put_oi * 1.
     operator("unusual_contracts", "chain", "O1 the ten contracts of each symbol with the highest volume over open interest, volume over 100 and over twice the interest", """
 with x as (select *, row_number() over (partition by symbol order by volume * 1.0 / greatest(oi, 1) desc, id) as place from chain where volume > 2 * oi and volume > 100)
 select symbol, cast(place as integer) as place, id, kind, strike, cast(volume as bigint) as volume, cast(oi as bigint) as oi from x where place <= 10"""),
-    operator("max_pain", "chain", "O2 the strike at which contracts pay out least, the lowest on ties; interest is summed by strike first", """
+    operator("max_pain", "chain", "O2 the strike at which contracts pay out least, the lowest on ties; what all strikes below and above pay comes from running sums of interest and interest x strike", """
 with s as (select symbol, strike, sum(case when kind = 'call' then oi else 0 end) as calls, sum(case when kind = 'put' then oi else 0 end) as puts from chain group by symbol, strike),
-p as (select a.symbol, a.strike, sum(b.calls * greatest(a.strike - b.strike, 0.0) + b.puts * greatest(b.strike - a.strike, 0.0)) as pain from s a join s b on a.symbol = b.symbol group by a.symbol, a.strike),
+w as (select *, sum(calls) over (partition by symbol order by strike) as c, sum(calls * strike) over (partition by symbol order by strike) as cs, sum(puts) over (partition by symbol order by strike desc) as p, sum(puts * strike) over (partition by symbol order by strike desc) as ps from s),
+p as (select symbol, strike, strike * c - cs + ps - strike * p as pain from w),
 k as (select *, row_number() over (partition by symbol order by pain, strike) as place from p)
 select symbol, strike, round(pain, 3) as pain from k where place = 1"""),
     operator("options_signal", "chain", "E4 put/call interest ratio ranked among the strikes' own, skew of implied volatility, strike of most interest and the adjustments", f"""

@@ -59,8 +59,9 @@ m as (select r.symbol, buy, sell, least(coalesce(till, s1), b1, s1) - place as n
     from r join buys on r.symbol = buys.symbol and r.buy = buys.k join sells on r.symbol = sells.symbol and r.sell = sells.k where least(coalesce(till, s1), b1, s1) > place)
 select symbol, cast(buy as bigint) as buy_no, cast(sell as bigint) as sell_no, round(n, 4) as shares, round(n * (got - paid), 8) as realised, DAYS(sold, bought) as days_held from m"""),
     operator("wash_sales", "trades", "X9 losses with a purchase within 30 days either side; each triggers once, by the first", """
-with l as (select symbol, id, line, ts, pnl from trades where side = 'sell' and pnl < 0), b as (select symbol, ts, count(*) as n from trades where side = 'buy' group by symbol, ts)
-select l.symbol, l.id, l.line, round(l.pnl, 4) as loss, min(b.ts) as purchase from l join b on l.symbol = b.symbol and abs(DAYS(b.ts, l.ts)) <= 30 group by l.symbol, l.id, l.line, l.ts, l.pnl"""),
+with near as (select -1 as o union all select 0 union all select 1), l as (select symbol, id, line, ts, pnl, floor(DAYS(ts, '1970-01-01') / 31.0) + o as bucket from trades cross join near where side = 'sell' and pnl < 0),
+b as (select distinct symbol, ts, floor(DAYS(ts, '1970-01-01') / 31.0) as bucket from trades where side = 'buy')
+select l.symbol, l.id, l.line, round(l.pnl, 4) as loss, min(b.ts) as purchase from l join b on l.symbol = b.symbol and l.bucket = b.bucket and abs(DAYS(b.ts, l.ts)) <= 30 group by l.symbol, l.id, l.line, l.ts, l.pnl"""),
     operator("drawdown_events", "trades", "K3 drawdowns of each equity curve: peak, trough, depth and length", f"""
 with {DAILY}, h as (select symbol, ts, equity, max(equity) over (partition by symbol order by ts) as top from q),
 i as (select *, sum(case when equity >= top then 1 else 0 end) over (partition by symbol order by ts) as island from h),

@@ -91,8 +91,8 @@ with {DAILY}, f as (select strategy, r, k, n, cast(floor((k - 1) * 6.0 / n) as i
 h as (select * from g where k - a >= 5 and b - k >= 5), c as (select distinct x.fold as one, y.fold as two from f x join f y on x.fold < y.fold),
 s as (select h.strategy, c.one, c.two, avg(h.r) / nullif(stddev_samp(h.r), 0) * sqrt(252.0) as sharpe from h join c on h.fold = c.one or h.fold = c.two group by h.strategy, c.one, c.two)
 select strategy, cast(count(*) as bigint) as paths, round(avg(sharpe), 5) as mean_sharpe, round(min(sharpe), 5) as worst, round(avg(case when sharpe > 0 then 1.0 else 0.0 end), 6) as positive from s group by strategy"""),
-    operator("overfitting", "deals", "K16 probability of overfitting: how often the best strategy of one half of eight blocks is below the middle in the other, over a fixed grid of splits", f"""
-with {DAILY}, f as (select strategy, r, cast(floor((k - 1) * 8.0 / n) as integer) as block from j), splits as (select 15 as mask union all select 23 union all select 27 union all select 29 union all select 30 union all select 39 union all select 51 union all select 85 union all select 90 union all select 105),
+    operator("overfitting", "deals", "K16 probability of overfitting: how often the best strategy of one half of eight blocks is below the middle in the other, over all 70 splits", f"""
+with {DAILY}, f as (select strategy, r, cast(floor((k - 1) * 8.0 / n) as integer) as block from j), bits as (select 0 as v union all select 1), splits as (select a.v + 2 * b.v + 4 * c.v + 8 * d.v + 16 * e.v + 32 * f.v + 64 * g.v + 128 * h.v as mask from bits a, bits b, bits c, bits d, bits e, bits f, bits g, bits h where a.v + b.v + c.v + d.v + e.v + f.v + g.v + h.v = 4),
 sides as (select mask, strategy, avg(case when floor(mask / power(2, block)) % 2 = 1 then r end) / nullif(stddev_samp(case when floor(mask / power(2, block)) % 2 = 1 then r end), 0) as inside,
     avg(case when floor(mask / power(2, block)) % 2 = 0 then r end) / nullif(stddev_samp(case when floor(mask / power(2, block)) % 2 = 0 then r end), 0) as outside from f cross join splits group by mask, strategy),
 k as (select *, row_number() over (partition by mask order by inside desc, strategy) as best, (rank() over (partition by mask order by outside) - .5) / count(*) over (partition by mask) as place from sides)
@@ -106,9 +106,9 @@ select strategy, round(sr, 7) as sharpe, round(expected, 7) as expected_best, ro
     operator("market_impact", "bars", "K18 square-root impact of an order of a tenth of the bar, from 20 bars of volume and volatility", f"""
 with x as (select symbol, ts, seq, close, volume, ln(close / lag(close) {S}) as r from bars), y as (select symbol, ts, seq, close, volume, avg(volume) over (partition by symbol order by ts rows between 20 preceding and 1 preceding) as adv, stddev_pop(r) over (partition by symbol order by ts rows between 20 preceding and 1 preceding) as sd from x)
 select symbol, ts, round(sd * sqrt(.1 * volume / adv), 7) as impact, round(close * sd * sqrt(.1 * volume / adv), 5) as cost from y where seq >= 21 and adv > 0"""),
-    operator("permanent_impact", "bars", "K19 permanent impact that decays by .9 a bar, summed over the last 60 orders of a symbol", f"""
+    operator("permanent_impact", "bars", "K19 permanent impact that decays by .9 a bar, summed over all orders of a symbol", f"""
 with x as (select symbol, seq, volume, count(*) {ALL} as n, avg(volume) {ALL} as adv from bars)
-select symbol, round(sum(.1 * sqrt(volume / adv) * power(.9, n - 1 - seq)), 7) as impact from x where seq >= n - 60 group by symbol"""),
+select symbol, round(sum(.1 * sqrt(volume / adv) * power(.9, n - 1 - seq)), 7) as impact from x group by symbol"""),
     operator("walk_forward", "bars", "K20 best of four momentum lookbacks in each fold of 100 bars and its Sharpe in the next fold", f"""
 with g as (select 5 as n union all select 10 union all select 20 union all select 40), x as (select symbol, ts, seq, close, lead(close) {S} / close - 1 as nxt, close / lag(close, 5) {S} - 1 as m5, close / lag(close, 10) {S} - 1 as m10, close / lag(close, 20) {S} - 1 as m20, close / lag(close, 40) {S} - 1 as m40 from bars),
 p as (select symbol, cast(floor(seq / 100.0) as integer) as fold, n, case when case n when 5 then m5 when 10 then m10 when 20 then m20 else m40 end > 0 then nxt else 0.0 end as r from x cross join g where seq >= 40 and nxt is not null),
@@ -123,12 +123,27 @@ select symbol, round(fill, 6) as fill, round(fill - mark, 6) as profit, case whe
 with {DAILY}, a as (select strategy, count(*) as days, max(case when k = n then equity end) / 1000000 - 1 as total, avg(r) / nullif(stddev_samp(r), 0) * sqrt(252.0) as sharpe from j group by strategy),
 b as (select strategy, count(*) as trades, avg(case when pnl > 0 then 1.0 else 0.0 end) as wins, max(pnl) as best, min(pnl) as worst from deals group by strategy)
 select a.strategy, cast(trades as bigint) as trades, cast(days as bigint) as days, round(total, 6) as total, round(sharpe, 5) as sharpe, round(wins, 6) as win_rate, round(best, 4) as best, round(worst, 4) as worst from a join b on a.strategy = b.strategy order by total desc, a.strategy"""),
-    operator("risk_radar", "trades", "X1 six dimensions from 0 to 100 of each equity curve and their weighted mean", f"""
-with {RETURNS}, y as (select symbol, r, 1 - equity / max(equity) {S} as dd, lag(r) {S} as r1 from r), n as (select symbol, count(*) as trades, sum(shares * price) as traded, avg(case when pnl < 0 then 1.0 else 0.0 end) as losses from trades group by symbol),
-a as (select y.symbol, least(100.0, stddev_samp(r) * sqrt(252.0) * 200) as volatility, least(100.0, max(dd) * 500) as drawdown, least(100.0, 100 * max(losses)) as losses, least(100.0, 100 * abs(coalesce(corr(r, r1), 0.0))) as momentum,
-    least(100.0, max(traded) / 100000) as turnover, least(100.0, 10000.0 / max(trades)) as sample from y join n on y.symbol = n.symbol group by y.symbol)
-select symbol, round(volatility, 3) as volatility, round(drawdown, 3) as drawdown, round(losses, 3) as losses, round(momentum, 2) as momentum, round(turnover, 3) as turnover, round(sample, 3) as sample,
-    round(.2 * volatility + .25 * drawdown + .2 * losses + .1 * momentum + .15 * turnover + .1 * sample, 2) as overall from a"""),
+    operator("risk_radar", "bars trades interactions documents", "X1 six dimensions from 0 to 100 of each symbol, their weighted mean, its level, the worst dimension and whether one is above 80", f"""
+with p as (select symbol, ts, seq, close, volume, high, low, close / lag(close) {S} - 1 as r, case when seq > 0 then greatest(high - low, abs(high - lag(close) {S}), abs(low - lag(close) {S})) / close end as tr, row_number() over (partition by symbol order by ts desc) as k from bars),
+m as (select ts, avg(r) as rb from p where r is not null group by ts),
+a as (select p.symbol, regr_slope(r, rb) as beta, corr(r, rb) as corr_b, stddev_samp(r) * sqrt(252.0) as vol, avg(case when k <= 14 then tr end) as atr, avg(volume) as volume, avg((high - low) / close) as spread from p join m on p.ts = m.ts where r is not null group by p.symbol having count(*) >= 20),
+t as (select max(symbol) as top from bars), n as (select max(ts) as as_of from interactions), ev as (select event_id % top + 1 as symbol, min(DAYS(as_of, ts)) as days from interactions cross join t cross join n group by event_id % top + 1),
+h as (select symbol, symbol % 11 as sector, sum(shares * price) as value from trades where side = 'buy' group by symbol), s as (select sector, sum(value) as value, count(*) as positions from h group by sector), w as (select sum(value) as value, sum(positions) as positions from s),
+c as (select h.symbol, h.value / w.value as position, s.value / w.value as sector, w.positions from h join s on h.sector = s.sector cross join w),
+news as (select doc_id % top + 1 as symbol, count(*) as articles, stddev_pop((n_chars % 100) / 100.0) as moves, avg((n_chars % 100) / 100.0) as sure from documents cross join t group by doc_id % top + 1),
+d as (select a.symbol,
+    .5 * greatest(0.0, least(100.0, (beta - .5) / 1.5 * 100)) + .5 * abs(corr_b) * 100 as market,
+    .6 * greatest(0.0, least(100.0, (vol - .10) / .50 * 100)) + .4 * greatest(0.0, least(100.0, (atr - .005) / .045 * 100)) as volatility,
+    .5 * greatest(0.0, least(100.0, (7 - ln(greatest(volume, 1.0)) / ln(10.0)) / 2 * 100)) + .5 * greatest(0.0, least(100.0, (spread - .0001) / .01 * 100)) as liquidity,
+    20.0 + case when days <= 3 then 40 when days <= 7 then 25 when days <= 14 then 10 else 0 end as event,
+    .4 * greatest(0.0, least(100.0, (coalesce(position, 0.0) - .02) / .23 * 100)) + .3 * greatest(0.0, least(100.0, (coalesce(sector, 0.0) - .10) / .40 * 100)) + .3 * least(100.0, greatest(20 - coalesce(positions, 0), 0) / 15.0 * 100) as concentration,
+    .4 * least(100.0, 100 * coalesce(moves, 0.0)) + .4 * 100 * (1 - coalesce(sure, 0.0)) + .2 * least(100.0, greatest(50 - coalesce(articles, 0), 0) / 45.0 * 100) as sentiment
+    from a left join ev on a.symbol = ev.symbol left join c on a.symbol = c.symbol left join news on a.symbol = news.symbol),
+o as (select symbol, round(market, 4) as market, round(volatility, 4) as volatility, round(liquidity, 4) as liquidity, round(event, 4) as event, round(concentration, 4) as concentration, round(sentiment, 4) as sentiment,
+    round(.20 * market + .25 * volatility + .10 * liquidity + .15 * event + .15 * concentration + .15 * sentiment, 4) as overall from d)
+select *, case when overall < 25 then 'low' when overall < 45 then 'moderate' when overall < 65 then 'elevated' when overall < 80 then 'high' else 'critical' end as level,
+    case greatest(market, volatility, liquidity, event, concentration, sentiment) when market then 'market' when volatility then 'volatility' when liquidity then 'liquidity' when event then 'event' when concentration then 'concentration' else 'sentiment' end as worst,
+    greatest(market, volatility, liquidity, event, concentration, sentiment) > 80 as alert from o"""),
     operator("position_sizes", "bars", "X2, E14 shares at 2 % risk of 100,000 over a stop of two mean ranges, at most a tenth of the capital", f"""
 with x as (select symbol, ts, seq, close, case when seq > 0 then greatest(high - low, abs(high - lag(close) {S}), abs(low - lag(close) {S})) end as tr, row_number() over (partition by symbol order by ts desc) as k from bars),
 y as (select symbol, avg(case when k <= 14 then tr end) as tr, max(case when k = 1 then close end) as close from x group by symbol)
@@ -147,7 +162,8 @@ s as (select symbol, least(shares, wanted - ahead) as sold, mark, price, days fr
 select symbol, round(sum(sold), 4) as sold, round(sum(sold * (mark - price)), 3) as gain, round(sum(case when mark > price then sold * (mark - price) * {RATES} else 0.0 end), 3) as tax from s group by symbol"""),
     operator("wash_windows", "trades", "X10 windows of 30 days about each symbol's losses in the last year, the day from which buying is safe and whether one is open at the end", f"""
 with n as (select max(ts) as as_of from trades), l as (select symbol, ts, pnl, as_of from trades cross join n where side = 'sell' and pnl < 0 and DAYS(as_of, ts) <= 365),
-b as (select distinct symbol, ts from trades where side = 'buy'), h as (select l.symbol, l.ts from l join b on l.symbol = b.symbol and abs(DAYS(b.ts, l.ts)) <= 30 group by l.symbol, l.ts)
+near as (select -1 as o union all select 0 union all select 1), b as (select distinct symbol, ts, floor(DAYS(ts, '1970-01-01') / 31.0) as bucket from trades where side = 'buy'),
+d as (select distinct symbol, ts, floor(DAYS(ts, '1970-01-01') / 31.0) + o as bucket from l cross join near), h as (select d.symbol, d.ts from d join b on d.symbol = b.symbol and d.bucket = b.bucket and abs(DAYS(b.ts, d.ts)) <= 30 group by d.symbol, d.ts)
 select l.symbol, cast(count(*) as bigint) as windows, round(sum(pnl), 1) as losses, cast(count(h.ts) as bigint) as triggered, min(DAYS(as_of, l.ts)) as days_since_last, min(DAYS(as_of, l.ts)) <= 30 as is_open, greatest(31 - min(DAYS(as_of, l.ts)), 0) as safe_in from l left join h on l.symbol = h.symbol and l.ts = h.ts group by l.symbol"""),
     operator("harvest", "trades", "X11 open lots with a loss of 100 and 5 % or more, what a sale saves in tax, with a priority: the top 50", f"""
 with {OPEN}, x as (select lots.symbol, k, shares * (price - mark) as loss, 1 - mark / price as share, DAYS(as_of, ts) as days from lots join now on lots.symbol = now.symbol)

@@ -14,7 +14,7 @@ with x as (select symbol, ts, close, lag(close) {S} as before from bars)
 select symbol, ts, round(close / before - 1, 7) as simple, round(ln(close / before), 7) as log_return from x where before is not null"""),
     operator("z_score", "bars", "A1 mean, deviation, z-score (0 without spread) and outlier flag of closes", f"""
 with x as (select symbol, ts, close, avg(close) {ALL} as m, stddev_samp(close) {ALL} as sd from bars)
-select symbol, ts, round(case when sd > 0.0000001 then (close - m) / sd else 0.0 end, 5) as z, coalesce(abs(close - m) > 2.000001 * sd, false) as outlier from x"""),
+select symbol, ts, round(case when sd > 0.0000001 then (close - m) / sd else 0.0 end, 5) as z, coalesce(round(abs(close - m) - 2 * sd, 9) > 0, false) as outlier from x"""),
     operator("percentile_rank", "bars", "A2 percentile rank, ties counting half", """
 select symbol, ts, round((rank() over (partition by symbol order by volume) - 1 + 0.5 * count(*) over (partition by symbol, volume))
     / count(*) over (partition by symbol), 6) as percentile from bars"""),

@@ -108,14 +108,14 @@ with {X}, w as (select symbol, date_trunc('week', ts) as week, max(high) as high
 v as (select symbol, week, high, low, row_number() over (partition by symbol order by week desc) as k, count(*) {ALL} as weeks from w),
 slope as (select symbol, 'week' as grain, regr_slope(high, cast(-k as double)) as up, regr_slope(low, cast(-k as double)) as down, avg(high - low) as span from v where k <= 20 and weeks >= 20 group by symbol
     union all select symbol, 'day' as grain, regr_slope(high, cast(-k as double)) as up, regr_slope(low, cast(-k as double)) as down, avg(high - low) as span from x where k <= 20 and n >= 20 group by symbol),
-t as (select symbol, grain, case when up > .1001 * span and down > .1001 * span then 1 when up < -.1001 * span and down < -.1001 * span then -1 else 0 end as trend from slope),
+t as (select symbol, grain, case when round((up + down) / 2 - .1 * span, 9) > 0 then 1 when round((up + down) / 2 + .1 * span, 9) < 0 then -1 else 0 end as trend from slope),
 b as (select symbol, max(case when grain = 'week' then trend end) as weekly, max(case when grain = 'day' then trend end) as daily from t group by symbol)
 select symbol, weekly, daily, case when weekly = 0 or daily = 0 then 'open' when weekly = daily then 'confirmed' else 'conflict' end as confluence from b where weekly is not null"""),
-    operator("trend_strength", "indicators", "T32 mean of ADX over 50, alignment of the averages of 20 and 50 closes, and rising structure", f"""
+    operator("trend_strength", "indicators", "T32 mean of ADX over 50, alignment of the averages of 20 and 50 closes (1 up, 0 down, else half), and structure (1 rising, 0 falling, else left out)", f"""
 with {X}, y as (select symbol, ts, k, n, close, adx, avg(close) {last(20)} as m20, avg(close) {last(50)} as m50, max(high) {last(20)} as top, max(high) over (partition by symbol order by ts rows between 39 preceding and 20 preceding) as top1,
-    min(low) {last(20)} as bottom, min(low) over (partition by symbol order by ts rows between 39 preceding and 20 preceding) as bottom1 from x)
-select symbol, round(adx, 5) as adx, round((least(adx / 50, 1.0) + case when close > m20 and m20 > m50 or close < m20 and m20 < m50 then 1.0 when close > m20 or m20 > m50 then .5 else 0.0 end
-    + case when top > top1 and bottom > bottom1 or top < top1 and bottom < bottom1 then 1.0 else 0.0 end) / 3, 6) as strength from y where k = 1 and n >= 50"""),
+    min(low) {last(20)} as bottom, min(low) over (partition by symbol order by ts rows between 39 preceding and 20 preceding) as bottom1 from x),
+z as (select *, case when close > m20 and m20 > m50 then 1.0 when close < m20 and m20 < m50 then 0.0 else .5 end as alignment, case when top > top1 and bottom > bottom1 then 1.0 when top < top1 and bottom < bottom1 then 0.0 end as structure from y where k = 1 and n >= 50)
+select symbol, round(adx, 5) as adx, alignment, structure, round((least(adx / 50, 1.0) + alignment + coalesce(structure, 0.0)) / case when structure is null then 2 else 3 end, 6) as strength from z"""),
     operator("level_signals", "indicators", "T33 signals of RSI and stochastic ranks, MACD crosses, bands, trend, support and resistance at the last bar", LEVEL_TEXT + """
 select symbol, name, weight, bullish from hits"""),
     operator("signal_score", "indicators", "T31 signals to a score from -100 to 100, its label and confidence", LEVEL_TEXT + f""",
@@ -140,7 +140,7 @@ select symbol, obv, round(mean, 4) as mean, case when obv > mean and close < c20
 with x as (select symbol, volume, first_value(volume) over (partition by symbol order by ts desc) as latest from bars),
 y as (select symbol, max(latest) as latest, {rank_of("volume", "latest")} as p, (max(latest) - avg(volume)) / nullif(stddev_samp(volume), 0) as z from x group by symbol having count(*) >= 10)
 select symbol, latest, round(p, 6) as percentile, round(case when p between .4 and .6 then 0.0 when p > .6 then (p - .6) / .4 * 100 else (p - .4) / .4 * 100 end, 5) as score,
-    case when abs(coalesce(z, 0.0)) > 2.5 then 4 when abs(coalesce(z, 0.0)) > 2 then 3 when abs(coalesce(z, 0.0)) > 1 then 2 else 1 end as weight from y"""),
+    case when abs(coalesce(z, 0.0)) > 2.5 then 4 when abs(coalesce(z, 0.0)) > 1.5 then 3 when abs(coalesce(z, 0.0)) > 1 then 2 else 1 end as weight from y"""),
     operator("label_scores", "bars", "A5 a score of each symbol's last change as a label, and the label's score", f"""
 with x as (select symbol, round(1000 * (close / lag(close) {S} - 1), 6) as score, row_number() over (partition by symbol order by ts desc) as k from bars), y as (select symbol, score, {label("score")} as label from x where k = 1 and score is not null)
 select symbol, round(score, 4) as score, label, case label {" ".join(f"when '{name}' then {value}" for name, value in LABELS)} else -100 end as label_score from y"""),
@@ -151,8 +151,8 @@ e as (select symbol, case when spread > .1 then 'volatile' when m20 > .05 or m20
 w as (select *, case regime when 'trending' then .35 when 'volatile' then .20 else .30 end as a, case regime when 'trending' then .20 when 'volatile' then .30 else .30 end as b,
     case regime when 'trending' then .25 when 'volatile' then .35 else .25 end as c, case regime when 'trending' then .20 when 'volatile' then .15 else .15 end as d from e),
 s as (select symbol, regime, round((a * technical + b * fundamental + c * quant + d * sentiment) / (a + b + c + d), 6) as score, greatest(technical, fundamental, quant, sentiment) - least(technical, fundamental, quant, sentiment) as spread,
-    greatest(case when technical > 5 then 1 else 0 end + case when fundamental > 5 then 1 else 0 end + case when quant > 5 then 1 else 0 end + case when sentiment > 5 then 1 else 0 end,
-        case when technical < -5 then 1 else 0 end + case when fundamental < -5 then 1 else 0 end + case when quant < -5 then 1 else 0 end + case when sentiment < -5 then 1 else 0 end) as agree from w),
+    greatest(case when technical > 20 then 1 else 0 end + case when fundamental > 20 then 1 else 0 end + case when quant > 20 then 1 else 0 end + case when sentiment > 20 then 1 else 0 end,
+        case when technical < -20 then 1 else 0 end + case when fundamental < -20 then 1 else 0 end + case when quant < -20 then 1 else 0 end + case when sentiment < -20 then 1 else 0 end) as agree from w),
 f as (select *, greatest(.05, round(.9 - .30 * spread / 200, 6)) as confidence from s)
 select symbol, regime, cast(case when score >= 0 then floor(score) else ceil(score) end as integer) as score, {label("score")} as label, agree, round(confidence, 5) as confidence,
     case when agree >= 3 and confidence > .65 then 'high' when agree >= 2 and confidence > .5 then 'moderate' else 'low' end as conviction from f"""),

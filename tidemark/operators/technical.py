@@ -51,12 +51,12 @@ select symbol, ts, tenkan as tenkan, kijun as kijun, lag((tenkan + kijun) / 2, {
     lag(case when seq >= {long - 1} then wide end, {middle - 1}) {S} as span_b, lead(close, {middle}) {S} as chikou from x""")
 
 
-def trend_slopes(n: int = 20, share: float = 0.1001) -> Operator:
+def trend_slopes(n: int = 20, share: float = 0.1) -> Operator:
     """T21 regression trend of n bars beyond a share of their mean range."""
-    return operator("trend_slopes", "bars", "T21 regression slopes of highs and lows over 20 bars against their mean range", f"""
+    return operator("trend_slopes", "bars", "T21 the mean of the regression slopes of highs and lows over 20 bars against a tenth of their mean range", f"""
 with x as (select symbol, ts, seq, regr_slope(high, cast(seq as double)) {last(n)} as up, regr_slope(low, cast(seq as double)) {last(n)} as down, avg(high - low) {last(n)} as span from bars)
 select symbol, ts, round(up, 5) as high_slope, round(down, 5) as low_slope,
-    case when up > {share} * span and down > {share} * span then 'up' when up < -{share} * span and down < -{share} * span then 'down' else 'sideways' end as trend
+    case when round((up + down) / 2 - {share} * span, 9) > 0 then 'up' when round((up + down) / 2 + {share} * span, 9) < 0 then 'down' else 'sideways' end as trend
 from x where seq >= {n - 1}""")
 
 

@@ -62,7 +62,7 @@ with x as (select doc_id, lower(coalesce(text, '')) as t from documents), c as (
     contains(t, 'insider') or contains(t, 'director') as insider, contains(t, 'dividend') as dividend, contains(t, 'earnings') or contains(t, 'eps') as earnings from x)
 select doc_id, forward, risk, case when forward > risk then 'raised' when forward < risk then 'lowered' else 'kept' end as guidance, insider, dividend, earnings from c"""),
     operator("labelled_news", "documents bars", "S3 news with the change over five bars from the first bar at or after its day; null without enough bars", """
-with c as (select symbol, min(ts) as first_ts from bars group by symbol), n as (select doc_id, doc_id % 100 + 1 as symbol, doc_id % 400 as day from documents), d as (select n.doc_id, n.symbol, n.day, c.first_ts from n join c on n.symbol = c.symbol),
+with c as (select symbol, min(ts) as first_ts from bars group by symbol), t as (select max(symbol) as top from bars), n as (select doc_id, doc_id % top + 1 as symbol, doc_id % 400 as day from documents cross join t), d as (select n.doc_id, n.symbol, n.day, c.first_ts from n join c on n.symbol = c.symbol),
 b as (select symbol, ts, DAYS(ts, first_day) as day, close, close5 from (select bars.symbol, ts, close, lead(close, 5) over (partition by bars.symbol order by ts) as close5, min(ts) over (partition by bars.symbol) as first_day from bars) z),
 u as (select symbol, day, 0 as is_bar, doc_id, cast(null as double) as change from d union all select symbol, day, 1 as is_bar, cast(null as bigint) as doc_id, 100 * (close5 / close - 1) as change from b),
 g as (select *, sum(is_bar) over (partition by symbol order by day desc, is_bar desc rows between unbounded preceding and current row) as bar from u),

@@ -102,12 +102,12 @@ TABLES = {"bars": ["lineitem"], "trades": ["lineitem"], "statements": ["orders",
 
 
 def bars(lineitem: DataFrame) -> DataFrame:
-    """Daily bars as above, by aggregates: rows are dealt by symbol once, and days, places in the series and all the
-    windows of a symbol follow without another shuffle."""
+    """Daily bars as above, by aggregates: ticks are summed up to days where they are read, and only days are dealt by symbol, once for all
+    windows of a symbol."""
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
     price = F.col("l_extendedprice") / F.col("l_quantity")
     ticks = lineitem.select(F.col("l_suppkey").alias("symbol"), F.col("l_shipdate").alias("ts"), price.alias("price"), F.col("l_quantity").alias("volume"), order.alias("o"))
-    days = ticks.repartition("symbol").groupBy("symbol", "ts").agg(
+    days = ticks.groupBy("symbol", "ts").agg(
         F.min_by("price", "o").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "o").alias("close"), F.sum("volume").alias("volume")
     )
     return days.withColumn("seq", (F.row_number().over(Window.partitionBy("symbol").orderBy("ts")) - 1).cast("int"))
