@@ -12,8 +12,8 @@ whole; in what stays, text of low importance is cut where it stands by itself. P
 
 The tree cannot judge a host with few pages, so branches whose tag or name states their role (menus,
 footers, forms, adverts and so on) are cut everywhere. A name is a whole class, id or role, or a compound of such
-names and of words that only place them. A branch cut by its name stays if the page's marked article is in it, or
-all the text that is left. The tree also judges inside the branch that a page marks as its article, but never takes
+names and of words that only place them. A branch cut by its name stays if the page's marked article is in it and
+is most of the text; a page of furniture alone has no main text. The tree also judges inside the branch that a page marks as its article, but never takes
 half of it or more: a copied page keeps its text.
 """
 
@@ -49,7 +49,9 @@ TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
     re.S,
 )
-NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute after another, each with its whole value, so that no word of a value is taken for a name.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s"'>]+)))?|["'][^"']*["']?""")
+NAMING = frozenset(("class", "id", "role", "hidden", "aria-hidden"))
 SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/$""")
 END_OF_RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW}
 
@@ -69,8 +71,11 @@ def _furniture(tag: str, attrs: str, inside_main: bool) -> tuple[int, str]:
         return FIRM, ""
     first, cut = "", 0
     if "=" in attrs or "hidden" in attrs:
-        for name, *values in NAMED.findall(attrs):
-            value, name = "".join(values).lower(), name.lower()
+        for name, *values in ATTRIBUTE.findall(attrs):
+            name = name.lower()
+            if name not in NAMING:
+                continue
+            value = "".join(values).lower()
             if name == "class":
                 first = value.split()[0] if value.split() else ""
             if name == "hidden" or name == "aria-hidden" and value == "true":
@@ -252,7 +257,7 @@ def main_text(page: str | None, text: frozenset[str] | set[str] = frozenset(), b
         article = [x for x in blocks if x[3]]
         if size(article) > size(kept):
             kept = article
-    kept = kept or blocks or every
+    kept = kept or [x for x in every if not x[2]]
     if any(x[3] for x in kept):
         kept = [x for x in kept if x[3]]
     return "\n".join(x[1] for x in kept)
