@@ -268,3 +268,35 @@ def test_reduced_words_are_looked_up_by_every_neighbour():
     for k, w in enumerate(ws):
         found = np.concatenate([keys[of == k] for of, keys in spelling.neighbourhoods(pa.array(ws))])
         assert all(key[v] in found for v in ws if v == w or one_edit(v, w))
+
+
+# identity and attributes
+
+
+def test_attributes_are_read_one_by_one():
+    from tidemark.llm.html_text import main_text
+
+    text = "<p>Real article text here.</p>"
+    for attrs in ('title="not hidden text"', 'data-x="see id=menu now"', "alt='a class=footer' id=a", "data-tip=\"is hidden now\" class='body'", 'title="a > b" x', "title='role=\"menu\"'"):
+        assert main_text(f"<div {attrs}>{text}</div>") == "Real article text here.", attrs
+        assert main_text(f"<article>{text}<div {attrs}><p>More.</p></div></article>") == "Real article text here.\nMore.", attrs
+    for attrs in ('class="footer"', "x=1 id=menu", "hidden", 'hidden=""', "aria-hidden=true", 'data-a="b" role="navigation"'):
+        assert main_text(f"<div>{text}</div><div {attrs}><p>Cut</p></div>") == "Real article text here.", attrs
+    assert main_text('<div class="footer"><p>Copyright only</p></div>') == ""
+
+
+def test_texts_that_meet_in_one_hash_are_kept_apart(spark):
+    from tidemark.llm import simhash
+
+    docs = spark.createDataFrame([(i, f"word{i} alone{i} here{i} with{i} five{i} more{i}") for i in range(40)] + [(50, "word3 alone3 here3 with3 five3 more3")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs, bits=3).collect()}
+    assert got == {i: i for i in range(40)} | {50: 3}
+
+
+def test_mixed_tells_rows_apart_by_all_their_columns(spark):
+    from tidemark.llm import mixing
+
+    rows = [(i, "one two three", "s", x) for i in range(30) for x in (None, "", "c1", '"')]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, other string")
+    got = mixing.mixed(docs).groupBy("doc_id", "other").count().collect()
+    assert len(got) == 120 and sum(r["count"] for r in got) == pytest.approx(180, abs=1)

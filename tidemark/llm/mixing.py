@@ -107,7 +107,8 @@ def mixed(docs: DataFrame, share: float = SHARE, most: int = MOST) -> DataFrame:
     interchangeable, so one of them stands for what they are given together. Texts without words are not taken.
     Null sources and doc_ids, very long texts, ties and clashing names: as in mix(). An empty table stays empty.
     """
-    row = F.xxhash64(*docs.columns)
+    # 256 bits tell rows apart; fields that are null are left out of the object, others are quoted
+    row = F.unhex(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(docs.columns)])), 256))
     name, copies, block = (fresh(docs, c) for c in ("mix_key", "copies", "block"))
     n = _placed(docs, row, share, most).where("size > 0").withColumn("n", F.col("epochs") * F.col("same") + F.ceil(F.col("over") / F.col("size")))
     n = n.groupBy(F.col("row").alias(name)).agg(F.sum("n").alias(copies), (F.sum("same") > 1).alias(block)).where(F.col(copies) > 0)

@@ -18,14 +18,14 @@ them with a probability of 3e-6. Every link, of either kind, is verified on the
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructType
 
 from .common import fresh, save
 from .components import components
@@ -93,19 +93,24 @@ def bands_of(of_text: np.ndarray) -> list[int]:
     return key.view(np.int64).tolist()
 
 
-@F.arrow_udf(StructType().add("node", LongType()).add("fp", LongType()).add("size", IntegerType()).add("bands", ArrayType(LongType())))
-def sketch(text: pa.Array) -> pa.Array:
-    """What the pipeline's stage needs of a text; node is a hash of its words."""
+@F.arrow_udf(StructType().add("node", LongType()).add("words", BinaryType()).add("fp", LongType()).add("size", IntegerType()).add("bands", ArrayType(LongType())))
+def sketch(text: pa.Array, seed: pa.Array, bits: pa.Array) -> pa.Array:
+    """What the pipeline's stage needs of a text; node is a hash of its words, of so many bits, and words a 256-bit
+    digest that tells whether a node is one text's."""
+    import hashlib
+
     import xxhash
 
+    seed, bits = (a[0].as_py() if len(a) else 0 for a in (seed, bits))
     rows = []
     for t in text:
         t = t.as_py() or ""
         blocks = list(shingles(t, STAGE_WORDS))
         of_text = np.unique(np.concatenate([np.zeros(0, np.uint64), *blocks]))
-        node = xxhash.xxh64_intdigest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split()), 7)
-        rows.append({"node": node - (1 << 63), "fp": _folded(blocks), "size": len(of_text), "bands": bands_of(of_text)})
-    return pa.array(rows, pa.struct([("node", pa.int64()), ("fp", pa.int64()), ("size", pa.int32()), ("bands", pa.list_(pa.int64()))]))
+        words = b" ".join(t.encode("utf-8", "surrogatepass").lower().split())
+        node = xxhash.xxh64_intdigest(words, seed) >> (64 - bits)
+        rows.append({"node": node - (1 << 63), "words": hashlib.sha256(words).digest(), "fp": _folded(blocks), "size": len(of_text), "bands": bands_of(of_text)})
+    return pa.array(rows, pa.struct([("node", pa.int64()), ("words", pa.binary()), ("fp", pa.int64()), ("size", pa.int32()), ("bands", pa.list_(pa.int64()))]))
 
 
 @F.arrow_udf(DoubleType())
@@ -280,18 +285,29 @@ def _crowd_links(mixed: DataFrame, marks: DataFrame) -> DataFrame:
     return x.groupBy(*by).cogroup(y.groupBy(*by)).applyInPandas(_compare, "u long, v long")
 
 
-def similar_documents(docs: DataFrame, dense: int = 32) -> DataFrame:
+def _sketches(docs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Stored sketches and one of each node. If two texts of different words meet in a node, all are hashed anew with
+    another seed and whole 64 bits, so that a node is one text's."""
+    for seed in count(7):
+        named = docs.where("doc_id is not null").select("doc_id", "text", sketch(F.col("text"), F.lit(seed), F.lit(bits)).alias("s"))
+        marks = save(named.select("doc_id", "text", "s.*"), "sketches")
+        prints = save(marks.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "size", "bands")), (F.min("words") != F.max("words")).alias("shared")), "prints")
+        if prints.where("shared").isEmpty():
+            return marks, prints.drop("shared")
+        bits = 64
+
+
+def similar_documents(docs: DataFrame, dense: int = 32, bits: int = 64) -> DataFrame:
     """(doc_id, component_id) of every row with a doc_id: documents that are linked, directly or through
     others, by a Jaccard similarity of SIMILAR or more get the smallest doc_id among them.
 
     Crowds are drawn together first: every member of a crowded key is compared with one member picked for that
     key. Only what is outside the key's largest cluster then meets all the members, in blocks, so that no link
     is lost and a group of copies is not expanded into its pairs. Null and empty texts are alike. Very long texts
-    are read whole. Repeated rows each keep a row. Empty table: an empty result. Other columns are ignored.
+    are read whole. Repeated rows each keep a row. Empty table: an empty result. Other columns are ignored. bits: of the
+    hash by which equal texts are found first; texts that meet in one are told apart.
     """
-    named = docs.where("doc_id is not null").select("doc_id", "text", sketch(F.col("text")).alias("s"))
-    marks = save(named.select("doc_id", "text", "s.*"), "sketches")
-    prints = save(marks.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "size", "bands"))), "prints")
+    marks, prints = _sketches(docs, bits)
     keys = save(prints.select("node", "size", F.explode("bands").alias("key")), "bands")
     shared = keys.groupBy("key").agg(F.count("*").alias("c"), F.min_by("node", F.xxhash64("node", "key")).alias("hub")).where("c > 1")
     hits = save(keys.join(shared.hint("merge"), "key"), "band_hits")
