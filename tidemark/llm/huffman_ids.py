@@ -267,11 +267,13 @@ def write(tokens: DataFrame, path: str, limit: int = LIMIT, block_ids: int = BLO
     files.withColumn("first", F.coalesce(F.sum("ids").over(before), F.lit(0))).coalesce(1).write.parquet(f"{path}/files")
 
 
-def read(spark, path: str, step: int = STEP) -> DataFrame:
-    """(file, block, nth, doc_id, before, ids): every document of a folder; before: ids of earlier documents in its block."""
+def _documents(spark, path: str, schema: str, columns_of, step: int = STEP) -> DataFrame:
+    """A row per document of a folder: file, block and what columns_of(doc_ids, before, ids) gives for a block's documents;
+    ids: all ids of the block, those of a document between its `before` and the next."""
     blocks = spark.read.parquet(f"{path}/blocks")
     codes = spark.read.parquet(f"{path}/codes").toArrow()  # a row per id of the vocabulary
     shared = spark.sparkContext.broadcast((codes.column("id").to_numpy(), codes.column("length").to_numpy()))
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def documents(batches: Iterator[pa.RecordBatch]):
         code = Code(*shared.value)
@@ -279,16 +281,35 @@ def read(spark, path: str, step: int = STEP) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 file, block, docs, n, checkpoints, bits = (batch.column(c)[k] for c in range(6))
-                n, docs = n.values.to_numpy(), docs.values
+                n = n.values.to_numpy()
                 ends = np.r_[0, np.cumsum(n, dtype=np.int64)]
                 ids = unpack(bits.as_py(), checkpoints.values.to_numpy(), int(ends[-1]), code, tables, step)
                 same = [pa.array(np.full(len(n), v.as_py(), np.int32)) for v in (file, block)]
-                values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
-                yield pa.record_batch([*same, pa.array(np.arange(len(n), dtype=np.int32)), docs, pa.array(ends[:-1]), values], ["file", "block", "nth", "doc_id", "before", "ids"])
+                yield pa.record_batch([*same, *columns_of(docs.values, ends, ids)], names)
             pa.default_memory_pool().release_unused()
 
-    own = blocks.select("file", "block", "doc_ids", "n_ids", "checkpoints", "bits")
-    return own.mapInArrow(documents, "file int, block int, nth int, doc_id long, before long, ids array<int>")
+    return blocks.select("file", "block", "doc_ids", "n_ids", "checkpoints", "bits").mapInArrow(documents, schema)
+
+
+def read(spark, path: str, step: int = STEP) -> DataFrame:
+    """(file, block, doc_id, before, ids): every document of a folder; before: ids of earlier documents in its block."""
+
+    def columns(docs, ends, ids):
+        return docs, pa.array(ends[:-1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+
+    return _documents(spark, path, "file int, block int, doc_id long, before long, ids array<int>", columns, step)
+
+
+def digests(spark, path: str, step: int = STEP) -> DataFrame:
+    """(file, block, doc_id, before, n_tokens, ids_crc32): the ids of every document as their number and crc32, told where
+    they are decoded."""
+
+    def columns(docs, ends, ids):
+        data = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+        crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        return docs, pa.array(ends[:-1]), pa.array(np.diff(ends)), pa.array(crc, pa.int64())
+
+    return _documents(spark, path, "file int, block int, doc_id long, before long, n_tokens long, ids_crc32 long", columns, step)
 
 
 def block_starts(spark, path: str) -> DataFrame:
@@ -314,12 +335,5 @@ def token_files(docs: DataFrame, tokenizer: str | None = None, path: str | None
     write(save(token_ids(docs, tokenizer or default_tokenizer()), "ids"), path)
     starts = save(block_starts(spark, path), "starts")
 
-    def digest(batches):
-        for batch in batches:
-            flat, ends = batch.column(5).flatten().to_numpy(), batch.column(5).offsets.to_numpy()
-            ends = ends - ends[0]
-            crc = [zlib.crc32(flat[a:b].astype("<u4").tobytes()) for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(3), batch.column(4), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64())], ["file", "block", "doc_id", "before", "n_tokens", "ids_crc32"])
-
-    rows = read(spark, path).mapInArrow(digest, "file int, block int, doc_id long, before long, n_tokens long, ids_crc32 long")
+    rows = digests(spark, path)
     return rows.join(starts.hint("merge"), ["file", "block"]).select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
