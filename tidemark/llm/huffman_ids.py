@@ -1,6 +1,6 @@
 """Token ids in a compact binary file: canonical, length-limited Huffman codes of ids from global counts.
 
-Texts are encoded by a public tokenizer, each distinct word of a block of texts once. Ids are counted over the whole corpus;
+Texts are encoded by a public tokenizer, each distinct word once while a worker keeps it. Ids are counted over the whole corpus;
 the counts, one per id of the vocabulary, give code lengths of at most `LIMIT` bits by merging packages, and the
 lengths alone give the canonical codes. The documents, in ascending order of doc_id, are dealt out by ranges, and every
 range writes a file of blocks. A block can be decoded by itself: it holds whole documents, their numbers of ids, the
@@ -20,8 +20,9 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ STEP = 128
 BLOCK_IDS = 1 << 17
 #: Bytes of text that are encoded at once.
 BLOCK = 2_000_000
+#: Words whose ids a worker keeps.
+KEPT = 400_000
 SPACES = np.isin(np.arange(256), [9, 10, 13, 32])
 UPPER = (np.arange(256) >= 65) & (np.arange(256) <= 90)
 LETTERS = UPPER | (np.arange(256) >= 97) & (np.arange(256) <= 122)
@@ -57,8 +60,8 @@ class Encoder:
     """Ids of texts by a tokenizer that folds case, drops white space and parts letters from other characters.
 
     Texts are cut at ASCII white space and between ASCII letters and other ASCII characters, where no token and no
-    normalisation crosses, capitals before another ASCII character are folded first, and each distinct word of a
-    block is encoded once: a run of small letters, which such a tokenizer leaves together, by its model alone.
+    normalisation crosses, capitals before another ASCII character are folded first, and each distinct word is
+    encoded once while it is among the `KEPT` that a worker holds: a run of small letters, which such a tokenizer leaves together, by its model alone.
     """
 
     def __init__(self, path: str):
@@ -73,18 +76,27 @@ class Encoder:
         if normal is None or normal.normalize_str(probe.upper()) != probe or parts != [probe, probe, "!?", probe, "9"]:
             raise ValueError(f"{path} does not part words as assumed here")
         # what the pre-tokenizer makes of each small letter of Latin-1, for runs of which nothing else is to be done
+        self.known: dict[bytes, int] = {}
+        self.ids, self.first = array("i"), array("q", [0])
         self.written = str.maketrans({c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in SMALL})
 
-    def words(self, words: list[bytes]) -> list[list[int]]:
-        model = self.tokenizer.model
-        texts = [w.decode("utf-8", "replace") for w in words]
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """Where the words stand among those kept, after encoding those that are not; a full store starts anew."""
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > KEPT:
+            self.known, self.ids, self.first, new = {}, array("i"), array("q", [0]), words
+        model, texts = self.tokenizer.model, [w.decode("utf-8", "replace") for w in new]
         out = [[t.id for t in model.tokenize(w.translate(self.written))] if RUN(w) else None for w in texts]
         rest = [i for i, ids in enumerate(out) if ids is None]
         for k in range(0, len(rest), 2_000):
             part = rest[k : k + 2_000]
             for i, e in zip(part, self.tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False)):
                 out[i] = e.ids
-        return out
+        for w, ids in zip(new, out):
+            self.known[w] = len(self.known)
+            self.ids.extend(ids)
+            self.first.append(len(self.ids))
+        return np.fromiter((self.known[w] for w in words), np.int64, len(words))
 
     def texts(self, data: np.ndarray, ends: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the documents data[ends[i]:ends[i + 1]], each followed by `end`, and where each begins."""
@@ -100,41 +112,60 @@ class Encoder:
         fold = np.flatnonzero(UPPER[own])
         own[fold[np.r_[own, 0][fold + 1] < 128]] |= 32
         cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(own)]).dictionary_encode()
-        ids = self.words(cut.dictionary.to_pylist())
-        size = np.array([len(x) for x in ids], np.int64)
-        flat, of = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum())), cut.indices.to_numpy()
-        first = np.cumsum(size) - size
+        places, of = self.places(cut.dictionary.to_pylist()), cut.indices.to_numpy()
+        first = np.array(self.first)
+        size, first = np.diff(first)[places], first[places]
         n = size[of]
         so_far = np.r_[0, np.cumsum(n)]
-        out = flat[np.repeat(first[of] - so_far[:-1], n) + np.arange(so_far[-1])]
+        out = np.array(self.ids, np.int32)[np.repeat(first[of] - so_far[:-1], n) + np.arange(so_far[-1])]
         place = so_far[np.searchsorted(at, to[ends])]
         return np.insert(out, place[1:], end), place + np.arange(len(ends))
 
 
+@lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder; its words outlive a task."""
+    return Encoder(path)
+
+
+def width_of(path: str) -> int:
+    """Bytes in which an id of the tokenizer fits."""
+    return 2 if encoder_of(path).tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+
+
 def token_ids(docs: DataFrame, path: str, end: int = END) -> DataFrame:
-    """(doc_id, tie, ids): the ids of every whole text, `end` appended; tie, a hash of the text, orders rows of one doc_id."""
+    """(doc_id, tie, ids): the ids of every whole text, `end` appended, as little-endian numbers of width_of(path) bytes; tie, a
+    hash of the text, orders rows of one doc_id."""
+    width = width_of(path)
 
     def ids(batches):
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             data, offsets = encoded(batch.column(2))
             for i, j in slices(offsets, BLOCK):
                 values, place = encoder.texts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], end)
-                column = pa.ListArray.from_arrays(pa.array(place, pa.int32()), pa.array(values, pa.int32()))
+                column = pa.BinaryArray.from_buffers(pa.binary(), len(place) - 1, [None, pa.py_buffer((width * place).astype(np.int32)), pa.py_buffer(values.astype(f"<u{width}"))])
                 yield pa.record_batch([batch.column(0)[i:j], batch.column(1)[i:j], column], ["doc_id", "tie", "ids"])
             pa.default_memory_pool().release_unused()
 
     own = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
-    return own.mapInArrow(ids, "doc_id long, tie long, ids array<int>")
+    return own.mapInArrow(ids, "doc_id long, tie long, ids binary")
+
+
+def numbers(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a binary column without nulls, in a row, and where each value begins."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]] if len(column) and ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    return data.view(f"<u{width}"), (ends - ends[0]) // width if len(column) else np.zeros(1, np.int64)
 
 
-def counts_of(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def counts_of(tokens: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids and their counts in all documents; an entry per id of the vocabulary comes to the driver."""
 
     def count(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            n = np.bincount(batch.column(0).flatten().to_numpy(), minlength=len(total))
+            n = np.bincount(numbers(batch.column(0), width)[0], minlength=len(total))
             n[: len(total)] += total
             total = n
         held = np.flatnonzero(total)
@@ -217,7 +248,7 @@ def unpack(bits: bytes, checkpoints: np.ndarray, n: int, code: Code, tables, ste
     return out.ravel()[:n]
 
 
-def _blocks(code: Code, block_ids: int):
+def _blocks(code: Code, block_ids: int, width: int):
     """Rows (doc_id, ids) of a sorted partition to rows of `blocks`."""
     names = ["file", "block", "doc_ids", "n_ids", "checkpoints", "bits"]
     kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
@@ -231,8 +262,7 @@ def _blocks(code: Code, block_ids: int):
             return pa.record_batch([pa.array([v], k) for v, k in zip(values, kinds)], names)
 
         for batch in batches:
-            ids = batch.column(1)
-            flat, ends = ids.flatten().to_numpy(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
+            flat, ends = numbers(batch.column(1), width)
             for k, doc in enumerate(batch.column(0).to_pylist()):
                 own = flat[ends[k] : ends[k + 1]]
                 if waiting and waiting + len(own) > block_ids:
@@ -247,18 +277,18 @@ def _blocks(code: Code, block_ids: int):
     return run
 
 
-def write(tokens: DataFrame, path: str, limit: int = LIMIT, block_ids: int = BLOCK_IDS) -> None:
-    """Write (doc_id, tie, ids) in the format above to the folder `path`. tokens is read three times, so it is best a stored
+def write(tokens: DataFrame, path: str, width: int, limit: int = LIMIT, block_ids: int = BLOCK_IDS) -> None:
+    """Write (doc_id, tie, ids) in the format above to the folder `path`; ids: numbers of `width` bytes. tokens is read three times, so it is best a stored
     table. Rows of one doc_id stand in the order of tie; a range is never one key's, as the place of a row breaks ties."""
     spark = tokens.sparkSession
-    ids, n = counts_of(tokens)
+    ids, n = counts_of(tokens, width)
     lengths = code_lengths(n, limit)
     code = Code(ids, lengths)
     table = pa.table([pa.array(code.ids, pa.int32()), pa.array(code.lengths, pa.int32())], ["id", "length"])
     spark.createDataFrame(table, "id int, length int").coalesce(1).write.parquet(f"{path}/codes")
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("place")]
     rows = tokens.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
-    blocks = rows.mapInArrow(_blocks(code, block_ids), "file int, block int, doc_ids array<long>, n_ids array<int>, checkpoints array<long>, bits binary")
+    blocks = rows.mapInArrow(_blocks(code, block_ids, width), "file int, block int, doc_ids array<long>, n_ids array<int>, checkpoints array<long>, bits binary")
     # small row groups bound what a reader holds; coded bits do not shrink further
     blocks.write.option("compression", "none").option("parquet.block.size", 8 << 20).option("parquet.enable.dictionary", "false").parquet(f"{path}/blocks")
     of_file = F.aggregate("n_ids", F.lit(0).cast("long"), lambda a, x: a + x)
@@ -332,7 +362,8 @@ def token_files(docs: DataFrame, tokenizer: str | None = None, path: str | None
     """
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/token_files-{uuid.uuid4().hex}"
-    write(save(token_ids(docs, tokenizer or default_tokenizer()), "ids"), path)
+    tokenizer = tokenizer or default_tokenizer()
+    write(save(token_ids(docs, tokenizer), "ids"), path, width_of(tokenizer))
     starts = save(block_starts(spark, path), "starts")
 
     rows = digests(spark, path)
