@@ -27,6 +27,9 @@ QUICK = f"""q as (select symbol, ts, seq, close, volume, 100 * (close / avg(clos
 g as (select symbol, avg(case when close > before then close - before else 0.0 end) as up, avg(case when close < before then before - close else 0.0 end) as down from q where k <= 14 and before is not null group by symbol),
 quick as (select q.symbol, q.close, to20, to50, m5, activity, case when down > 0 then 100 - 100 / (1 + up / down) else 100.0 end as rsi from q join g on q.symbol = g.symbol where k = 1 and seq >= 50)"""
 
+#: Quick metrics of every symbol, as the frame of screens.
+QUICK_METRICS = operator("quick_metrics", "bars", "E5 quick metrics of each symbol's last bar", f"with {QUICK} select symbol, close, to20, to50, m5, activity, rsi from quick")
+
 OPERATORS = [
     operator("regime_features", "bars", "G2 regime features with momentum and convergence of the means of 10 and 50 bars, and the regime of the highest score", f"""
 with x as (select symbol, ts, seq, close, close / lag(close) {S} - 1 as r, close / lag(close, 20) {S} - 1 as m20, avg(close) {last(10)} as a10, avg(close) {last(50)} as a50, row_number() over (partition by symbol order by ts desc) as k from bars),
@@ -85,11 +88,22 @@ with {QUICK} select symbol, round(close, 5) as close, round(rsi, 4) as rsi, roun
 with {QUICK}, s as (select *, round(50 + greatest(-20.0, least(20.0, to20)) + greatest(-15.0, least(15.0, m5)) + case when activity > 1.5 then 10 else 0 end - abs(rsi - 50) / 5, 6) as score from quick)
 select symbol, concat(case when rsi < 30 then 'oversold ' else '' end, case when rsi > 70 then 'overbought ' else '' end, case when activity > 1.5 then 'active ' else '' end, case when to20 > 0 and to50 > 0 then 'uptrend ' else '' end, case when m5 > 5 then 'momentum ' else '' end) as tags, round(score, 3) as score,
     round(least(.95, .5 + abs(score - 50) / 100), 5) as confidence from s"""),
-    operator("relevance", "bars interactions", "E11 six weighted parts of relevance of symbols for the ten most active users: the five best of each, .3 or more", f"""
-with {QUICK}, u as (select user_id, count(*) as n, max(event_id) % 11 as liked from interactions group by user_id), a as (select * from u order by n desc, user_id limit 10),
-r as (select user_id, symbol, round(.30 * (1 / (1 + exp(-m5 / 10))) + .20 * least(activity / 2, 1.0) + .20 * case when symbol % 11 = liked then 1.0 else 0.0 end + .15 * (1 - abs(rsi - 50) / 50) + .10 * (1 / (1 + exp(-to20 / 10))) + .05 * (1 / (1 + exp(-to50 / 10))), 9) as relevance from quick cross join a),
-k as (select *, row_number() over (partition by user_id order by relevance desc, symbol) as place from r where relevance >= .3)
-select user_id, cast(place as integer) as place, symbol, round(relevance, 6) as relevance from k where place <= 5"""),
+    operator("relevance", "bars interactions", "E11 relevance from 0 to 100 of symbols for every user, by signal, confidence, affinity, sector, event and return: the five best of each, 30 or more. A user who knows k symbols meets these and the first k + 5 of all and of the liked sector, which hold the five best", f"""
+with {QUICK}, t as (select max(symbol) as top, max(ts) as as_of from (select max(symbol) as symbol, cast(null as timestamp) as ts from bars union all select cast(null as bigint) as symbol, max(ts) as ts from interactions) z),
+i as (select user_id, event_id % top + 1 as symbol, action, DAYS(as_of, ts) as days from interactions cross join t),
+ev as (select symbol, max(case action when 'purchase' then 100 when 'signup' then 50 else 25 end) as event from i where days <= 14 group by symbol),
+b as (select q.symbol, q.symbol % 11 as sector, round(.25 * case when abs(m5) > 10 then 100 when abs(m5) > 3 then 75 else 25 end + 20 * least(.95, .5 + abs(to20) / 100) + .10 * coalesce(event, 0) + .10 * least(100.0, 5 * abs(m5)), 6) as base from quick q left join ev on q.symbol = ev.symbol),
+w as (select user_id, symbol, sum(case action when 'purchase' then 5.0 when 'signup' then 3.0 when 'view' then 2.0 when 'click' then 1.0 else -2.0 end * power(.95, days)) as w from i where days <= 90 group by user_id, symbol),
+f as (select user_id, symbol, symbol % 11 as sector, w / greatest(max(abs(w)) over (partition by user_id), 1.0) as affinity from w),
+liking as (select user_id, sector, row_number() over (partition by user_id order by round(sum(affinity), 9) desc, sector) as place from f group by user_id, sector),
+u as (select user_id, sector as liked from liking where place = 1), five as (select 1 as place union all select 2 union all select 3 union all select 4 union all select 5),
+ranked as (select symbol, sector, row_number() over (order by base desc, symbol) as place, row_number() over (partition by sector order by base desc, symbol) as inside from b),
+wanted as (select user_id, place from u cross join five union all select user_id, 5 + row_number() over (partition by user_id order by symbol) as place from f),
+c as (select user_id, symbol from f union select wanted.user_id, ranked.symbol from wanted join ranked on wanted.place = ranked.place
+    union select wanted.user_id, ranked.symbol from wanted join u on wanted.user_id = u.user_id join ranked on ranked.sector = u.liked and ranked.inside = wanted.place),
+r as (select c.user_id, c.symbol, round(b.base + .20 * (coalesce(f.affinity, 0.0) + 1) * 50 + .15 * case when b.sector = u.liked then 100 else 50 end, 6) as relevance from c join u on c.user_id = u.user_id join b on c.symbol = b.symbol left join f on f.user_id = c.user_id and f.symbol = c.symbol),
+k as (select user_id, symbol, relevance, row_number() over (partition by user_id order by relevance desc, symbol) as place from r where relevance >= 30)
+select user_id, cast(place as integer) as place, symbol, round(relevance, 4) as relevance from k where place <= 5"""),
     operator("upcoming_events", "bars interactions", "E12 symbols near their 20-bar high with the nearest event of the next fourteen days", f"""
 with n as (select max(ts) as as_of from interactions), x as (select symbol, ts, close, max(high) {last(20)} as top, row_number() over (partition by symbol order by ts desc) as k from bars), c as (select symbol, close / top as near from x where k = 1 and close >= .9 * top),
 t as (select max(symbol) as top from bars), e as (select event_id % top + 1 as symbol, action as event, event_id, DAYS(as_of, ts) as days from interactions cross join n cross join t where DAYS(as_of, ts) between 0 and 14),

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import fitted, lots, recursive, scan
+from ..operators import filters, fitted, lots, market, recursive, scan
 from ..registry import query
+from ..sources import store
 from ..sources.views import VIEWS, view
 from ..streaming.bars import sliding_volume, tumbling_bars
 
@@ -120,6 +121,40 @@ def register() -> None:
         return out.withColumns({"ts": F.col("ts").cast("timestamp_ntz"), "deviation": F.round("deviation", 6)})
 
 
+    metrics = "round(close, 5) as close, round(rsi, 4) as rsi, round(to20, 4) as to20, round(to50, 4) as to50, round(m5, 4) as m5, round(activity, 5) as activity"
+    kept = {
+        "oversold": ("rsi < 30", "coalesce(rsi, 50) asc"), "overbought": ("rsi > 70", "coalesce(rsi, 50) desc"), "active": ("activity >= 1.2 and to20 between -20 and 20", "coalesce(activity, -999) desc"),
+        "steady": ("to20 between -5 and 5 and to50 between -10 and 10 and rsi >= 40 and rsi <= 60", "coalesce(m5, -999) desc"), "momentum": ("m5 > 5 and to20 > 0", "coalesce(m5, -999) desc"),
+    }
+
+    @query(
+        "preset_screens",
+        f"""with bars as ({VIEWS["bars"]}), {market.QUICK} """
+        + " union all ".join(f"(select '{n}' as preset, symbol, {metrics} from quick where {where} order by round({by.split(') ')[0]}), 6) {by.split(') ')[1]}, symbol limit 50)" for n, (where, by) in kept.items()),
+    )
+    def preset_screens(spark, sf_dir):
+        found = filters.presets(market.QUICK_METRICS(view(spark, sf_dir, "bars")))
+        digits = {"close": 5, "rsi": 4, "to20": 4, "to50": 4, "m5": 4, "activity": 5}
+        return found.select("preset", "symbol", *[F.round(c, n).alias(c) for c, n in digits.items()])
+
+    @query(
+        "stored_bars",
+        f"""with b as ({VIEWS["bars"]}) select symbol, ts, close, volume, case when ts < (select max(ts) from b) - interval '730' day then 'archive' else 'store' end as part from b""",
+    )
+    def stored_bars(spark, sf_dir):
+        """S2, S9, S14 a first load, a second that repeats and adds, the second again, then the archive; both tables after it."""
+        bars = view(spark, sf_dir, "bars").withColumn("year", F.year("ts")).select("year", "symbol", "ts", "close", "volume", "seq")
+        path, to, keys = store.scratch(spark, "bars"), store.scratch(spark, "archive"), ["year", "symbol", "ts"]
+        store.merge(bars.where("seq % 2 = 0").withColumn("close", F.col("close") + 1), path, keys, "year", ["seq"])
+        for _ in range(2):
+            store.merge(bars, path, keys, "year", ["seq"])
+        store.archive(spark, path, to, keys, "year", "ts", spark.read.parquet(path).agg(F.max("ts") - F.expr("interval 730 days")).first()[0])
+        rows = spark.read.parquet(path).select("symbol", "ts", "close", "volume", F.lit("store").alias("part"))
+        if store.exists(spark, to):
+            rows = rows.unionByName(spark.read.parquet(to).select("symbol", "ts", "close", "volume", F.lit("archive").alias("part")))
+        return rows
+
+
 def ticks(spark, sf_dir):
     """(symbol, ts, price, size): the events as a trade feed."""
     return view(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.lit(1.0).alias("size"))
