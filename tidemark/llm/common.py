@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import uuid
 
@@ -36,12 +37,21 @@ def save(df: DataFrame, label: str) -> DataFrame:
 
 
 def remove_saved(spark: SparkSession, since: int, keep: int = 0) -> None:
-    """Delete the folders saved after the first `since`, but for the last `keep` of them."""
+    """Delete the folders saved after the first `since`, but for the last `keep` of them, and free what the driver holds
+    of plans and broadcasts that are no longer used."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in SAVED[since : len(SAVED) - keep]:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
     del SAVED[since : len(SAVED) - keep]
+    free(spark)
+
+
+def free(spark: SparkSession) -> None:
+    """Free what the driver holds of plans, their compiled classes and broadcasts that are no longer used."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    spark._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import free, save
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -39,5 +39,6 @@ def components(edges: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
+    free(edges.sparkSession)  # many small plans lie behind
     leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return leaves.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

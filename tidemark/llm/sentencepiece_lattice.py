@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from . import pieces as P
-from .common import encoded, hashes, save, slices
+from .common import encoded, free, hashes, save, slices
 
 SPACE, LINE = 32, 10
 #: Bytes of text that are worked on at once.
@@ -277,6 +277,7 @@ def encode(docs: DataFrame, model: str | None = None, shared_bytes: int = SHARED
     rare = save(rows.mapInArrow(with_rare, StructType([doc_id, StructField("text", StringType())])), "rare")
     if not rare.isEmpty():
         told = told.union(_by_join(rare, words, shared, cut))
+    free(docs.sparkSession)
     return told.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
