@@ -43,10 +43,10 @@ select source, round(sum(n * abs(p - o)) / sum(n), 6) as ece, round(max(abs(p -
     operator("uncertainty", "predictions", "C5 uncertainty of each confidence bucket: the spread between sources and the mean of p (1 - p), with a 95 % interval", """
 with b as (select least(floor(confidence * 10), 9) as bucket, source, avg(cast(outcome as double)) as o, count(*) as n from predictions group by least(floor(confidence * 10), 9), source)
 select cast(bucket as integer) as bucket, round(coalesce(var_pop(o), 0.0), 7) as epistemic, round(sum(n * o * (1 - o)) / sum(n), 7) as aleatoric, round(greatest(0.0, sum(n * o) / sum(n) - 1.96 * sqrt(sum(n * o) / sum(n) * (1 - sum(n * o) / sum(n)) / sum(n))), 6) as low, round(least(1.0, sum(n * o) / sum(n) + 1.96 * sqrt(sum(n * o) / sum(n) * (1 - sum(n * o) / sum(n)) / sum(n))), 6) as high from b group by bucket"""),
-    operator("breaks", "bars", "C8 the strongest structural break in the mean of each symbol's returns: the split with the largest F over 10, ten bars from either end", f"""
+    operator("breaks", "bars", "C8 the strongest structural break in the mean of each symbol's returns: the split with the largest F over 10 that leaves ten bars before it and more behind", f"""
 with r as (select symbol, ts, close / lag(close) {S} - 1 as r from bars), x as (select symbol, ts, r, row_number() {S} as i, count(*) over (partition by symbol) as n, sum(r) {S} as a, sum(r * r) {S} as q, sum(r) over (partition by symbol) as ta, sum(r * r) over (partition by symbol) as tq from r where r is not null),
-f as (select symbol, ts, i, n, (tq - ta * ta / n) as whole, (q - a * a / i) + (tq - q - (ta - a) * (ta - a) / (n - i)) as parts from x where i >= 10 and n - i >= 10),
-k as (select *, (whole - parts) / (parts / (n - 2)) as f, row_number() over (partition by symbol order by round((whole - parts) / (parts / (n - 2)), 6) desc, i) as place from f where parts > 0)
+f as (select symbol, ts, i, n, (tq - ta * ta / n) as whole, (q - a * a / i) + (tq - q - (ta - a) * (ta - a) / (n - i)) as parts from x where i >= 10 and n - i > 10),
+k as (select *, (whole - parts) / 2 / (parts / (n - 4)) as f, row_number() over (partition by symbol order by round((whole - parts) / 2 / (parts / (n - 4)), 6) desc, i) as place from f where parts > 0)
 select symbol, cast(i as integer) as split, round(f, 4) as f_statistic, f > 10 as is_break from k where place = 1"""),
     operator("strategy_health", "deals", "C10 health of each strategy from its last 200 deals against all: score, status and alerts", """
 with k as (select strategy, pnl, row_number() over (partition by strategy order by exit_date desc, id desc, line desc, part desc, entry_price desc, shares desc) as k from deals), g as (select strategy, avg(case when k <= 200 and pnl > 0 then 1.0 when k <= 200 then 0.0 end) as now, avg(case when pnl > 0 then 1.0 else 0.0 end) as ever, avg(case when k <= 200 then pnl end) as mean_now, stddev_samp(pnl) as sd from k group by strategy),

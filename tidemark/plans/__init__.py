@@ -33,7 +33,8 @@ def load() -> None:
         for module in MODULES:
             for op in module.OPERATORS:
                 _put(op)
-        from . import extra
+        from . import extra, intake
 
         extra.register()
+        intake.register()
         _DONE.append("done")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.operator import doubles
-from ..operators import scan
+from ..operators import phrases, scan
 
 VIEWS = {
     "bars": """
@@ -83,6 +83,18 @@ VIEWS = {
     "words": """
         select doc_id, cast(unnest(range(len(w))) as integer) as pos, unnest(w) as word
         from (select doc_id, list_filter(regexp_split_to_array(lower(text), '[\\s,;.!?]+'), lambda x: x <> '') as w from documents) x""",
+    "lexicon": """
+        select word as phrase, case when good >= base + 0.1 then 'positive' when good <= base - 0.1 then 'negative' else 'negation' end as kind
+        from (select avg(cast(quality as double)) as base from labels where quality is not null) b, (select word, count(*) as n, avg(cast(quality as double)) as good
+            from (select distinct w.doc_id, word, quality from words w join labels on w.doc_id = labels.doc_id where quality is not null) x group by word) y
+        where n >= 5 and (good >= base + 0.1 or good <= base - 0.1 or length(word) <= 2)""",
+    "hits": "select w.doc_id, pos, phrase, kind from words w join lexicon on w.word = lexicon.phrase",
+    "contexts": """
+        select l.l_orderkey as id, l.l_suppkey as symbol, cast(l.l_shipdate as date) as day, case when l.l_tax < 0.08 then o.o_orderpriority end as tier, l.l_extendedprice * (l.l_discount - 0.05) as pnl,
+            case when o.o_orderstatus = 'P' then 'rejected' when l.l_returnflag = 'N' then null when l.l_extendedprice * (l.l_discount - 0.05) > 0 then 'win' else 'loss' end as outcome,
+            case when l.l_linenumber = 6 then null when l.l_linenumber = 7 then '["flag' when l.l_linenumber = 1 then '[]'
+                else concat('["flag ', l.l_returnflag, ' (', o.o_orderstatus, ')","status ', l.l_linestatus, '"]') end as signal_adjustments
+        from lineitem l join orders o on l.l_orderkey = o.o_orderkey""",
     "statements": """
         select n.n_nationkey as symbol, cast(year(o.o_orderdate) as integer) as fiscal_year, cast(quarter(o.o_orderdate) as integer) as fiscal_quarter,
             sum(o.o_totalprice) as revenue,
@@ -98,7 +110,7 @@ VIEWS = {
         from documents d join labels l on d.doc_id = l.doc_id""",
     "interactions": "select user_id, event_type as symbol, event_type as action, ts, value, event_id from events",
 }
-TABLES = {"bars": ["lineitem"], "trades": ["lineitem"], "statements": ["orders", "customer", "nation"], "predictions": ["documents", "labels"], "interactions": ["events"], "deals": ["lineitem", "orders"], "chain": ["part"], "insiders": ["customer"]}
+TABLES = {"bars": ["lineitem"], "trades": ["lineitem"], "statements": ["orders", "customer", "nation"], "predictions": ["documents", "labels"], "interactions": ["events"], "deals": ["lineitem", "orders"], "chain": ["part"], "insiders": ["customer"], "contexts": ["lineitem", "orders"]}
 
 
 def bars(lineitem: DataFrame) -> DataFrame:
@@ -113,16 +125,24 @@ def bars(lineitem: DataFrame) -> DataFrame:
     return days.withColumn("seq", (F.row_number().over(Window.partitionBy("symbol").orderBy("ts")) - 1).cast("int"))
 
 
-def words(documents: DataFrame) -> DataFrame:
-    """(doc_id, pos, word): the words of each text in lower case, split at white space and , ; . ! ?"""
-    every = F.filter(F.split(F.lower("text"), r"[\s,;.!?]+"), lambda w: w != "")
-    return documents.select("doc_id", F.posexplode(every).alias("pos", "word"))
+def lexicon(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """(phrase, kind): words that stand in five labelled documents or more, by their share of good ones beside that of all
+    (one row, sent to all); short words that are neither negate."""
+    rated = phrases.words(documents.join(labels.where("quality is not null").select("doc_id", "quality"), "doc_id").select("doc_id", "quality", "text"), "quality")
+    each = rated.select("doc_id", "word", "quality").distinct().groupBy("word").agg(F.count("*").alias("n"), F.avg("quality").alias("good"))
+    base = labels.agg(F.avg("quality").alias("base"))
+    kind = F.when(F.col("good") >= F.col("base") + 0.1, "positive").when(F.col("good") <= F.col("base") - 0.1, "negative").when(F.length("word") <= 2, "negation")
+    kept = each.where("n >= 5").crossJoin(base.hint("broadcast")).withColumn("kind", kind).where("kind is not null")
+    return kept.select(F.col("word").alias("phrase"), "kind")
 
 
 #: How Spark makes an input that its SQL does not express, or expresses with fewer shuffles: from which inputs, and how.
-MADE = {"bars": ("lineitem", bars), "indicators": ("bars", scan.indicators), "words": ("documents", words)}
+MADE = {
+    "bars": ("lineitem", bars), "indicators": ("bars", scan.indicators), "words": ("documents", phrases.words), "lexicon": ("documents labels", lexicon),
+    "hits": ("documents lexicon", phrases.hits),
+}
 #: Inputs that another input's text is over.
-UNDER = {"indicators": ["bars"]}
+UNDER = {"indicators": ["bars"], "lexicon": ["words"], "hits": ["words", "lexicon"]}
 
 
 def portable_views(names) -> dict[str, str]:
@@ -140,7 +160,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view, or a plain table of that name, over the Parquet files in sf_dir."""
     if name in MADE:
         of, f = MADE[name]
-        return f(view(spark, sf_dir, of))
+        return f(*(view(spark, sf_dir, n) for n in of.split()))
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = doubles(VIEWS[name])

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..sources import quarantine
+
 
 def tumbling_bars(ticks: DataFrame, grain: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """W1, S1 bars per symbol and window from (symbol, ts, price, size); stream or batch."""
@@ -41,12 +43,8 @@ def once(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
 
 
 def feed(lines: DataFrame, column: str = "value") -> DataFrame:
-    """S11 trades (T) and quotes (Q) of a live feed from lines of JSON; malformed lines and other kinds are left out."""
-    schema = "ev string, sym string, t long, p double, s double, bp double, ap double"
-    x = lines.select(F.from_json(F.col(column), schema, {"mode": "PERMISSIVE"}).alias("x")).select("x.*")
-    price = F.when(F.col("ev") == "T", F.col("p")).otherwise((F.col("bp") + F.col("ap")) / 2)
-    rows = x.where(F.col("ev").isin("T", "Q") & F.col("sym").isNotNull() & F.col("t").isNotNull())
-    return rows.select(F.col("ev").alias("kind"), F.col("sym").alias("symbol"), F.timestamp_millis("t").alias("ts"), price.alias("price"), F.coalesce("s", F.lit(0.0)).alias("size")).where("price > 0")
+    """S11 trades (T) and quotes (Q) of a live feed from lines of JSON; what quarantine.judge_feed refuses is left out."""
+    return quarantine.accepted(quarantine.judge_feed(lines, column)).select("kind", "symbol", "ts", "price", "size")
 
 
 def latest_quotes(quotes: DataFrame) -> DataFrame:
