@@ -32,8 +32,8 @@ def test_ensemble_by_hand(spark):
     got = {r.symbol: (r.engines, r.score, r.label, round(r.confidence, 9), r.conviction) for r in engines.ensemble(spark.createDataFrame(rows, OPINION)).collect()}
     assert got == {"a": (4, 41, "buy", 0.51, "HIGH"), "b": (2, 3, "neutral", 0.135, "LOW"), "c": (1, -30, "weak_sell", 0.05, "LOW")}
     assert engines.ensemble(spark.createDataFrame([], OPINION)).count() == 0
-    point = engines.ensemble(spark.createDataFrame([("a", DAY, "low_vol_bull", "technical", 100, 0.9), ("a", DAY, "low_vol_bull", "quantitative", -60, 0.7)], OPINION), engines.POINT_IN_TIME).first()
-    assert (point.score, point.label) == (36, "buy")
+    point = engines.point_in_time(spark.createDataFrame([("a", DAY, "low_vol_bull", "technical", 100, 0.9), ("a", DAY, "low_vol_bull", "quantitative", -60, 0.7)], OPINION)).first()
+    assert (point.score, point.label, round(point.confidence, 9)) == (36, "buy", 0.82)
 
 
 def test_ensemble_equals_a_loop(spark):

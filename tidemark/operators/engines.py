@@ -22,7 +22,6 @@ WEIGHTS = {
     "normal_sideways": {"technical": 20, "fundamental": 40, "quantitative": 15, "sentiment": 25},
     "unknown": {"technical": 20, "fundamental": 40, "quantitative": 15, "sentiment": 25},
 }
-#: Weights where only bars up to the day are known.
 POINT_IN_TIME = {"unknown": {"technical": 60, "quantitative": 40}}
 # fixed values: least score of each label; below the last one it is strong_sell
 LABELS = (("strong_buy", 70), ("buy", 30), ("weak_buy", 5), ("neutral", -5), ("weak_sell", -30), ("sell", -70))
@@ -44,9 +43,9 @@ def _weight(weights: dict[str, dict[str, int]]) -> Column:
     return table[F.concat(regime, F.lit("/"), F.col("engine"))]
 
 
-def ensemble(opinions: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, learned: str | None = None) -> DataFrame:
+def ensemble(opinions: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, learned: str | None = None, conflict: float = 0.30, least: float = 0.05) -> DataFrame:
     """E1, E2 (symbol, ts, regime, engines, score, label, confidence, conviction): the weighted mean score, cut towards zero, and the weighted sum of
-    confidences less 30 % of the scores' spread over 200 where one engine is at 30 or above and another at -30 or below, at least .05.
+    confidences less `conflict` of the scores' spread over 200 where one engine is at 30 or above and another at -30 or below, but `least`.
     `learned` names a column of shares from 0 to 1 that replace the weights where not null. Conviction is HIGH for three engines on
     one side of 20 with a mean confidence above .65, MODERATE for two above .5. Opinions without score or confidence, and of engines
     without a weight, take no part; a bar without any has no row. Of different regimes of one bar the greatest name counts."""
@@ -60,9 +59,14 @@ def ensemble(opinions: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS,
         F.max("_s").alias("high"), F.min("_s").alias("low"), F.avg("_c").alias("mean"), F.greatest(F.count_if(F.col("_s") >= 20), F.count_if(F.col("_s") <= -20)).alias("agree"),
     )
     score = F.when(F.col("w") > 0, (F.col("s") / F.nullif("w", F.lit(0))).cast("int")).otherwise(0)
-    penalty = F.when((F.col("high") >= 30) & (F.col("low") <= -30), (F.col("high") - F.col("low")) / 200 * 0.30).otherwise(0.0)
+    penalty = F.when((F.col("high") >= 30) & (F.col("low") <= -30), (F.col("high") - F.col("low")) / 200 * conflict).otherwise(0.0)
     tier = F.when((F.col("agree") >= 3) & (F.col("mean") > 0.65), "HIGH").when((F.col("agree") >= 2) & (F.col("mean") > 0.5), "MODERATE").otherwise("LOW")
-    return g.select("symbol", "ts", "regime", "engines", score.alias("score"), label(score).alias("label"), F.greatest(F.col("c") - penalty, F.lit(0.05)).alias("confidence"), tier.alias("conviction"))
+    return g.select("symbol", "ts", "regime", "engines", score.alias("score"), label(score).alias("label"), F.greatest(F.col("c") - penalty, F.lit(least)).alias("confidence"), tier.alias("conviction"))
+
+
+def point_in_time(opinions: DataFrame) -> DataFrame:
+    """E16 the ensemble of what bars up to the day tell: technical and quantitative opinions, 60 to 40, without a penalty for conflict."""
+    return ensemble(opinions, POINT_IN_TIME, conflict=0.0, least=0.0)
 
 
 def side(name: str | Column) -> Column:

@@ -33,8 +33,9 @@ def load() -> None:
         for module in MODULES:
             for op in module.OPERATORS:
                 _put(op)
-        from . import extra, intake
+        from . import extra, intake, vendors
 
         extra.register()
         intake.register()
+        vendors.register()
         _DONE.append("done")
