@@ -42,7 +42,8 @@ LABELS = [("strong_buy", 100), ("buy", 60), ("weak_buy", 30), ("neutral", 0), ("
 
 
 def label(score: str) -> str:
-    return f"case when {score} >= 70 then 'strong_buy' when {score} >= 30 then 'buy' when {score} >= 5 then 'weak_buy' when {score} > -5 then 'neutral' when {score} > -30 then 'weak_sell' when {score} > -70 then 'sell' else 'strong_sell' end"
+    """Of a score cut towards zero: -5 is neutral, and so is -5.9."""
+    return f"case when {score} >= 70 then 'strong_buy' when {score} >= 30 then 'buy' when {score} >= 5 then 'weak_buy' when {score} > -6 then 'neutral' when {score} > -31 then 'weak_sell' when {score} > -71 then 'sell' else 'strong_sell' end"
 
 
 #: T33 as rows of signals, one condition each on the last bar.
@@ -151,8 +152,8 @@ e as (select symbol, case when spread > .1 then 'volatile' when m20 > .05 or m20
 w as (select *, case regime when 'trending' then .35 when 'volatile' then .20 else .30 end as a, case regime when 'trending' then .20 when 'volatile' then .30 else .30 end as b,
     case regime when 'trending' then .25 when 'volatile' then .35 else .25 end as c, case regime when 'trending' then .20 when 'volatile' then .15 else .15 end as d from e),
 s as (select symbol, regime, round((a * technical + b * fundamental + c * quant + d * sentiment) / (a + b + c + d), 6) as score, greatest(technical, fundamental, quant, sentiment) - least(technical, fundamental, quant, sentiment) as spread,
-    greatest(case when technical > 20 then 1 else 0 end + case when fundamental > 20 then 1 else 0 end + case when quant > 20 then 1 else 0 end + case when sentiment > 20 then 1 else 0 end,
-        case when technical < -20 then 1 else 0 end + case when fundamental < -20 then 1 else 0 end + case when quant < -20 then 1 else 0 end + case when sentiment < -20 then 1 else 0 end) as agree from w),
+    greatest(case when technical >= 20 then 1 else 0 end + case when fundamental >= 20 then 1 else 0 end + case when quant >= 20 then 1 else 0 end + case when sentiment >= 20 then 1 else 0 end,
+        case when technical <= -20 then 1 else 0 end + case when fundamental <= -20 then 1 else 0 end + case when quant <= -20 then 1 else 0 end + case when sentiment <= -20 then 1 else 0 end) as agree from w),
 f as (select *, greatest(.05, round(.9 - .30 * spread / 200, 6)) as confidence from s)
 select symbol, regime, cast(case when score >= 0 then floor(score) else ceil(score) end as integer) as score, {label("score")} as label, agree, round(confidence, 5) as confidence,
     case when agree >= 3 and confidence > .65 then 'high' when agree >= 2 and confidence > .5 then 'moderate' else 'low' end as conviction from f"""),
