@@ -33,9 +33,10 @@ def load() -> None:
         for module in MODULES:
             for op in module.OPERATORS:
                 _put(op)
-        from . import extra, intake, vendors
+        from . import extra, intake, reviews, vendors
 
         extra.register()
         intake.register()
+        reviews.register()
         vendors.register()
         _DONE.append("done")

@@ -136,7 +136,7 @@ def register() -> None:
 
     @query(
         "vendor_options",
-        f"""with {_with('chain')} select symbol, 'c' || id as contract, kind, strike, date '2020-01-17' + cast(id % 30 as integer) as expiration, case when id % 9 = 0 then null else round(iv, 6) end as iv, oi, case when id % 8 = 0 then null else volume end as volume from chain""",
+        f"""with {_with('chain')} select symbol, 'c' || id as contract, kind, strike, cast(date '2020-01-17' + cast(id % 30 as integer) as varchar) as expiration, case when id % 9 = 0 then null else round(iv, 6) end as iv, oi, case when id % 8 = 0 then null else volume end as volume from chain""",
     )
     def vendor_options(spark, sf_dir):
         """S8 the chain as pages of at most 250 contracts a symbol, some without volatility or the day's part."""
@@ -144,4 +144,4 @@ def register() -> None:
             'day', if(id % 8 = 0, null, named_struct('volume', volume)))"""
         bodies = f"""select symbol, concat('{{{{"results":', to_json(collect_list({entry})), '}}}}') as body from {{c}} group by symbol, id div 250"""
         rows = _stored(spark, sf_dir, "options", bodies, "options", c=view(spark, sf_dir, "chain")).where("reason is null")
-        return rows.select("symbol", "contract", "kind", "strike", "expiration", F.round("iv", 6).alias("iv"), "oi", "volume")
+        return rows.select("symbol", "contract", "kind", "strike", F.col("expiration").cast("string").alias("expiration"), F.round("iv", 6).alias("iv"), "oi", "volume")
