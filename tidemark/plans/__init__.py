@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.operator import Operator
-from ..operators import desk, loads, market, options, performance, portfolio, risk, scan, signals, technical, text
+from ..operators import desk, loads, market, options, pairs, performance, portfolio, risk, scan, signals, technical, text
 from ..registry import query
 from ..sources.views import portable_views, view
 
@@ -16,6 +16,8 @@ SCANS = {
     "ema": (scan.ema, "ema", "true"), "rsi": (scan.rsi, "rsi", "true"), "macd": (scan.macd, "line signal histogram", "line is not null"), "atr": (scan.atr, "atr", "atr is not null"),
     "adx": (scan.adx, "plus_di minus_di adx", "plus_di is not null"), "keltner": (scan.keltner, "lower middle upper", "lower is not null"),
 }
+#: Operators that Spark runs in another form than their statement, over the same inputs.
+FORMS = {"correlations": pairs.correlations}
 
 
 def _put(op: Operator) -> None:
@@ -24,7 +26,7 @@ def _put(op: Operator) -> None:
         if op.name in SCANS:
             f, names, kept = SCANS[op.name]
             return f(view(spark, sf_dir, "bars")).where(kept).select("symbol", "ts", *[F.round(n, 6).alias(n) for n in names.split()])
-        return op(*(view(spark, sf_dir, n) for n in op.inputs))
+        return FORMS.get(op.name, op)(*(view(spark, sf_dir, n) for n in op.inputs))
 
 
 def load() -> None:
