@@ -113,16 +113,21 @@ VIEWS = {
 TABLES = {"bars": ["lineitem"], "trades": ["lineitem"], "statements": ["orders", "customer", "nation"], "predictions": ["documents", "labels"], "interactions": ["events"], "deals": ["lineitem", "orders"], "chain": ["part"], "insiders": ["customer"], "contexts": ["lineitem", "orders"]}
 
 
-def bars(lineitem: DataFrame) -> DataFrame:
+#: Line items for one part of the symbols: all windows of a task sort the bars of its part, several times over.
+PART_ROWS = 100_000
+
+
+def bars(lineitem: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """Daily bars as above, by aggregates: ticks are summed up to days where they are read, and only days are dealt by symbol, once for all
-    windows of a symbol."""
+    windows of a symbol. There are as many parts as the number of line items asks for, so that a task's part does not grow with the input."""
+    parts = max(1, -(-lineitem.count() // part_rows))
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
     price = F.col("l_extendedprice") / F.col("l_quantity")
     ticks = lineitem.select(F.col("l_suppkey").alias("symbol"), F.col("l_shipdate").alias("ts"), price.alias("price"), F.col("l_quantity").alias("volume"), order.alias("o"))
     days = ticks.groupBy("symbol", "ts").agg(
         F.min_by("price", "o").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "o").alias("close"), F.sum("volume").alias("volume")
     )
-    return days.withColumn("seq", (F.row_number().over(Window.partitionBy("symbol").orderBy("ts")) - 1).cast("int"))
+    return days.repartition(parts, "symbol").withColumn("seq", (F.row_number().over(Window.partitionBy("symbol").orderBy("ts")) - 1).cast("int"))
 
 
 def lexicon(documents: DataFrame, labels: DataFrame) -> DataFrame:
