@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from functools import lru_cache
 from itertools import accumulate
 
 import ahocorasick
@@ -21,6 +22,10 @@ SEPARATORS = " \t\n\x0b\f\r,;.!?"
 WORD = re.compile(rf"[^{SEPARATORS}]+")
 #: Stands between words when whole words are searched for: a separator, so no word holds it.
 BOUND = " "
+#: A phrase with a separator.
+LONG = r"[ \t\n\x0b\f\r,;.!?]"
+#: Distinct words whose occurrences a worker keeps.
+KEPT_WORDS = 1 << 17
 #: Bytes of a lexicon that are sent to every executor. One-word phrases of a larger one are joined instead.
 MOST_BYTES = 64 << 20
 #: Hits that a task hands over at a time.
@@ -121,14 +126,15 @@ def words(documents: DataFrame, *besides: str) -> DataFrame:
 
 
 def hits(documents: DataFrame, lexicon: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """(doc_id, pos, phrase, kind): whole words and phrases with the place of their first word. Beyond most_bytes one-word phrases
-    are found by a merge join on the words, and only the others are sent to the executors."""
-    lexicon = lexicon.where("phrase <> '' and kind is not null")
-    if _size(lexicon) <= most_bytes:
-        return whole(documents, lexicon).select("doc_id", F.col("word").alias("pos"), "phrase", "kind")
-    long = F.col("phrase").rlike(r"[\s,;.!?]")
-    one = lexicon.where(~long).select("phrase", "kind").distinct().hint("merge")
+    """(doc_id, pos, phrase, kind): whole words and phrases with the place of their first word. One-word phrases are joined with the words
+    where the texts are read, or beyond most_bytes by a merge join; only longer ones need the automaton."""
+    lexicon = lexicon.where("phrase <> '' and kind is not null").select("phrase", "kind").distinct()
+    long = F.col("phrase").rlike(LONG)
+    sizes = lexicon.agg(F.sum(F.octet_length("phrase") + F.octet_length("kind") + 16).alias("bytes"), F.count_if(long).alias("long")).first()
+    one = lexicon.where(~long).hint("broadcast" if (sizes.bytes or 0) <= most_bytes else "merge")
     joined = words(documents).withColumnRenamed("word", "phrase").join(one, "phrase").select("doc_id", "pos", "phrase", "kind")
+    if not sizes.long:
+        return joined
     return joined.unionByName(whole(documents, lexicon.where(long)).select("doc_id", F.col("word").alias("pos"), "phrase", "kind"))
 
 
@@ -152,10 +158,37 @@ def articles(news: DataFrame, lexicon: DataFrame) -> DataFrame:
     return news.select("id").join(scores.hint("merge"), "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def _in_words(texts: DataFrame, meanings: list[tuple[str, str, float]]) -> DataFrame:
+    """(doc_id, positive, negative): occurrences of phrases without separators. They lie within words, so a word's are counted once
+    while a worker keeps it."""
+    shared = texts.sparkSession.sparkContext.broadcast(meanings)
+    rows = texts.where("text is not null").select("doc_id", F.lower("text").alias("_text"))
+    schema = T.StructType(rows.schema.fields[:-1] + T._parse_datatype_string("positive bigint, negative bigint").fields)
+
+    def run(frames):
+        machine = _machine(shared.value, str)
+
+        @lru_cache(KEPT_WORDS)
+        def counts(word: str) -> tuple[int, int]:
+            kinds = [kind for _, kind, _, _, _, apart in _anywhere(machine, word) if apart]
+            return kinds.count("positive"), kinds.count("negative")
+
+        for frame in frames:
+            found = [[counts(w) for w in WORD.findall(t)] if machine else [] for t in frame["_text"]]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "positive": [sum(p for p, _ in f) for f in found], "negative": [sum(n for _, n in f) for f in found]})
+
+    return rows.mapInPandas(run, schema)
+
+
 def keyword_counts(texts: DataFrame, keywords: DataFrame) -> DataFrame:
     """N9 (doc_id, positive, negative, sentiment): occurrences of keywords, inside words too, and (p - n) / (p + n); 0 where there is
     none. The same phrase does not count across itself."""
-    found = find(texts, keywords).where("apart").groupBy("doc_id").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("positive", "negative")])
+    meanings, kinds = _meanings(keywords, MOST_BYTES), ("positive", "negative")
+    found = _in_words(texts.select("doc_id", "text"), [m for m in meanings if not re.search(LONG, m[0])])
+    if any(re.search(LONG, m[0]) for m in meanings):
+        long = find(texts, keywords.where(F.col("phrase").rlike(LONG))).where("apart")
+        found = found.unionByName(long.select("doc_id", *[(F.col("kind") == k).cast("bigint").alias(k) for k in kinds]))
+    found = found.groupBy("doc_id").agg(*[F.sum(k).alias(k) for k in kinds])
     n = F.col("positive") + F.col("negative")
     every = texts.select("doc_id").join(found.hint("merge"), "doc_id", "left").na.fill(0, ["positive", "negative"])
     return every.withColumn("sentiment", F.coalesce(F.try_divide(F.col("positive") - F.col("negative"), n), F.lit(0.0)))
