@@ -37,7 +37,7 @@ def test_equity_is_the_exact_sum(spark, parts):
     assert got == [away(100000 + math.fsum(pnl[: i + 3]), 3) for i in range(0, len(pnl), 3)]
 
 
-@pytest.mark.parametrize("name", ["drawdown_events"])
+@pytest.mark.parametrize("name", ["drawdown_events", "monthly_returns"])
 def test_rows_are_those_of_the_sql_with_signs_of_zero(spark, name):
     rng = random.Random(6)
     rows = [(s, DAY + dt.timedelta(days=31 * i + s), rng.choice([-0.25, 0.25, -0.125, 512.5, -300.75])) for s in range(9) for i in range(60)]

@@ -36,3 +36,11 @@ def drawdown_events(trades: DataFrame) -> DataFrame:
     islands = high.withColumn("island", F.count_if(F.col("equity") >= F.col("top")).over(by))
     events = islands.groupBy("symbol", "island").agg(F.min("ts").alias("peak"), F.max("ts").alias("last_ts"), F.max(1 - F.col("equity") / F.col("top")).alias("depth"), F.count("*").alias("bars"))
     return events.where(F.col("depth") > 0.000001).select("symbol", "peak", "last_ts", rounded(F.col("depth"), 6).alias("depth"), "bars")
+
+
+def monthly_returns(trades: DataFrame) -> DataFrame:
+    """R25, K4 return of each month from its last equity to the one before."""
+    months = daily_equity(trades).groupBy("symbol", F.date_trunc("month", "ts").alias("at")).agg(F.max_by("equity", "ts").alias("equity"))
+    before = F.lag("equity").over(Window.partitionBy("symbol").orderBy("at"))
+    change = F.col("equity") / F.coalesce(before, F.lit(START)) - 1
+    return months.select("symbol", (F.year("at") * 100 + F.month("at")).cast("int").alias("month"), rounded(change, 5).alias("month_return"))

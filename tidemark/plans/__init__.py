@@ -17,7 +17,7 @@ SCANS = {
     "adx": (scan.adx, "plus_di minus_di adx", "plus_di is not null"), "keltner": (scan.keltner, "lower middle upper", "lower is not null"),
 }
 #: Operators that Spark runs in another form than their statement, over the same inputs.
-FORMS = {"correlations": pairs.correlations, "substitutes": pairs.substitutes, "drawdown_events": equity.drawdown_events}
+FORMS = {"correlations": pairs.correlations, "substitutes": pairs.substitutes, "drawdown_events": equity.drawdown_events, "monthly_returns": equity.monthly_returns}
 
 
 def _put(op: Operator) -> None:
