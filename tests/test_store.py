@@ -37,6 +37,24 @@ def test_merge_keeps_the_latest_and_a_second_run_changes_nothing(spark, tmp_path
         store.merge(load, path, ["symbol", "ts"], "year", ["version"])
 
 
+def test_a_merge_shuffles_load_and_store_once(spark, tmp_path):
+    path = str(tmp_path / "s")
+    load = bars_of(spark, [("a", d, d, 1) for d in range(0, 1000, 50)])
+    store.merge(load, path, KEYS, "year", ["version"])
+    plan = store._judged(load, path, KEYS, ["version"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("few", [0, 64])
+def test_rows_without_a_partition_stay(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(store, "FEW_PARTS", few)
+    path = str(tmp_path / "s")
+    load = lambda *rows: spark.createDataFrame(rows, "year int, symbol string, ts int, close double, version int")
+    assert store.merge(load((None, "a", 1, 1.0, 1), (2020, "b", 1, 2.0, 1)), path, KEYS, "year", ["version"]) == store.Counts(2, 0, 0)
+    assert store.merge(load((None, "a", 2, 3.0, 1), (None, "a", 1, 1.0, 1)), path, KEYS, "year", ["version"]) == store.Counts(1, 0, 1)
+    assert sorted((r.symbol, r.ts, r.close) for r in spark.read.parquet(path).collect()) == [("a", 1, 1.0), ("a", 2, 3.0), ("b", 1, 2.0)]
+
+
 def test_archive_and_store_together_are_the_input(spark, tmp_path):
     path, to = str(tmp_path / "s"), str(tmp_path / "a")
     store.merge(bars_of(spark, [("a", d, d, 1) for d in range(0, 1000, 50)]), path, KEYS, "year", ["version"])

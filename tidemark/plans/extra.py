@@ -144,7 +144,9 @@ def register() -> None:
     def stored_bars(spark, sf_dir):
         """S2, S9, S14 a first load, a second that repeats and adds, the second again, then the archive; both tables after it."""
         bars = view(spark, sf_dir, "bars").withColumn("year", F.year("ts")).select("year", "symbol", "ts", "close", "volume", "seq")
-        path, to, keys = store.scratch(spark, "bars"), store.scratch(spark, "archive"), ["year", "symbol", "ts"]
+        path, to, made, keys = store.scratch(spark, "bars"), store.scratch(spark, "archive"), store.scratch(spark, "made"), ["year", "symbol", "ts"]
+        bars.write.parquet(made)  # every load reads them
+        bars = spark.read.schema(bars.schema).parquet(made)
         store.merge(bars.where("seq % 2 = 0").withColumn("close", F.col("close") + 1), path, keys, "year", ["seq"])
         for _ in range(2):
             store.merge(bars, path, keys, "year", ["seq"])

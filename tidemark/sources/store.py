@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Partitions that a list of them may name in a plan.
 MOST_PARTS = 100_000
+#: Up to so many partitions are written by all tasks, without a shuffle that would leave each to a single one.
+FEW_PARTS = 64
 
 
 @dataclass(frozen=True)
@@ -54,30 +56,49 @@ def _parts(rows: DataFrame, by: str) -> list:
     return found
 
 
+def _among(by: str, parts: list):
+    """Whether a row is of one of the partitions, null being one too."""
+    known = F.col(by).isin([p for p in parts if p is not None])
+    return (known | F.col(by).isNull()) if None in parts else known
+
+
+def _write(rows: DataFrame, path: str, by: str, parts: int) -> None:
+    """Replace the partitions of `by` that rows have; parts: how many these are."""
+    dealt = rows if parts <= FEW_PARTS else rows.repartition(by)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def _judged(rows: DataFrame, path: str, keys: list[str], order: list[str]) -> DataFrame:
+    """The latest row of every key of the load and of the store, with its _kind: inserted, updated, same, or kept where the load has none.
+    Both are shuffled once, together."""
+    rest = order + [c for c in rows.columns if c not in keys + order]
+    row = F.struct(*[F.col(c) for c in rest])
+    both = rows.select(*keys, row.alias("_new"))
+    none = F.lit(None).cast(both.schema["_new"].dataType)
+    both = both.withColumn("_old", none)
+    if exists(rows.sparkSession, path):
+        stored = rows.sparkSession.read.schema(rows.schema).parquet(path).select(rows.columns)
+        both = both.unionByName(stored.select(*keys, none.alias("_new"), row.alias("_old")))
+    met = both.repartition(*keys).groupBy(*keys).agg(F.max("_new").alias("_new"), F.max("_old").alias("_old"))
+    kind = F.when(F.col("_new").isNull(), "kept").when(F.col("_old").isNull(), "inserted").when(F.col("_old").eqNullSafe(F.col("_new")), "same").otherwise("updated")
+    best = met.select(*keys, F.coalesce("_new", "_old").alias("_best"), kind.alias("_kind"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"_best.{c}").alias(c) for c in rows.columns], "_kind")
+
+
 def merge(rows: DataFrame, path: str, keys: list[str], by: str, order: list[str]) -> Counts:
     """S2, S4, S9 put rows into the store at `path`: the latest row of a key wins over the others of the load and over the
     stored one. by: the partition column, one of the keys, so that a key never moves."""
     if by not in keys:
         raise ValueError(f"{by} must be one of the keys {keys}")
     spark = rows.sparkSession
-    load = latest(rows, keys, order)
-    if not exists(spark, path):
-        load.repartition(by).write.partitionBy(by).parquet(path)
-        return Counts(spark.read.parquet(path).count(), 0, 0)
-    stored = spark.read.schema(load.schema).parquet(path).select(load.columns)
-    rest = [c for c in load.columns if c not in keys]
-    old = stored.select(*keys, F.struct(*rest).alias("_old"))
-    match = load.withColumn("_new", F.struct(*rest)).join(old, keys, "left")
-    kind = F.when(F.col("_old").isNull(), "inserted").when(F.col("_old").eqNullSafe(F.col("_new")), "same").otherwise("updated")
     staged = f"{path}.load-{uuid.uuid4().hex}"
-    match.select(*load.columns, kind.alias("_kind")).write.parquet(staged)
-    judged = spark.read.parquet(staged)
+    judged = _judged(rows, path, keys, order)
+    judged.write.parquet(staged)
+    judged = spark.read.schema(judged.schema).parquet(staged)
     n = {r._kind: r["count"] for r in judged.groupBy("_kind").count().collect()}
-    new = judged.where("_kind <> 'same'").drop("_kind")
-    touched = _parts(new, by)
-    if touched:
-        kept = stored.where(F.col(by).isin(touched)).join(new.select(*keys), keys, "left_anti")
-        kept.unionByName(new).repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    touched = _parts(judged.where("_kind in ('inserted', 'updated')"), by)
+    if touched or not exists(spark, path):
+        _write(judged.where(_among(by, touched)).drop("_kind"), path, by, len(touched))
     fs, at = _folder(spark, staged)
     fs.delete(at, True)
     return Counts(n.get("inserted", 0), n.get("updated", 0), n.get("same", 0))
@@ -91,11 +112,15 @@ def archive(spark: SparkSession, path: str, to: str, keys: list[str], by: str, t
     touched = _parts(old, by)
     if not touched:
         return Counts(0, 0, 0)
-    done = merge(old, to, keys, by, [time])
+    if exists(spark, to):
+        done = merge(old, to, keys, by, [time])
+    else:  # a store has one row of a key, so there is nothing to choose from
+        _write(old, to, by, len(touched))
+        done = Counts(spark.read.parquet(to).count(), 0, 0)
     kept = stored.where(F.col(by).isin(touched) & (F.col(time) >= F.lit(cutoff)))
     staying = _parts(kept, by)
     if staying:
-        kept.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+        _write(kept, path, by, len(staying))
     for part in set(touched) - set(staying):
         fs, at = _folder(spark, f"{path}/{by}={part}")
         fs.delete(at, True)
