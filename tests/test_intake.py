@@ -170,3 +170,24 @@ def test_keywords_count_inside_words(spark):
     docs = spark.createDataFrame([(1, "Goodness: good bad"), (2, None), (3, "aaa")], "doc_id int, text string")
     got = {r.doc_id: (r.positive, r.negative, r.sentiment) for r in phrases.keyword_counts(docs, spark.createDataFrame([r for r in LEXICON if r[0] in ("good", "bad", "aa") and r[1] != "topic"], "phrase string, kind string")).collect()}
     assert got == {1: (2, 1, pytest.approx(1 / 3)), 2: (0, 0, 0.0), 3: (0, 1, -1.0)}
+
+def test_topics_of_odd_rows_are_those_of_the_statement(spark):
+
+    from tests.test_operators import OPS
+    from tidemark.plans import FORMS
+
+    rng, vocabulary = random.Random(8), ["alpha", "beta", "Gamma", "gamma", "no", "früh", "delta,", "echo!", "zeta", "eta."]
+    rows = [(i % 50 if i % 50 < 6 else i, rng.choice(["en", "de", None]), " ".join(rng.choices(vocabulary, k=rng.randint(0, 7)))) for i in range(200)]
+    rows += [(None, "en", "lonely words"), (900, "en", None), (901, "fr", "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    for some in (docs, docs.where("doc_id >= 6 or doc_id is null")):
+        got, want = FORMS["topics"](phrases.words(some), some), OPS["topics"](phrases.words(some), some)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.dtypes == want.dtypes
+
+
+def test_topics_shuffle_no_word_of_a_document(spark):
+    from tidemark.plans import FORMS
+
+    docs = spark.createDataFrame([(1, "en", "alpha beta alpha")], "doc_id bigint, lang string, text string")
+    plan = FORMS["topics"](phrases.words(docs), docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and "count(distinct" not in plan

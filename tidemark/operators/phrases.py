@@ -125,6 +125,33 @@ def words(documents: DataFrame, *besides: str) -> DataFrame:
     return documents.select("doc_id", *besides, F.posexplode(every).alias("pos", "word"))
 
 
+def _word_counts(documents: DataFrame) -> DataFrame:
+    """(lang, word, n, docs) of texts whose doc_id no other row has: a text tells by itself in which of its words it counts, so words
+    are summed up where the texts are read."""
+    every = documents.where("lang is not null").select("lang", F.filter(F.split(F.lower("text"), r"[\s,;.!?]+"), lambda w: F.length(w) >= 4).alias("_words"))
+    row = lambda n, docs: lambda w: F.struct(w.alias("word"), F.lit(n).alias("n"), F.lit(docs).alias("docs"))
+    counted = F.concat(F.transform("_words", row(1, 0)), F.transform(F.array_distinct("_words"), row(0, 1)))
+    return every.select("lang", F.inline(counted)).groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
+def topics(documents: DataFrame, most: int = 10) -> DataFrame:
+    """N11 (lang, place, word, n): the most frequent words of four letters or more of each language, without those of over half of its
+    documents. Rows that share a doc_id are one document, in each language they name."""
+    rows = documents.where("doc_id is not null").select("doc_id", "lang", "text")
+    shared = rows.groupBy("doc_id").agg(F.count("*").alias("_rows")).where("_rows > 1").select("doc_id")
+    if shared.isEmpty():
+        counts = _word_counts(rows)
+    else:
+        several = rows.join(shared.hint("merge"), "doc_id", "left_semi")
+        met = words(several).where(F.length("word") >= 4).hint("merge").join(several.select("doc_id", "lang"), "doc_id").where("lang is not null")
+        counts = _word_counts(rows.join(shared.hint("merge"), "doc_id", "left_anti")).unionByName(met.groupBy("lang", "word").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs")))
+        counts = counts.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    sizes = documents.groupBy("lang").agg(F.count("*").alias("_all"))  # a row for each language
+    kept = counts.join(F.broadcast(sizes), "lang").where(F.col("docs") * 2 <= F.col("_all"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    return kept.withColumn("place", place).where(F.col("place") <= most).select("lang", "place", "word", "n")
+
+
 def hits(documents: DataFrame, lexicon: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(doc_id, pos, phrase, kind): whole words and phrases with the place of their first word. One-word phrases are joined with the words
     where the texts are read, or beyond most_bytes by a merge join; only longer ones need the automaton."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.operator import Operator
-from ..operators import desk, equity, loads, market, options, pairs, performance, portfolio, risk, scan, signals, technical, text
+from ..operators import desk, equity, loads, market, options, pairs, performance, phrases, portfolio, risk, scan, signals, technical, text
 from ..registry import query
 from ..sources.views import portable_views, view
 
@@ -17,7 +17,10 @@ SCANS = {
     "adx": (scan.adx, "plus_di minus_di adx", "plus_di is not null"), "keltner": (scan.keltner, "lower middle upper", "lower is not null"),
 }
 #: Operators that Spark runs in another form than their statement, over the same inputs.
-FORMS = {"correlations": pairs.correlations, "substitutes": pairs.substitutes, "drawdown_events": equity.drawdown_events, "monthly_returns": equity.monthly_returns}
+FORMS = {
+    "correlations": pairs.correlations, "substitutes": pairs.substitutes, "drawdown_events": equity.drawdown_events, "monthly_returns": equity.monthly_returns,
+    "topics": lambda words, documents: phrases.topics(documents),
+}
 
 
 def _put(op: Operator) -> None:
