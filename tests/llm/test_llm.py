@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, exact_topk, html_text, mixing, pieces, quality, registry, sentencepiece_lattice, sharding, simhash, token_counts, toxicity
+from tidemark.llm import ann, common, exact_topk, html_text, mixing, pieces, quality, registry, sentencepiece_lattice, sharding, simhash, token_counts, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -445,6 +445,17 @@ def test_mix_meets_targets(spark, odd, none):
     assert copies.to_dict() == {d: n for d, n in zip(got["doc_id"], expect) if n}
 
 
+def test_the_mix_joins_once_where_no_row_repeats(spark):
+    docs = docs_of(spark, [f"text {i}" for i in range(200)])
+    plan = lambda d: mixing.mixed(d)._jdf.queryExecution().executedPlan().toString()
+    assert plan(docs).count("SortMergeJoin") == 1 and "Union" not in plan(docs)
+    assert "Union" in plan(docs.union(docs.limit(1)))
+
+
+def test_the_driver_gives_back_native_memory(spark):
+    assert "native heap" in common.trim(spark).lower()  # the JVM of the tests has the command
+
+
 # 9 sharding
 
 

@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +34,7 @@ def save(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     SAVED.append(path)
+    trim(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -52,6 +54,20 @@ def free(spark: SparkSession) -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()
     spark._jvm.System.gc()
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> str | None:
+    """Give back what malloc keeps of the native memory that the driver's JVM has freed, as `jcmd PID System.trim_native_heap`
+    does: compiling the code of many plans leaves some 150 MB. What the JVM says of it; None where it has no such command."""
+    jvm = spark._jvm
+    try:
+        call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods() if m.getName() == "invoke")
+        given = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        return call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:
+        return None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

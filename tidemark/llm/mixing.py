@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, save
+from .common import WORD, free, fresh, save
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -112,10 +112,16 @@ def mixed(docs: DataFrame, share: float = SHARE, most: int = MOST) -> DataFrame:
     name, copies, block = (fresh(docs, c) for c in ("mix_key", "copies", "block"))
     n = _placed(docs, row, share, most).where("size > 0").withColumn("n", F.col("epochs") * F.col("same") + F.ceil(F.col("over") / F.col("size")))
     n = n.groupBy(F.col("row").alias(name)).agg(F.sum("n").alias(copies), (F.sum("same") > 1).alias(block)).where(F.col(copies) > 0)
-    keyed = docs.withColumn(name, row).join(n.hint("merge"), name)
-    once = keyed.where(~F.col(block)).unionByName(keyed.where(F.col(block)).dropDuplicates([name]))
-    blocks = once.withColumn(block, F.explode(F.sequence(F.lit(0), F.floor((F.col(copies) - 1) / COPIES).cast("int"))))
-    many = F.col(copies) > COPIES
-    spread = blocks.where(~many).unionByName(blocks.where(many).repartition(name, block))
+    # written, so that the join's plan is small, and it has the branches for repeated rows and many copies only where there are such
+    n = save(n, "taken")
+    repeated, most_copies = n.agg(F.max(block), F.max(copies)).first()
+    free(docs.sparkSession)
+    once = docs.withColumn(name, row).join(n.hint("merge"), name)
+    if repeated:
+        once = once.where(~F.col(block)).unionByName(once.where(F.col(block)).dropDuplicates([name]))
+    spread = once.withColumn(block, F.explode(F.sequence(F.lit(0), F.floor((F.col(copies) - 1) / COPIES).cast("int"))))
+    if most_copies and most_copies > COPIES:
+        many = F.col(copies) > COPIES
+        spread = spread.where(~many).unionByName(spread.where(many).repartition(name, block))
     own = F.least(F.lit(COPIES), F.col(copies) - F.col(block) * COPIES).cast("int")
     return spread.withColumn(copies, F.explode(F.array_repeat(F.lit(1), own))).select(docs.columns)
