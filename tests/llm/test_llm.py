@@ -292,6 +292,17 @@ def test_encoding_equals_viterbi_and_decodes_to_the_text(spark, odd, none):
         assert f(odd).count() == len(ODD) + 2 and f(none).count() == 0
 
 
+def test_texts_are_decoded_where_they_are_encoded(spark, odd, none):
+    plan = registry.op10_sentencepiece(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan  # no second worker takes batches of ids
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 8 = 0").select("doc_id", "text").union(docs_of(spark, ODD).select(F.col("doc_id") + 9000, "text"))
+    text, want = {r.doc_id: r.text or "" for r in docs.collect()}, {r.doc_id: r.ids for r in sentencepiece_lattice.encode(docs).collect()}
+    for shared in (sentencepiece_lattice.SHARED_BYTES, 60_000, 0):
+        got = sentencepiece_lattice.encode(docs, shared_bytes=shared, decoded=True).collect()
+        assert {r.doc_id: r.text for r in got} == text and {r.doc_id: r.ids for r in got} == want and all(r.n_tokens == len(r.ids) for r in got)
+    assert sentencepiece_lattice.encode(odd, decoded=True).count() == len(ODD) + 2 and sentencepiece_lattice.encode(none, decoded=True).count() == 0
+
+
 def test_long_texts_without_a_space(spark):
     rng = random.Random(8)
     letters = "".join(rng.choice("etaoin") for _ in range(200_000))

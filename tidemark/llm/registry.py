@@ -46,8 +46,7 @@ def op9_sharding(spark, sf_dir):
 
 def op10_sentencepiece(spark, sf_dir):
     """Token ids of every document, and a digest of the text that they decode to."""
-    ids = sentencepiece_lattice.encode(table(spark, sf_dir, "documents"))
-    back = sentencepiece_lattice.decode(ids)
+    back = sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), decoded=True)
     return back.select("doc_id", "n_tokens", "ids", F.crc32("text").alias("decoded_crc32"), F.char_length("text").cast("long").alias("decoded_chars"))
 
 

@@ -225,10 +225,12 @@ class Dictionary:
         return pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(out), mask=pa.array(~known))
 
 
-def encode(docs: DataFrame, model: str | None = None, shared_bytes: int = SHARED_BYTES) -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None, shared_bytes: int = SHARED_BYTES, decoded: bool = False) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids (array of int) of the whole text.
 
-    shared_bytes: most bytes of the broadcast part of the dictionary. Null and empty texts have no tokens. Very
+    shared_bytes: most bytes of the broadcast part of the dictionary. decoded: also `text`, decoded from the ids
+    by the worker that has just put them together, a block at a time: Spark would pass them on to `decode` in batches
+    of up to 10,000 whole documents or 64 MB, which its own memory and another worker's both hold. Null and empty texts have no tokens. Very
     long texts and words are encoded whole; a word without a cut takes memory in proportion to its length in one
     task. Null doc_ids and repeated rows each keep their row. Ties of scores go to the earliest start. Empty
     table: an empty result. Other columns are ignored, whatever their names.
@@ -262,6 +264,7 @@ def encode(docs: DataFrame, model: str | None = None, shared_bytes: int = SHARED
 
     def look_up(batches):
         known = Dictionary(shared)
+        spelled = speller(shared_spelling.value) if decoded else None
         for batch in batches:
             for i, j, found, first in _words(batch.column(1), cut):
                 coded = found.dictionary_encode()
@@ -269,16 +272,20 @@ def encode(docs: DataFrame, model: str | None = None, shared_bytes: int = SHARED
                 which = has_rare(ids.is_null().to_numpy(zero_copy_only=False)[coded.indices.to_numpy()], first)
                 taken = ids.take(coded.indices)
                 whole = pa.ListArray.from_arrays(pa.array(taken.offsets.to_numpy()[first]), taken.values)
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(~which)) for c in (batch.column(0)[i:j], whole)], ["doc_id", "ids"])
+                doc, whole = (c.filter(pa.array(~which)) for c in (batch.column(0)[i:j], whole))
+                yield pa.record_batch({"doc_id": doc, "ids": whole} | ({"text": spelled(whole)} if decoded else {}))
 
     rows, doc_id = docs.select("doc_id", "text"), docs.schema["doc_id"]
-    told = rows.mapInArrow(look_up, StructType([doc_id, StructField("ids", ArrayType(IntegerType()))]))
+    shared_spelling = docs.sparkSession.sparkContext.broadcast(spelling(model)) if decoded else None
+    text = [StructField("text", StringType())] * decoded
+    told = rows.mapInArrow(look_up, StructType([doc_id, StructField("ids", ArrayType(IntegerType())), *text]))
     # nothing is stored but the texts with rare words; a document is looked up twice instead
     rare = save(rows.mapInArrow(with_rare, StructType([doc_id, StructField("text", StringType())])), "rare")
     if not rare.isEmpty():
-        told = told.union(_by_join(rare, words, shared, cut))
+        joined = _by_join(rare, words, shared, cut)
+        told = told.union(decode(joined, model) if decoded else joined)
     free(docs.sparkSession)
-    return told.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return told.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), *told.columns[1:])
 
 
 def _by_join(docs: DataFrame, words: DataFrame, shared: list, cut: np.ndarray) -> DataFrame:
@@ -314,33 +321,47 @@ def _by_join(docs: DataFrame, words: DataFrame, shared: list, cut: np.ndarray) -
     return rows.join(ids.hint("merge"), "row", "left").select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
 
+def spelling(model: str) -> dict[int, bytes]:
+    """The bytes that each id stands for."""
+    pieces, of_byte, _ = P.load(model)
+    return {i: p.encode("utf-8", "surrogatepass") for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(of_byte)}
+
+
+def speller(of_id: dict[int, bytes]):
+    """A function from lists of ids to the texts that they spell. Null ids: null. Unknown ids: an error."""
+    size = np.zeros(max(of_id) + 1, np.int64)
+    for i, b in of_id.items():
+        size[i] = len(b)
+    start = np.r_[0, np.cumsum(size)]
+    letters = np.frombuffer(b"".join(of_id.get(i, b"") for i in range(len(size))), np.uint8)
+
+    def text(ids: pa.ListArray) -> pa.Array:
+        out = [pa.array([], pa.string())]
+        offsets = ids.offsets.to_numpy().astype(np.int64)
+        for i, j in slices(offsets, BLOCK // 16):
+            own = ids.values.to_numpy()[offsets[i] : offsets[j]] if offsets[j] > offsets[i] else np.zeros(0, np.int32)
+            n = size[own]
+            if (n == 0).any():
+                raise ValueError("an id that the vocabulary does not have")
+            ends = np.r_[0, np.cumsum(n)]
+            data = letters[np.arange(ends[-1]) - np.repeat(ends[:-1] - start[own], n)]
+            at = ends[offsets[i : j + 1] - offsets[i]].astype(np.int32)
+            null = ids[i:j].is_null().to_numpy(zero_copy_only=False)
+            valid = pa.py_buffer(np.packbits(~null, bitorder="little"))
+            out.append(pa.StringArray.from_buffers(j - i, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data)), valid))
+        return pa.concat_arrays(out)
+
+    return text
+
+
 def decode(tokens: DataFrame, model: str | None = None, column: str = "ids") -> DataFrame:
     """tokens with the column `text` that its ids spell. Null ids: null. Unknown ids: an error."""
-    pieces, of_byte, _ = P.load(model or P.default_model())
-    spell = {i: p.encode("utf-8", "surrogatepass") for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(of_byte)}
-    shared = tokens.sparkSession.sparkContext.broadcast(spell)
+    shared = tokens.sparkSession.sparkContext.broadcast(spelling(model or P.default_model()))
 
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        size = np.zeros(max(shared.value) + 1, np.int64)
-        for i, b in shared.value.items():
-            size[i] = len(b)
-        start = np.r_[0, np.cumsum(size)]
-        spelling = np.frombuffer(b"".join(shared.value.get(i, b"") for i in range(len(size))), np.uint8)
+        spelled = speller(shared.value)
         for ids in batches:
-            out = [pa.array([], pa.string())]
-            offsets = ids.offsets.to_numpy().astype(np.int64)
-            for i, j in slices(offsets, BLOCK // 16):
-                own = ids.values.to_numpy()[offsets[i] : offsets[j]] if offsets[j] > offsets[i] else np.zeros(0, np.int32)
-                n = size[own]
-                if (n == 0).any():
-                    raise ValueError("an id that the vocabulary does not have")
-                ends = np.r_[0, np.cumsum(n)]
-                data = spelling[np.arange(ends[-1]) - np.repeat(ends[:-1] - start[own], n)]
-                at = ends[offsets[i : j + 1] - offsets[i]].astype(np.int32)
-                null = ids[i:j].is_null().to_numpy(zero_copy_only=False)
-                valid = pa.py_buffer(np.packbits(~null, bitorder="little"))
-                out.append(pa.StringArray.from_buffers(j - i, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data)), valid))
-            yield pa.concat_arrays(out)
+            yield spelled(ids)
 
     return tokens.withColumn("text", text(F.col(column)))
